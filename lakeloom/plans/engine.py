@@ -24,6 +24,13 @@ def session(app: str = "lakeloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that all executors see: the cluster's own (``spark.checkpoint.dir``); only where that is unset, as in tests, one of this machine."""
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+
+
 class Engine:
     def __init__(self, spark: SparkSession, secrets: tuple[str, ...] = (), prepare: tuple[str, ...] = ()) -> None:
         self.spark, self.secrets = spark, secrets
