@@ -7,13 +7,14 @@ Jaccard similarity of at least ``T`` are sought, every document being a query.
    equal digests are one set from here on.
 2. *Index lists*. A set is listed under its first hashes in hash order, no more than the prefix filter needs
    (``size - ceil(T * size) + 1``) and no more than ``PROBES``. Two sets of similarity J share none of ``PROBES`` first hashes with
-   probability at most ``(1 - J) ** PROBES``, so recall of pairs is at least ``1 - (1 - T) ** PROBES`` (0.9998), and 1 for sets up to
-   ``PROBES / (1 - T)`` n-grams. A list is cut into blocks by position and sorted by size in each: the overlap that
+   probability at most ``(1 - J) ** PROBES`` (0.0002 for J = ``T``), and 0 for sets up to ``PROBES / (1 - T)`` n-grams. A list is cut into blocks by position and sorted by size in each: the overlap that
    remains after a position bounds the similarity, so whole blocks of positions, and sizes out of range, are skipped, and a set without a
    possible partner leaves the list.
 3. *Tiles*. Lists with the same smallest member are joined into one group, since copies share most of their lists; a group of more
-   than ``TILE`` sets is cut into square tiles, each a task's work, so that a group of any size is spread out. Only now, and only for
-   sets that are in some group, n-grams are computed again and shuffled.
+   than ``TILE`` sets is cut into square tiles, each a task's work, so that a group of any size is spread out.
+   Groups are first refined on sketches of the ``SKETCH`` smallest hashes, four bytes each, since a passage that many documents share makes groups of little similarity:
+   two sets stay together if their sketches share ``NEED`` of ``SKETCH`` hashes (of smaller sets in proportion). For J = ``T`` that misses
+   less than 0.4 %, for J = 0.6 less than 0.01 %. Only for sets that still are in some group n-grams are computed again and shuffled.
 4. *Answers*. In a tile, a set's overlaps with all others come from inverted lists. The next set's overlaps are derived from those of an already
    answered, highly similar set: minus the lists of n-grams that only that set has, plus those that only this one has. Overlaps are exact.
 
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import mapped, stored
 
 N, T, PROBES, TILE = 3, 0.5, 12, 1536
+SKETCH, NEED = 32, 9
 #: Ids up to this many (8 bytes each) are broadcast to pick the documents whose n-grams are needed; beyond it they are joined.
 BROADCAST_IDS = 4_000_000
 
@@ -109,7 +111,7 @@ def prefix(size: int, t: float, probes: int) -> int:
 
 
 def signatures(docs: DataFrame, n: int, t: float, probes: int) -> DataFrame:
-    """``doc_id, size, sum, xor, first``; one row for each document with words."""
+    """``doc_id, size, sum, xor, first, sketch``; one row for each document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,12 +128,13 @@ def signatures(docs: DataFrame, n: int, t: float, probes: int) -> DataFrame:
                     pa.array(sums),
                     pa.array(xors),
                     pa.ListArray.from_arrays(at, pa.array(np.concatenate(first) if first else np.zeros(0, np.int64))),
+                    pa.array([(sets[k][:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for k in keep], pa.binary()),
                 ],
-                names=["doc_id", "size", "sum", "xor", "first"],
+                names=["doc_id", "size", "sum", "xor", "first", "sketch"],
             )
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return mapped(read, run, "doc_id bigint, size int, sum bigint, xor bigint, first array<bigint>")
+    return mapped(read, run, "doc_id bigint, size int, sum bigint, xor bigint, first array<bigint>, sketch binary")
 
 
 def partners(size: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
@@ -263,20 +266,88 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for x, _ in links], np.int64), np.array([y for _, y in links], np.int64)
 
 
+def alike(ids: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile whose sketches share enough."""
+    within = bool((side == 0).all())
+    rows = np.arange(len(ids)) if within else np.flatnonzero(side == 1)
+    cols = np.arange(len(ids)) if within else np.flatnonzero(side == 2)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(rows) and len(cols):
+        size = np.array([len(s) for s in sketches])
+        for k, both in zip(rows, overlaps([sketches[k] for k in rows], [sketches[k] for k in cols])):
+            hit = both >= np.maximum(1, np.minimum(size[k], size[cols]) * NEED // SKETCH)
+            if within:
+                hit[: k + 1] = False
+            a.append(np.full(hit.sum(), ids[k]))
+            b.append(ids[cols[hit]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def placed(member: DataFrame) -> DataFrame:
+    """``rep, tile, side`` from ``block, rep``. A block of few sets is one tile; of more, sets are dealt to parts and each two parts are a tile."""
+    tiles = member.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = member.join(tiles, "block").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    dealt = dealt.select("block", "rep", "c", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("d"))
+    side = F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2)
+    return dealt.select("rep", F.xxhash64("block", F.least("c", "d"), F.greatest("c", "d")).alias("tile"), side.alias("side"))
+
+
+def by_tile(rows: DataFrame, answer, schema: str) -> DataFrame:
+    """Apply ``answer(ids, side, payloads)``, which returns arrays, to each tile of more than one set; from ``tile, rep, side`` and a payload."""
+
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, out, n = None, [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+
+        def answered() -> tuple:
+            return answer(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), [r[2] for r in held])
+
+        for b in batches:
+            for key, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if key != tile and held:
+                    if len(held) > 1:
+                        out.append(answered())
+                        n += len(out[-1][0])
+                    held = []
+                    if n > 50_000:
+                        yield batch()
+                        out, n = [], 0
+                tile = key
+                held.append(row)
+        if len(held) > 1:
+            out.append(answered())
+        if out:
+            yield batch()
+
+    return mapped(rows.repartition("tile").sortWithinPartitions("tile"), run, schema, 256)
+
+
+def refined(member: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``block, rep`` of fewer and smaller groups: the parts of each tile that shared sketches connect."""
+
+    def answer(ids: np.ndarray, side: np.ndarray, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        node, root = _forest(*alike(ids, side, [np.frombuffer(h, np.uint32) for h in held]))
+        top = np.unique(root)
+        return np.concatenate((root, top)), np.concatenate((node, top))
+
+    rows = placed(member).join(sketches, "rep").select("tile", "rep", "side", "sketch")
+    return by_tile(rows, answer, "block bigint, rep bigint").distinct()
+
+
 class _Joined:
     """What both uses of the join start from."""
 
     def __init__(self, docs: DataFrame, n: int, t: float, probes: int) -> None:
         self.t = t
-        sig = stored(signatures(docs, n, t, probes), "signatures")
-        key = ["size", "sum", "xor"]
-        self.classes = stored(sig.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.array_sort(F.collect_set("doc_id")).alias("members")), "classes")
-        member = stored(groups(self.classes.select("rep", "size", "first"), t), "groups")
-        weights = member.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-        placed = member.join(weights, "block").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        placed = placed.select("block", "rep", "c", "tiles", other.alias("d"))
-        placed = placed.select("rep", F.xxhash64("block", F.least("c", "d"), F.greatest("c", "d")).alias("tile"), F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2).alias("side"))
+        sig = signatures(docs, n, t, probes)
+        held = F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("sketch").alias("sketch"), F.array_sort(F.collect_set("doc_id")).alias("members")
+        self.classes = stored(sig.groupBy("size", "sum", "xor").agg(*held), "classes")
+        rough = stored(groups(self.classes.select("rep", "size", "first"), t), "groups")
+        member = stored(refined(rough, self.classes.select("rep", "sketch")), "refined")
         needed = member.select("rep").distinct()
         source = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text is not null")
         if needed.count() <= BROADCAST_IDS:
@@ -288,45 +359,20 @@ class _Joined:
                 sets = [s.tobytes() for s in shingles(b.column(1).to_pylist(), n)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
 
-        self.tiles = mapped(wanted, run, "rep bigint, set binary", 256).where("length(set) > 0").join(placed, "rep").select("tile", "rep", "side", "set").repartition("tile").sortWithinPartitions("tile")
+        self.rows = mapped(wanted, run, "rep bigint, set binary", 256).where("length(set) > 0").join(placed(member), "rep").select("tile", "rep", "side", "set")
 
     def found(self, forest: bool) -> DataFrame:
         """``a, b, jaccard`` of sets; for ``forest`` only links that connect them."""
         t = self.t
 
-        def answers(rows: list[tuple]) -> tuple:
-            ids = np.array([r[0] for r in rows], np.int64)
-            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-            a, b, j = tile_pairs(ids, np.array([r[1] for r in rows]), sets, t)
+        def answer(ids: np.ndarray, side: np.ndarray, held: list[bytes]) -> tuple:
+            a, b, j = tile_pairs(ids, side, [np.frombuffer(h, np.uint64) for h in held], t)
             if forest:
                 a, b = _forest(a, b)
                 return a, b, np.ones(len(a))
             return np.minimum(a, b), np.maximum(a, b), j
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tile, rows, out, n = None, [], [], 0
-
-            def batch() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "jaccard"])
-
-            for b in batches:
-                for key, *row in zip(*(c.to_pylist() for c in b.columns)):
-                    if key != tile and rows:
-                        if len(rows) > 1:
-                            out.append(answers(rows))
-                            n += len(out[-1][0])
-                        rows = []
-                        if n > 50_000:
-                            yield batch()
-                            out, n = [], 0
-                    tile = key
-                    rows.append(row)
-            if len(rows) > 1:
-                out.append(answers(rows))
-            if out:
-                yield batch()
-
-        pairs = mapped(self.tiles, run, "a bigint, b bigint, jaccard double", 256).where("a <> b")
+        pairs = by_tile(self.rows, answer, "a bigint, b bigint, jaccard double").where("a <> b")
         return pairs.distinct() if forest else pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
