@@ -71,46 +71,49 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str]) -> None:
         self.langs = sorted(set(langs))
         order = np.random.default_rng(7).permutation(len(texts))
-        rows = presence([texts[i] for i in order])
-        size = rows.sum(1, dtype=np.float32)
-        ok = size > 0
-        rows, size, y = rows[ok], size[ok], np.array([self.langs.index(langs[i]) for i in order])[ok]
-        # landmarks: as many texts of each language, the fullest of the sample's random order first
+        texts, y = [texts[i] for i in order], np.array([self.langs.index(langs[i]) for i in order], int)
+        # landmarks: as many texts of each language, the first of the sample's random order; rows are never held for the whole sample
         per = max(1, LANDMARKS // max(1, len(self.langs)))
-        marks = np.concatenate([np.flatnonzero(y == k)[:per] for k in range(len(self.langs))]) if len(y) else np.zeros(0, int)
-        self.cols = np.flatnonzero(rows[marks].any(0)) if len(marks) else np.zeros(0, int)
-        self.marks = (rows[marks][:, self.cols] / np.sqrt(size[marks])[:, None]).astype(np.float32)
-        kernel = self.kernel(rows, size)
-        w, v = np.linalg.eigh(kernel[marks].astype(np.float64)) if len(marks) else (np.zeros(0), np.zeros((0, 0)))
-        good = w > 1e-6
-        root = v[:, good] / np.sqrt(w[good])
+        marks = [i for k in range(len(self.langs)) for i in np.flatnonzero(y == k)[:per].tolist()]
+        held = presence([texts[i] for i in marks])
+        size = held.sum(1, dtype=np.float32)
+        held, size = held[size > 0], size[size > 0]
+        self.cols = np.flatnonzero(held.any(0))
+        self.marks = (held[:, self.cols] / np.sqrt(size)[:, None]).astype(np.float32)
+        square = self.kernel(held, size)
+        del held
+        w, v = np.linalg.eigh(square.astype(np.float64)) if len(square) else (np.zeros(0), np.zeros((0, 0)))
+        root = v[:, w > 1e-6] / np.sqrt(w[w > 1e-6])
+        kernel = self.kernels(texts)[0] if texts else np.zeros((0, len(square)))
         phi = kernel @ root
         target = np.where(y[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         beta = np.linalg.solve(phi.T @ phi + RIDGE * max(1, len(y)) * np.eye(phi.shape[1]), phi.T @ target) if phi.shape[1] else np.zeros((0, len(self.langs)))
         self.weights = (root @ beta).astype(np.float32)
         self.margin = 0.0
         if len(self.langs) > 1 and len(y):
-            s = self.scores(rows, size)
+            s = kernel @ self.weights
             against = s.max(1) - s[np.arange(len(y)), y]
             self.margin = float(max(np.quantile(against, 1 - RISK, method="higher") * 1.25, 0.3))
 
     def kernel(self, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-        part = [rows[i : i + 256][:, self.cols].astype(np.float32) @ self.marks.T for i in range(0, len(rows), 256)] or [np.zeros((0, len(self.marks)), np.float32)]
-        return np.concatenate(part) / np.sqrt(np.maximum(size, 1))[:, None]
+        """Of a batch of presence rows with the landmarks."""
+        return rows[:, self.cols].astype(np.float32) @ self.marks.T / np.sqrt(np.maximum(size, 1))[:, None]
 
-    def scores(self, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return self.kernel(rows, size) @ self.weights
-
-    def classify(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores for each text and language, and the number of distinct n-grams."""
+    def kernels(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts with the landmarks, in batches, and each text's number of distinct n-grams."""
         buffer = np.empty((ROWS, WIDTH), bool)
         got, sizes = [], []
         for i in range(0, len(texts), ROWS):
             rows = presence([t or "" for t in texts[i : i + ROWS]], buffer)
             sizes.append(np.array([np.count_nonzero(r) for r in rows], np.float32))
-            got.append(self.scores(rows, sizes[-1]))
+            got.append(self.kernel(rows, sizes[-1]))
         return np.concatenate(got), np.concatenate(sizes)
 
+    def classify(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores for each text and language, and the number of distinct n-grams."""
+        kernel, size = self.kernels(texts)
+        return kernel @ self.weights, size
+
 
 def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if len(s) >= 12]
