@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import fresh, mapped
 
 #: Labelled documents a language for the fit; landmarks; languages at most; ridge; bound on clean documents rejected.
-SAMPLE, LANDMARKS, LANGUAGES, RIDGE, RISK = 300, 96, 64, 1e-3, 0.001
+SAMPLE, LANDMARKS, LANGUAGES, RIDGE, RISK = 300, 96, 64, 1e-3, 0.01
 WIDTH = 64 + 64**2 + 64**3
 ROWS = 24
 
