@@ -114,7 +114,7 @@ def reconstructed(lists: DataFrame, kept: DataFrame) -> DataFrame:
     places = lists.select("row", "id", F.posexplode_outer("digests").alias("at", "digest"), F.col("digests").isNull().alias("none"))
     parts = places.join(kept.select("digest", "data"), "digest", "left")
     ordered = parts.groupBy("row", "id", "none").agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "data")))).alias("p"))
-    return mapped(ordered.select("row", "id", F.when(~F.col("none"), F.col("p.data"))), run, "row bigint, id bigint, payload binary", 64)
+    return mapped(ordered.select("row", "id", F.when(~F.col("none"), F.col("p.data")).alias("data")), run, "row bigint, id bigint, payload binary", 64)
 
 
 def lists(chunks: DataFrame) -> DataFrame:
