@@ -57,18 +57,22 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 class Memo(dict):
-    """A dictionary that computes what it misses; emptied at ``limit`` entries, which bounds a worker's memory.
-
-    Emptying costs recomputation and never changes a result.
+    """A dictionary that computes what it misses, in two generations: at ``limit`` entries the dictionary becomes the older generation,
+    whose entries come back when they are used, and the one before is dropped. So what is used often stays and a worker's memory is bounded.
+    Dropping costs recomputation and never changes a result.
     """
 
-    def __init__(self, compute: Callable, limit: int = 300_000) -> None:
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute: Callable, limit: int = 400_000) -> None:
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 

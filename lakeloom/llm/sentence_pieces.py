@@ -9,8 +9,8 @@ a sequence of pieces is the merge encoding iff all its neighbours are, so the on
 encoding. For a unigram vocabulary an arc costs minus the piece's score. A text is composed with the machines lazily, state by state,
 and the shortest path is read back.
 
-No piece crosses from another character into a space mark, so paths through a text factor into paths of its space-led
-words, and a worker keeps the paths of recent words.
+No piece crosses from another character into a space mark, and with a vocabulary whose pieces don't mix letters with other characters none crosses between those,
+so paths through a text factor into paths of its words, and a worker keeps the paths of recent words.
 
 Defined cases. A null text has null ids; an empty one has none. The space mark itself decodes to a space, as in the
 original library, so a text that holds it isn't returned exactly (``exact`` is false). Control and byte pieces written
@@ -32,7 +32,22 @@ from .common import Memo, mapped, per_process
 from .pieces import BYTE, CONTROL, NORMAL, TOKENIZER, UNKNOWN, USER, PieceModel
 
 MARK = "▁"
-SEGMENTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
+
+def segments(pieces: list[str]) -> re.Pattern:
+    """Where texts may be cut: between characters that stand side by side in no piece.
+
+    Characters are letters and digits, without those that share pieces with others, or others; if that leaves out an ASCII letter, only space marks cut.
+    """
+    word, out = re.compile("[^\\W_]").match, set()
+    bare = [p.lstrip(MARK) for p in pieces]
+    while more := {c for p in bare if any(not word(c) or c in out for c in p) for c in p if word(c) and c not in out}:
+        out |= more
+    if any(c.isascii() for c in out):
+        return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+    odd = "".join(sorted(out))
+    lone = "" if any("\n" in p for p in pieces) else "\n|"
+    return re.compile(f"{MARK}*[^\\W_{odd}]+|{lone}{MARK}*(?:[^\\w{MARK}\n]|[_{odd}])+|{MARK}+|\n")
 
 
 class Transducer:
@@ -45,6 +60,7 @@ class Transducer:
         self.ids = {p: i for i, (p, k) in enumerate(zip(m.pieces, m.kinds)) if k in (NORMAL, USER)}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a space mark after other characters")
+        self.segments = segments(list(self.ids))
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds)) if k == BYTE}
         self.tree: dict = {}
         for p, i in self.ids.items():
@@ -147,7 +163,7 @@ class Transducer:
         return [i for ids in reversed(found) for i in ids]
 
     def encode(self, text: str) -> list[int]:
-        return [i for word in SEGMENTS.findall(self.normalised(text)) for i in self.path(word)]
+        return [i for word in self.segments.findall(self.normalised(text)) for i in self.path(word)]
 
     def decode(self, ids: list[int]) -> str:
         out = self.out
@@ -169,7 +185,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for b in batches:
             flat, sizes, exact = [], [0], []
             for text in b.column(1).to_pylist():
-                data = b"".join(map(of, SEGMENTS.findall(machine.normalised(text)))) if text else b""
+                data = b"".join(map(of, machine.segments.findall(machine.normalised(text)))) if text else b""
                 flat.append(data)
                 sizes.append(sizes[-1] + len(data) // 4)
                 if text is None:
