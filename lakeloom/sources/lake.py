@@ -64,13 +64,13 @@ def write_manifest(engine: Engine, root: str, model: Model, fingerprint: str, fr
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The rows that a manifest lists: of just those files, whatever else lies beside them."""
-    from pyspark.sql.types import StructType
+    from ..functions.types import struct
 
     text = Path(path).read_text() if Path(path).exists() else spark.read.text(path, wholetext=True).first()[0]
     doc = json.loads(text)
     if doc["manifestVersion"] > MANIFEST_VERSION:
         raise LoomError(f"{path} has manifest version {doc['manifestVersion']}; this library reads up to {MANIFEST_VERSION}")
-    schema = StructType.fromDDL(", ".join(f"`{c['name']}` {c['type']}" for c in doc["columns"]))
+    schema = struct({c["name"]: c["type"] for c in doc["columns"]})
     root = path.rpartition("/")[0]
     files = [f"{root}/{f['path']}" for f in doc["files"]]
     if not files:
