@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 from zlib import crc32
 
 import numpy as np
@@ -189,16 +190,53 @@ class Model:
             if not chosen:
                 return
         self.weights, self.bias = (root @ beta).astype(np.float32), float(bias)
+        self.compile()
         held = [(max(self.scores(bag), default=-9.0), s) for bag, f, s in zip(bags, fold, y) if not f]
         s, t = np.array([a for a, _ in held], float), np.array([b for _, b in held], bool)
         f1 = {round(cut, 3): round(2 * ((s >= cut) & t).sum() / max(1, (s >= cut).sum() + t.sum()), 3) for cut in np.linspace(-0.9, 0.9, 37)}
         top = [cut for cut, f in f1.items() if f == max(f1.values())]
         self.threshold = sorted(top)[len(top) // 2] if max(f1.values()) > 0 else np.inf
 
+    def compile(self) -> None:
+        """The score is linear in the kernel's features, so landmarks and weights are one weight for each subsequence of ``LENGTH`` = 3 characters.
+
+        ``table[a, b, c]`` is that weight by classes of characters, of which 0 is any that no landmark holds.
+        """
+        letters = np.unique(self.marks[self.marks > GAP])
+        self.table = None
+        if len(letters) > 120:
+            return  # the table would be large; kernels are computed instead
+        self.classes = np.zeros(0x110000, np.uint8)
+        self.classes[letters] = np.arange(1, len(letters) + 1)
+        n = len(letters) + 1
+        table = np.zeros((n, n, n))
+        for mark, weight in zip(self.classes[self.marks], self.weights / np.sqrt(self.own)):
+            for i, j, k in combinations(np.flatnonzero(mark), 3):
+                table[mark[i], mark[j], mark[k]] += weight * DECAY ** (k - i + 1)
+        self.table = table.reshape(-1).astype(np.float32)
+        self.width = n
+
     def scores(self, strings: list[str]) -> np.ndarray:
+        """Scores of units; equal to normalised kernels with the landmarks times the weights."""
         if not len(self.weights):
             return np.full(len(strings), -9.0, np.float32)
-        return normalised(strings, self.marks, self.own) @ self.weights + np.float32(self.bias)
+        if self.table is None:
+            return normalised(strings, self.marks, self.own) @ self.weights + np.float32(self.bias)
+        out = np.zeros(len(strings), np.float32)
+        order = np.argsort([len(s) for s in strings], kind="stable")
+        for at in range(0, len(order), 8192):
+            part = order[at : at + 8192]
+            codes = _codes([strings[i] for i in part])
+            wide = int((codes > 0).sum(1).max(initial=0))
+            c = self.classes[codes[:, :wide]].T.astype(np.int32)
+            total = np.zeros(len(part), np.float32)
+            for j in range(1, wide - 1):
+                for i in range(j):
+                    two = (c[i] * self.width + c[j]) * self.width
+                    for k in range(j + 1, wide):
+                        total += self.table[two + c[k]] * np.float32(DECAY ** (k - i + 1))
+            out[part] = total / np.sqrt(np.maximum(own(codes), 1e-12))
+        return out + np.float32(self.bias)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -235,21 +273,22 @@ def scored(docs: DataFrame, model: Model, only_toxic: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        known: dict[str, float] = per_process(("toxicity", key), lambda: Memo(lambda p: -9.0))
+        known, unit_of = per_process(("toxicity", key), lambda: (Memo(lambda p: -9.0), Memo(lambda u: None)))
         of = known.__getitem__
 
         def learn(missing: list[str]) -> None:
-            if len(known) + len(missing) > known.limit:
-                known.clear()
             cut = [units(p) for p in missing]
-            flat = sorted({u for us in cut for u in us})
-            value = dict(zip(flat, m.scores(flat).tolist())) if flat else {}
-            known.update((p, max((value[u] for u in us), default=-9.0)) for p, us in zip(missing, cut))
+            flat = sorted({u for us in cut for u in us if u not in unit_of})
+            if len(unit_of) + len(flat) > unit_of.limit:
+                unit_of.clear()
+                flat = sorted({u for us in cut for u in us})
+            unit_of.update(zip(flat, m.scores(flat).tolist()))
+            known.update((p, max((unit_of[u] for u in us), default=-9.0)) for p, us in zip(missing, cut))
 
         for b in batches:
             split = [None if not t else parts(t) for t in b.column(1).to_pylist()]
             fresh = set().union(*(w for w in split if w))
-            known.limit = max(300_000, len(fresh))
+            known.limit = max(known.limit, len(fresh))
             if len(known) + len(fresh) > known.limit:
                 known.clear()
             learn([p for p in fresh if p not in known])
