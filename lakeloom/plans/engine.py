@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Engine:
     def __init__(self, spark: SparkSession, secrets: tuple[str, ...] = (), prepare: tuple[str, ...] = ()) -> None:
         self.spark, self.secrets = spark, secrets
-        self._parser = threading.Lock()
+        self._parser = spark._jsparkSession.sessionState().sqlParser()
+        self._lock = threading.Lock()
         for k, v in SETTINGS.items():
             spark.conf.set(k, v)
         for statement in prepare:
@@ -60,11 +61,11 @@ class Engine:
     def canonical(self, sql: str) -> str:
         """The parse tree as JSON without positions and ids: equal for texts that differ in layout, comments and case of keywords."""
         try:
-            with self._parser:
-                raw = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toJSON()
+            with self._lock:
+                raw = self._parser.parsePlan(sql).toJSON()
         except Exception as e:  # noqa: BLE001
             raise EngineError(sql, e, self.secrets) from None
-        return json.dumps(_stripped(json.loads(raw)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return json.dumps(json.loads(raw, object_hook=_stripped), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
     # names
     def has_table(self, name: str) -> bool:
@@ -138,9 +139,5 @@ class Engine:
         fs.rename(beside, path)
 
 
-def _stripped(x):
-    if isinstance(x, dict):
-        return {k: _stripped(v) for k, v in x.items() if k not in _VOLATILE}
-    if isinstance(x, list):
-        return [_stripped(v) for v in x]
-    return x
+def _stripped(x: dict) -> dict:
+    return {k: v for k, v in x.items() if k not in _VOLATILE}

@@ -146,16 +146,18 @@ def parquet_partition_replace(spark, sf_dir):
 
 @query("select c_custkey, c_name, c_nationkey, case when c_custkey % 7 = 0 then round(c_acctbal + 1, 2) else c_acctbal end as c_acctbal, c_mktsegment from customer where c_custkey % 2 = 0 or c_custkey % 7 = 0")
 def upsert_by_key(spark, sf_dir):
-    """Even keys, then every seventh with another balance."""
-    raw = _raw(sf_dir, "customer")
-    columns = "c_custkey, c_name, c_nationkey, {} AS c_acctbal, c_mktsegment"
-    first = model("dim.customer", UniqueKey("c_custkey"), _DDL["customer"], lambda c: f"SELECT {columns.format('c_acctbal')} FROM {c.ref(raw)} WHERE c_custkey % 2 = 0")
-    p = _project(spark, raw, first)
+    """Even keys, then every seventh with another balance: two loads of one source."""
+    place = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer.where("c_custkey % 2 = 0").write.parquet(f"{place}/load=1")
+    raw = external("raw.customer", parquet(place, union_by_name=True), _DDL["customer"])
+    m = model("dim.customer", UniqueKey("c_custkey"), _DDL["customer"], lambda c: f"SELECT * FROM {c.ref(raw)}")
+    p = _project(spark, raw, m)
     p.apply("dev", now=NOW)
-    from .operators.materialize import upsert
-
-    return upsert(p.table("dev", "dim.customer"), spark.table("`_phys`.`dim__customer__" + p.store.pointers("dev")["dim.customer"][:8] + "`").limit(0).unionByName(
-        spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0").withColumn("c_acctbal", F.round(F.col("c_acctbal") + 1, 2))), ["c_custkey"])
+    p.engine.delete(f"{place}/load=1")
+    customer.where("c_custkey % 7 = 0").withColumn("c_acctbal", F.round(F.col("c_acctbal") + 1, 2)).write.parquet(f"{place}/load=2")
+    p.run("dev", now=NOW)
+    return p.table("dev", "dim.customer")
 
 
 _SCD = """
