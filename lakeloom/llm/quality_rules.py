@@ -5,8 +5,8 @@ Every rule compares one integer feature of a text (per mille) with a cutoff. Cut
 false-rejection rate, at confidence ``1 - delta / (strata * rules)``, is at most ``alpha``. Cutoffs of a rule are
 tested from the mildest to the strictest and testing stops at the first that fails (fixed-sequence testing), and
 rules and strata share ``delta`` by Bonferroni, so with probability ``1 - delta`` *every* certified cutoff holds.
-Among certified cutoffs that one is used which maximises ``caught / bad - price * lost / good``. A rule without a
-certified cutoff of positive worth rejects nothing in that stratum.
+Rules are taken in order, and of a rule's certified cutoffs that one is used which maximises ``caught / bad - price * lost / good``, counting only documents that no rule before
+rejects. A rule without a certified cutoff of positive worth rejects nothing in that stratum.
 
 Defined cases. A null or blank text is rejected. A null ``lang`` is its own stratum, ``""``. Documents without a
 label, labels without a document and null labels don't calibrate; a document with several labels counts as good if
@@ -27,6 +27,7 @@ from .common import fresh
 RULES: dict[str, tuple[int, tuple[int, ...]]] = {
     "symbols": (1, (500, 400, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 10)),
     "capitals": (1, (900, 700, 600, 500, 400, 350, 300, 250, 200, 150, 100, 70)),
+    "repeats": (1, (950, 900, 800, 700, 600, 500, 450, 400, 350, 300, 250, 200, 150, 100, 50)),
     "other": (1, (900, 800, 700, 600, 500, 450, 400, 350, 300, 280, 260)),
     "distinct": (-1, (5, 10, 25, 50, 75, 100, 150, 200, 250, 300, 350, 400, 450, 500, 540, 580)),
 }
@@ -47,6 +48,7 @@ def features(text: Column) -> dict[str, Column]:
         "symbols": F.floor(share(r"[^*$%&#!|]+") / length),
         "capitals": F.floor(share(r"[^\p{Lu}]+") / length),
         "other": F.floor(share(r"\p{L}+") / length),
+        "repeats": F.floor(F.expr("1000L") * F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b), lambda x: x)).cast("long") / F.size(words)),
         "distinct": F.floor(F.expr("1000L") * F.size(F.array_distinct(words)).cast("long") / F.size(words)),
     }
 
@@ -66,7 +68,7 @@ def bound_holds(lost: int, good: int, alpha: float, delta: float) -> bool:
 
 
 def calibrate(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, price: float = PRICE) -> dict[str, dict[str, int]]:
-    """stratum -> rule -> cutoff. One pass over the labelled documents; the driver gets one row per stratum."""
+    """stratum -> rule -> cutoff. One pass over the labelled documents; the driver gets counts of cells, whose number the cutoffs bound."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     if labels.count() <= BROADCAST_LABELS:
         seen = docs.select("doc_id", "text", "lang").join(F.broadcast(marks), "doc_id")
@@ -74,25 +76,27 @@ def calibrate(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     else:
         f = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.substring("text", 1, 1).alias("text"), *[v.alias(k) for k, v in features(F.col("text")).items()])
         seen = f.join(marks, "doc_id")
-    seen = seen.where(F.col("symbols").isNotNull())
-    hits = []
-    for rule, (sign, cuts) in RULES.items():
-        for cut in cuts:
-            hit = F.col(rule) >= cut if sign > 0 else F.col(rule) <= cut
-            hits += [F.count_if(hit & (F.col("good") == g)).alias(f"{rule}_{cut}_{g}") for g in (0, 1)]
-    rows = seen.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n1"), F.count_if(F.col("good") == 0).alias("n0"), *hits).collect()
+    # a document's step in a rule: how many cutoffs, the mildest first, don't hit it; documents of the same steps are one cell
+    seen = seen.where(F.col("symbols").isNotNull() & F.col("good").isin(0, 1))
+    steps = [sum((F.col(r) < c if sign > 0 else F.col(r) > c).cast("int") for c in cuts).alias(f"at_{r}") for r, (sign, cuts) in RULES.items()]
+    cells = seen.select("stratum", "good", *steps).groupBy("stratum", "good", *[f"at_{r}" for r in RULES]).count().collect()
+    strata = sorted({c["stratum"] for c in cells})
     chosen: dict[str, dict[str, int]] = {}
-    for r in rows:
-        for rule, (_, cuts) in RULES.items():
-            best = 0.0
-            for cut in cuts:
-                lost, caught = r[f"{rule}_{cut}_1"], r[f"{rule}_{cut}_0"]
-                if not bound_holds(lost, r["n1"], alpha, delta / (len(rows) * len(RULES))):
+    for stratum in strata:
+        own = [(c["good"], [c[f"at_{r}"] for r in RULES], c["count"]) for c in cells if c["stratum"] == stratum]
+        good, bad = (sum(n for g, _, n in own if g == k) for k in (1, 0))
+        left = list(own)
+        for k, (rule, (_, cuts)) in enumerate(RULES.items()):
+            best, used = 0.0, -1
+            for i in range(len(cuts)):
+                if not bound_holds(sum(n for g, at, n in own if g and at[k] <= i), good, alpha, delta / (len(strata) * len(RULES))):
                     break
-                worth = caught / max(r["n0"], 1) - price * lost / r["n1"]
+                worth = sum(n if not g else 0 for g, at, n in left if at[k] <= i) / max(bad, 1) - price * sum(n for g, at, n in left if g and at[k] <= i) / good
                 if worth > best:
-                    best = worth
-                    chosen.setdefault(r["stratum"], {})[rule] = cut
+                    best, used = worth, i
+            if used >= 0:
+                chosen.setdefault(stratum, {})[rule] = cuts[used]
+                left = [c for c in left if c[1][k] > used]
     return chosen
 
 
@@ -131,34 +135,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(source: str = "documents", columns: str | None = None) -> str:
     """DuckDB SQL for :func:`query`, or for the kept rows' ``columns`` of ``source``."""
-    cuts = " union all ".join(
-        f"select '{rule}' as rule, {sign} as sign, {i} as step, {cut} as cut" for rule, (sign, all_) in RULES.items() for i, cut in enumerate(all_)
-    )
-    long = " union all ".join(f"select doc_id, stratum, good, '{r}' as rule, {r} as value from seen" for r in RULES)
-    rejects = " or ".join(f"coalesce((select {'f.' + r + ' >= c.cut' if s > 0 else 'f.' + r + ' <= c.cut'} from chosen c where c.rule = '{r}' and c.stratum = f.stratum), false)" for r, (s, _) in RULES.items())
-    shown = columns or "doc_id, stratum, symbols, capitals, other, \"distinct\", true as keep"
+    hit = {r: f"coalesce(v.\"{r}\" {'>=' if s > 0 else '<='} {{}}, false)" for r, (s, _) in RULES.items()}
+    parts, rejects = [], []
+    for k, (rule, (sign, all_)) in enumerate(RULES.items()):
+        values = ", ".join(f"({i}, {cut})" for i, cut in enumerate(all_))
+        h = hit[rule].format("c.cut")
+        parts.append(f"""
+k{k} as (select stratum, step, cut, count(*) filter (good = 1 and {h}) as lost, count(*) filter (good = 1 and not gone and {h}) as new_lost, count(*) filter (good = 0 and not gone and {h}) as caught
+  from s{k} v, (values {values}) c(step, cut) group by all),
+t{k} as (select k.*, caught / greatest(n0, 1) - {PRICE} * new_lost / n1 as worth, n1 > 0 and lost <= n1 * {ALPHA} and
+    (select sum(exp(lgamma(n1 + 1) - (case when j = 0 then 0 else lgamma(j + 1) end) - (case when n1 = j then 0 else lgamma(n1 - j + 1) end) + j * ln({ALPHA}) + (n1 - j) * ln(1 - {ALPHA})))
+     from (select unnest(range(0, least(lost, cast(floor(n1 * {ALPHA}) as bigint)) + 1)) as j)) <= {DELTA} / ((select count(*) from sizes) * {len(RULES)}) as holds
+  from k{k} k join sizes using (stratum)),
+f{k} as (select *, bool_and(holds) over (partition by stratum order by step) as fine from t{k}),
+c{k} as (select stratum, cut from (select *, row_number() over (partition by stratum order by worth desc, step) as r from f{k} where fine and worth > 0) where r = 1),
+s{k + 1} as (select v.* replace (gone or coalesce({h}, false) as gone) from s{k} v left join c{k} c using (stratum))""")
+        rejects.append(f"coalesce((select {h} from c{k} c where c.stratum = v.stratum), false)")
+    shown = columns or "doc_id, stratum, " + ", ".join(f'"{r}"' for r in RULES) + ", true as keep"
     return f"""
 with feats as (
-  select *, coalesce(lang, '') as stratum,
-    (1000 * length(regexp_replace(text, '[^*$%&#!|]+', '', 'g'))) // greatest(length(text), 1) as symbols,
-    (1000 * length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g'))) // greatest(length(text), 1) as capitals,
-    (1000 * length(regexp_replace(text, '\\p{{L}}+', '', 'g'))) // greatest(length(text), 1) as other,
-    (1000 * len(list_distinct(string_split_regex(text, '\\s+')))) // len(string_split_regex(text, '\\s+')) as "distinct"
-  from {source}),
+  select *, coalesce(lang, '') as stratum, string_split_regex(text, '\\s+') as w_, greatest(length(text), 1) as n_ from {source}),
+vals as (
+  select * exclude (w_, n_),
+    (1000 * length(regexp_replace(text, '[^*$%&#!|]+', '', 'g'))) // n_ as symbols,
+    (1000 * length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g'))) // n_ as capitals,
+    (1000 * coalesce(list_sum(list_transform(range(1, len(w_)), lambda i: (w_[i] = w_[i + 1])::bigint)), 0)::bigint) // len(w_) as repeats,
+    (1000 * length(regexp_replace(text, '\\p{{L}}+', '', 'g'))) // n_ as other,
+    (1000 * len(list_distinct(w_))) // len(w_) as "distinct"
+  from feats),
 marks as (select doc_id, max(quality) as good from labels where doc_id is not null and quality is not null group by doc_id),
-seen as (select f.doc_id, stratum, good, symbols, capitals, other, "distinct" from feats f join marks using (doc_id) where symbols is not null),
-long as ({long.replace(", distinct as value", ', "distinct" as value')}),
-cuts as ({cuts}),
-sizes as (select stratum, count(*) filter (good = 1) as n1, count(*) filter (good = 0) as n0 from seen group by stratum),
-k as (select stratum, c.rule, c.step, c.cut,
-    count(*) filter (good = 1 and (sign = 1 and value >= cut or sign = -1 and value <= cut)) as lost,
-    count(*) filter (good = 0 and (sign = 1 and value >= cut or sign = -1 and value <= cut)) as caught
-  from long l join cuts c using (rule) group by all),
-tested as (select k.*, n1, n0, n1 > 0 and lost <= n1 * {ALPHA} and
-    (select sum(exp(lgamma(n1 + 1) - (case when j = 0 then 0 else lgamma(j + 1) end) - (case when n1 = j then 0 else lgamma(n1 - j + 1) end) + j * ln({ALPHA}) + (n1 - j) * ln(1 - {ALPHA})))
-     from (select unnest(range(0, least(lost, cast(floor(n1 * {ALPHA}) as bigint)) + 1)) as j)) <= {DELTA} / ((select count(*) from sizes) * {len(RULES)}) as holds
-  from k join sizes using (stratum)),
-certified as (select *, caught / greatest(n0, 1) - {PRICE} * lost / n1 as worth, bool_and(holds) over (partition by stratum, rule order by step) as fine from tested),
-chosen as (select stratum, rule, cut from (select *, row_number() over (partition by stratum, rule order by worth desc, step) as r from certified where fine and worth > 0) where r = 1),
-kept as (select * from feats f where coalesce(regexp_matches(text, '\\S'), false) and not ({rejects.replace("f.distinct", 'f."distinct"')}))
+s0 as (select v.*, good, false as gone from vals v join marks using (doc_id) where symbols is not null and good in (0, 1)),
+sizes as (select stratum, count(*) filter (good = 1) as n1, count(*) filter (good = 0) as n0 from s0 group by stratum),{",".join(parts)},
+kept as (select * from vals v where coalesce(regexp_matches(text, '\\S'), false) and not ({" or ".join(rejects)}))
 select {shown} from kept"""
