@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm.common import stored
+from lakeloom.llm.common import dropped, stored
 from lakeloom.llm.language_id import fit, identify
 from lakeloom.llm.mixing import mixed
 from lakeloom.llm.near_duplicates import deduplicated
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)  # read by this stage alone
+        before = docs
     return docs

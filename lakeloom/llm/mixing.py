@@ -18,7 +18,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import fresh, stored
+from .common import dropped, fresh, stored
 
 #: The production mixture: shares of the budget by language part, and evenly by source; the tokens to draw as a share of those there are; copies of a document at most.
 LANG_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
@@ -135,6 +135,7 @@ def drawn(docs: DataFrame, seed: int = SEED, **params) -> tuple[DataFrame, str]:
     before = F.sum("tokens").over(Window.partitionBy("source", "lang").orderBy("range")) - F.col("tokens")
     edge = ranges.join(F.broadcast(rest), ["source", "lang"]).withColumn("before", before).where("before <= rest and before + tokens > rest").select("source", "lang", "range", "before", "rest")
     edges = edge.collect()
+    dropped(ranges)
     # within the one range of each pattern, documents in order until the remainder is used
     marks = spark.createDataFrame([tuple(r) for r in edges], "source string, lang string, range bigint, before bigint, rest bigint")
     inside = slim.withColumn("range", F.expr(f"u div {(1 << 40) // RANGES}")).join(F.broadcast(marks), ["source", "lang", "range"])

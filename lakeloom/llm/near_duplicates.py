@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import mapped, stored
+from .common import dropped, mapped, stored
 
 N, T, PROBES, TILE = 3, 0.5, 12, 1536
 SKETCH, NEED = 32, 9
@@ -348,6 +348,8 @@ class _Joined:
         self.classes = stored(sig.groupBy("size", "sum", "xor").agg(*held), "classes")
         rough = stored(groups(self.classes.select("rep", "size", "first"), t), "groups")
         member = stored(refined(rough, self.classes.select("rep", "sketch")), "refined")
+        dropped(rough)
+        self.member = member
         needed = member.select("rep").distinct()
         source = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text is not null")
         if needed.count() <= BROADCAST_IDS:
@@ -405,26 +407,30 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.*").where("a <> b").distinct()
-        links = stored(step, "links")
+        links, old = stored(step, "links"), links
+        dropped(old)
         before, state = state, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.stored_at = links.stored_at
+    return out
 
 
 def surplus(docs: DataFrame, n: int = N, t: float = T, probes: int = PROBES) -> DataFrame:
-    """``doc_id`` of every document that isn't the first (the smallest id) of its group of near duplicates."""
+    """``doc_id`` of every document that isn't the first (the smallest id) of its group of near duplicates; a table in the shared folder."""
     joined = _Joined(docs, n, t, probes)
     copies = joined.classes.where(F.size("members") > 1).select("rep", F.explode("members").alias("doc_id")).where("rep <> doc_id")
-    links = stored(joined.found(True), "forest")
-    roots = components(links)
+    roots = components(joined.found(True))
     # a copy of a set goes, its first document stays or goes with the set
-    return copies.select("doc_id").union(roots.select(F.col("node").alias("doc_id"))).distinct()
+    out = stored(copies.select("doc_id").union(roots.select(F.col("node").alias("doc_id"))).distinct(), "surplus")
+    dropped(joined.classes, joined.member, roots)
+    return out
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` without near duplicates; of rows that repeat an id in a group each stays or goes alike. Ids to drop are broadcast up to ``BROADCAST_IDS``."""
-    gone = stored(surplus(docs, **params), "surplus")
+    gone = surplus(docs, **params)
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

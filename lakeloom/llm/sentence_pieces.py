@@ -26,7 +26,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Memo, mapped, per_process
 from .pieces import BYTE, CONTROL, NORMAL, TOKENIZER, UNKNOWN, USER, PieceModel
@@ -199,7 +199,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
             count = pa.array([None if e is None else n for e, n in zip(exact, np.diff(sizes).tolist())], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), ids, count, pa.array(exact, pa.bool_())], names=["doc_id", "ids", "n_ids", "exact"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, n_ids bigint, exact boolean", 512)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id bigint, ids array<int>, n_ids bigint, exact boolean", 512)
 
 
 def decoded(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Memo, mapped, per_process
 from .pieces import NORMAL, TOKENIZER, USER, PieceModel
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
                 names=["doc_id", "n_words", "n_tokens", "n_unknown"],
             )
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

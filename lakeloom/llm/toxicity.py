@@ -273,7 +273,7 @@ def scored(docs: DataFrame, model: Model, only_toxic: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        known, unit_of = per_process(("toxicity", key), lambda: (Memo(lambda p: -9.0), Memo(lambda u: None)))
+        known, unit_of = per_process(("toxicity", key), lambda: (Memo(lambda p: -9.0, 200_000), Memo(lambda u: None, 200_000)))
         of = known.__getitem__
 
         def learn(missing: list[str]) -> None:
@@ -309,7 +309,7 @@ def scored(docs: DataFrame, model: Model, only_toxic: bool = False) -> DataFrame
             made = pa.RecordBatch.from_arrays(out, names=["doc_id", "score", "n_toxic", "sentence", "toxic"])
             yield made.filter(flag) if only_toxic else made
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, score double, n_toxic bigint, sentence string, toxic boolean")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id bigint, score double, n_toxic bigint, sentence string, toxic boolean", 256)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
