@@ -194,8 +194,9 @@ class Model:
         held = [(max(self.scores(bag), default=-9.0), s) for bag, f, s in zip(bags, fold, y) if not f]
         s, t = np.array([a for a, _ in held], float), np.array([b for _, b in held], bool)
         f1 = {round(cut, 3): round(2 * ((s >= cut) & t).sum() / max(1, (s >= cut).sum() + t.sum()), 3) for cut in np.linspace(-0.9, 0.9, 37)}
-        top = [cut for cut, f in f1.items() if f == max(f1.values())]
-        self.threshold = sorted(top)[len(top) // 2] if max(f1.values()) > 0 else np.inf
+        # of cutoffs that are as good but for chance, one that leaves clean documents alone and spoilt forms, fitted beyond 1, above it
+        top = [cut for cut, f in f1.items() if f >= max(f1.values()) - 0.004]
+        self.threshold = max([cut for cut in top if cut <= 0.5], default=min(top)) if max(f1.values()) > 0 else np.inf
 
     def compile(self) -> None:
         """The score is linear in the kernel's features, so landmarks and weights are one weight for each subsequence of ``LENGTH`` = 3 characters.
