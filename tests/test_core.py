@@ -271,3 +271,23 @@ def test_json_is_an_object(capsys):
     assert pairs("a.b=breaking, c.d=non-breaking") == {"a.b": "breaking", "c.d": "non-breaking"}
     with pytest.raises(LoomError):
         pairs("a.b=maybe")
+
+
+def test_public_names():
+    import lakeloom
+
+    assert all(hasattr(lakeloom, n) for n in lakeloom.__all__) and sorted(lakeloom.__all__) == lakeloom.__all__
+    assert {"Project", "model", "external", "seed", "sql_model", "check_model", "read_manifest"} <= set(lakeloom.__all__)
+
+
+def test_nothing_in_the_library_needs_the_training_data_package():
+    import ast
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent / "lakeloom"
+    for path in root.rglob("*.py"):
+        if "llm" in path.relative_to(root).parts:
+            continue
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] if isinstance(node, ast.Import) else [f"{node.module or ''}.{a.name}" for a in node.names] if isinstance(node, ast.ImportFrom) else []
+            assert not any("llm" in n.split(".") or n.startswith("corpus_pipeline") for n in names), path
