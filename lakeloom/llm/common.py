@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,15 +49,26 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Arrow batches between the JVM and Python: rows are long, so their number doesn't bound a batch.
+BATCH_BYTES = 8 << 20
+
+
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows, so that Python holds few texts at once."""
+    """``mapInArrow`` over slices of at most ``rows`` rows, so that Python holds few texts at once; the session's Arrow batches are bounded in bytes likewise."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
 
-    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # freed batches go back to the system
+        return fn(sliced(batches))
+
+    return df.mapInArrow(run, schema)
 
 
 class Memo(dict):
@@ -64,7 +77,7 @@ class Memo(dict):
     Dropping costs recomputation and never changes a result.
     """
 
-    def __init__(self, compute: Callable, limit: int = 400_000) -> None:
+    def __init__(self, compute: Callable, limit: int = 250_000) -> None:
         self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
@@ -82,8 +95,12 @@ _PER_PROCESS: dict = {}
 
 
 def per_process(key, make: Callable):
-    """What ``make`` returns, built once in a Python worker and kept between its tasks."""
+    """What ``make`` returns, built once in a Python worker and kept between its tasks; what another operator kept there is given back first."""
     if key not in _PER_PROCESS:
         _PER_PROCESS.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
         _PER_PROCESS[key] = make()
     return _PER_PROCESS[key]

@@ -70,7 +70,7 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.neighbours = Memo(lambda ab: self._merged(m.pieces[ab[0]] + m.pieces[ab[1]]) == [*ab], 2_000_000)
+        self.neighbours = Memo(lambda ab: self._merged(m.pieces[ab[0]] + m.pieces[ab[1]]) == [*ab], 400_000)
         out = [b""] * len(m.pieces)
         for i, (p, k) in enumerate(zip(m.pieces, m.kinds)):
             out[i] = bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode()
