@@ -338,14 +338,18 @@ def refined(member: DataFrame, sketches: DataFrame) -> DataFrame:
     return by_tile(rows, answer, "block bigint, rep bigint").distinct()
 
 
+#: What documents of the same set of n-grams share.
+KEY = ("size", "sum", "xor")
+
+
 class _Joined:
     """What both uses of the join start from."""
 
     def __init__(self, docs: DataFrame, n: int, t: float, probes: int) -> None:
         self.t = t
-        sig = signatures(docs, n, t, probes)
-        held = F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("sketch").alias("sketch"), F.array_sort(F.collect_set("doc_id")).alias("members")
-        self.classes = stored(sig.groupBy("size", "sum", "xor").agg(*held), "classes")
+        self.sig = stored(signatures(docs, n, t, probes), "signatures")
+        held = F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
+        self.classes = stored(self.sig.groupBy(*KEY).agg(*held), "classes")
         rough = stored(groups(self.classes.select("rep", "size", "first"), t), "groups")
         member = stored(refined(rough, self.classes.select("rep", "sketch")), "refined")
         dropped(rough)
@@ -364,7 +368,7 @@ class _Joined:
         self.rows = mapped(wanted, run, "rep bigint, set binary", 256).where("length(set) > 0").join(placed(member), "rep").select("tile", "rep", "side", "set")
 
     def found(self, forest: bool) -> DataFrame:
-        """``a, b, jaccard`` of sets; for ``forest`` only links that connect them."""
+        """``a, b, jaccard`` of sets, maybe from several tiles; for ``forest`` only links that connect them."""
         t = self.t
 
         def answer(ids: np.ndarray, side: np.ndarray, held: list[bytes]) -> tuple:
@@ -375,21 +379,22 @@ class _Joined:
             return np.minimum(a, b), np.maximum(a, b), j
 
         pairs = by_tile(self.rows, answer, "a bigint, b bigint, jaccard double").where("a <> b")
-        return pairs.distinct() if forest else pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+        return pairs.distinct() if forest else pairs
 
 
 def similar_pairs(docs: DataFrame, n: int = N, t: float = T, probes: int = PROBES) -> DataFrame:
     """``doc_a, doc_b, jaccard`` with doc_a < doc_b for all pairs of documents at least ``t`` alike."""
     joined = _Joined(docs, n, t, probes)
-    copies = joined.classes.select("rep", "members")
-    same = copies.where(F.size("members") > 1).select(F.posexplode("members").alias("i", "doc_a"), "members")
+    # all pairs of copies are asked for, so their ids may be gathered
+    many = joined.sig.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("doc_id")).alias("members")).where(F.size("members") > 1)
+    same = many.select(F.posexplode("members").alias("i", "doc_a"), "members")
     same = same.select("doc_a", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
     near = joined.found(False)
-    many = copies.where(F.size("members") > 1)
     near = near.join(many.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a", "left").join(many.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b", "left")
     near = near.select("jaccard", "mb", "b", F.explode(F.coalesce("ma", F.array("a"))).alias("x")).select("jaccard", "x", F.explode(F.coalesce("mb", F.array("b"))).alias("y"))
     near = near.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return same.unionByName(near)
+    # several tiles may hold a pair, and an id several texts
+    return same.unionByName(near).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -420,11 +425,12 @@ def components(links: DataFrame) -> DataFrame:
 def surplus(docs: DataFrame, n: int = N, t: float = T, probes: int = PROBES) -> DataFrame:
     """``doc_id`` of every document that isn't the first (the smallest id) of its group of near duplicates; a table in the shared folder."""
     joined = _Joined(docs, n, t, probes)
-    copies = joined.classes.where(F.size("members") > 1).select("rep", F.explode("members").alias("doc_id")).where("rep <> doc_id")
+    firsts = joined.classes.where("copies > 1").select(*KEY, "rep")
+    copies = joined.sig.select("doc_id", *KEY).join(firsts, list(KEY)).where("rep <> doc_id").select("doc_id")  # row by row: a set may have very many copies
     roots = components(joined.found(True))
     # a copy of a set goes, its first document stays or goes with the set
-    out = stored(copies.select("doc_id").union(roots.select(F.col("node").alias("doc_id"))).distinct(), "surplus")
-    dropped(joined.classes, joined.member, roots)
+    out = stored(copies.union(roots.select(F.col("node").alias("doc_id"))).distinct(), "surplus")
+    dropped(joined.sig, joined.classes, joined.member, roots)
     return out
 
 
