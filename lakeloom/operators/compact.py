@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
@@ -54,13 +55,17 @@ def targets(graph: Graph, root_of) -> list[tuple[Model, str, str, bool]]:
     return out
 
 
-def compact(engine: Engine, graph: Graph, root_of, *, now: int | None = None, dry_run: bool = False, default_grace_hours: float = 0.0) -> Report:
+#: Bytes of a merged file, about; a partition of more becomes several files, each written by its own task.
+FILE_BYTES = 512 << 20
+
+
+def compact(engine: Engine, graph: Graph, root_of, *, now: int | None = None, dry_run: bool = False, default_grace_hours: float = 0.0, workers: int = 4) -> Report:
     """Merge each partition that is past, has enough files and has been left alone for its grace; checked in this order: undated, current day, already compact, grace.
 
-    Only files that were listed before the read are deleted, so what arrives meanwhile stays.
+    Only files that were listed before the read are deleted, so what arrives meanwhile stays. Partitions are merged side by side.
     """
     now = round(time.time() * 1000) if now is None else now
-    report = Report(dry_run)
+    report, todo = Report(dry_run), []
     for model, root, key, ours in targets(graph, root_of):
         policy = model.compaction
         by: dict[str, list[tuple[str, int, int]]] = {}
@@ -76,7 +81,7 @@ def compact(engine: Engine, graph: Graph, root_of, *, now: int | None = None, dr
                 why = "undated"
             elif day >= floor_to("day", now):
                 why = "current-day"
-            elif len(files) < (policy.min_files if policy else 2):
+            elif len(files) < (policy.min_files if policy else 2) or len(files) <= _parts(files):
                 why = "already-compact"
             elif max(t for _, _, t in files) > now - grace:
                 why = "grace-period"
@@ -84,38 +89,48 @@ def compact(engine: Engine, graph: Graph, root_of, *, now: int | None = None, dr
                 report.skipped.append({"model": model.name, "partition": segment, "reason": why})
                 continue
             entry = {"model": model.name, "partition": segment, "files": len(files), "rows": None, "published": None}
-            if not dry_run:
-                try:
-                    entry |= _merge(engine, model, place, [f for f, _, _ in files], ours)
-                except Exception as e:  # noqa: BLE001 - the others go on
-                    report.warnings.append(f"{model.name} {segment}: {e}")
-                    continue
-            report.compacted.append(entry)
+            todo.append((entry, model, place, files, ours))
+    if dry_run:
+        report.compacted += [entry for entry, *_ in todo]
+        return report
+    with ThreadPoolExecutor(workers) as pool:
+        jobs = [(entry, pool.submit(_merge, engine, *rest)) for entry, *rest in todo]
+    for entry, job in jobs:
+        if e := job.exception():  # the others went on
+            report.warnings.append(f"{entry['model']} {entry['partition']}: {e}")
+        else:
+            report.compacted.append(entry | job.result())
     return report
 
 
-def _merge(engine: Engine, model: Model, place: str, files: list[str], ours: bool) -> dict:
+def _parts(files: list[tuple[str, int, int]]) -> int:
+    return max(1, -(-sum(n for _, n, _ in files) // FILE_BYTES))
+
+
+def _merge(engine: Engine, model: Model, place: str, listed: list[tuple[str, int, int]], ours: bool) -> dict:
     from ..sources.readers import read_union_by_name
 
+    files, n = [f for f, _, _ in listed], _parts(listed)
     df = read_union_by_name(engine.spark, files)
     p = model.compaction
     if p and p.key:
+        order = [F.col(c).asc_nulls_last() for c in (*p.key, *p.order)]
         df = dedupe_latest(df, p.key, p.order)
-        df = df.coalesce(1).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in (*p.key, *p.order)])
+        df = (df.coalesce(1) if n == 1 else df.repartitionByRange(n, *order)).sortWithinPartitions(*order)
+    else:
+        df = df.coalesce(n)
     staged = f"{place}/_staging-{uuid.uuid4().hex}"
-    df.coalesce(1).write.parquet(staged)
+    df.write.parquet(staged)
     made = [f for f, _, _ in engine.files(staged) if f.endswith(".parquet")]
     rows = engine.spark.read.parquet(staged).count()
-    name = "data.parquet" if ours else f"compact-{uuid.uuid4().hex[:12]}.parquet"
-    if ours:  # the old files go first only by name: data.parquet may be one of them
-        beside = f"{place}/_{name}"
-        engine.move(made[0], beside)
-        for f in files:
-            engine.delete(f)
-        engine.move(beside, f"{place}/{name}")
-    else:
-        engine.move(made[0], f"{place}/{name}")
-        for f in files:
-            engine.delete(f)
+    stem = "data" if ours else f"compact-{uuid.uuid4().hex[:12]}"
+    names = [f"{stem}.parquet"] if len(made) == 1 else [f"{stem}-{k:05d}.parquet" for k in range(len(made))]
+    # under names that scans skip until the old files are gone, as an old file may have a new one's name
+    for f, name in zip(made, names):
+        engine.move(f, f"{place}/_{name}")
+    for f in files:
+        engine.delete(f)
+    for name in names:
+        engine.move(f"{place}/_{name}", f"{place}/{name}")
     engine.delete(staged)
-    return {"rows": rows, "published": name}
+    return {"rows": rows, "published": names[0] if len(names) == 1 else f"{names[0]} and {len(names) - 1} more"}

@@ -147,7 +147,7 @@ class Executor:
     def _generation(self, model: Model, action: Action, rows: DataFrame) -> tuple[str, int]:
         """Write rows as the next generation; nothing reads it until the table is pointed there."""
         root = version_root(self.lake, model.name, action.physical)
-        before = [s.generation for s in self.store.snapshots() if s.name == model.name and s.physical == action.physical]
+        before = [s.generation for s in self.store.sharing(model.name, action.physical)]
         n = max(before, default=0) + 1
         place = f"{root}/gen={n}"
         staged = f"{root}/_staging/{uuid.uuid4().hex}"
@@ -188,8 +188,8 @@ class Executor:
     def _save(self, model: Model, action: Action, place: str, generation: int = 0, sql: str = "") -> None:
         self.store.save_snapshot(Snapshot(model.name, action.fingerprint, sql, action.ast, action.physical, model.kind.tag, FINGERPRINT_VERSION, model.schema.json(), place, generation))
         if generation:
-            for s in self.store.snapshots():  # versions that share the files share the generation
-                if s.name == model.name and s.physical == action.physical and s.fingerprint != action.fingerprint:
+            for s in self.store.sharing(model.name, action.physical):  # versions that share the files share the generation
+                if s.fingerprint != action.fingerprint:
                     self.store.save_snapshot(Snapshot(**{**s.__dict__, "location": place, "generation": generation}))
 
     def _held(self, model: Model, action: Action) -> DataFrame:
@@ -204,7 +204,7 @@ class Executor:
         if isinstance(k, External):
             return
         if action.reused_from and not isinstance(k, TimeRange) and not action.refresh:
-            source = next(s for s in self.store.snapshots() if s.name == model.name and s.physical == action.physical)
+            source = self.store.sharing(model.name, action.physical)[0]
             self._save(model, action, source.location, source.generation, source.sql)
             return
         if isinstance(k, Seed):
@@ -253,7 +253,7 @@ class Executor:
         if action.build or action.reused_from:
             self._checked(model, self._body(model, ref))
             self.engine.mkdirs(root)
-            old = next((s for s in self.store.snapshots() if s.name == model.name and s.physical == action.physical), None)
+            old = next(iter(self.store.sharing(model.name, action.physical)), None)
             if old and action.reused_from:
                 lost = set(StructType.fromJson(_json(old.columns)).names) - set(model.columns)
                 if lost:

@@ -96,6 +96,10 @@ class StateStore:
     def snapshots(self) -> list[Snapshot]:
         return [self._snapshot(r) for r in self._rows("select * from snapshots where claimed is null order by name, fingerprint")]
 
+    def sharing(self, name: str, physical: str) -> list[Snapshot]:
+        """The versions of a model that use the same files."""
+        return [self._snapshot(r) for r in self._rows("select * from snapshots where name = ? and physical = ? and claimed is null order by fingerprint", name, physical)]
+
     def save_snapshot(self, s: Snapshot) -> None:
         """Insert, or bring an older record of the same version up to date; the time of creation stays."""
         with self.change() as db:

@@ -129,6 +129,22 @@ def test_compaction_order_of_reasons_and_merge(spark, tmp_path):
     assert len([f for f in os.listdir(f"{place}/day=2026-03-01") if f.endswith(".parquet")]) == 1
 
 
+def test_large_partitions_become_several_files(spark, tmp_path, monkeypatch):
+    from lakeloom.operators import compact as module
+    from lakeloom.plans.model import parquet
+
+    place = tmp_path / "archive"
+    for k in range(6):
+        spark.range(k * 500, (k + 2) * 500).coalesce(1).write.mode("append").parquet(f"{place}/day=2026-03-01")
+    monkeypatch.setattr(module, "FILE_BYTES", 8_000)
+    raw = external("raw.a", parquet(f"{place}/*/*.parquet"), "id bigint", compaction=Compaction(2, 0, ("id",), (), "day"))
+    p = Project(spark, [raw], str(tmp_path / "lake"))
+    r = p.compact("dev", now=round(time.time() * 1000) + 10**10)
+    left = [f for f in os.listdir(f"{place}/day=2026-03-01") if f.endswith(".parquet")]
+    assert r.compacted[0]["rows"] == 3500 and 1 < len(left) < 6
+    assert spark.read.parquet(str(place)).select("id").distinct().count() == spark.read.parquet(str(place)).count() == 3500
+
+
 def test_own_lake_is_compacted_in_place(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS src")
     spark.sql("CREATE TABLE src.e USING parquet AS SELECT /*+ REPARTITION(3) */ id, TIMESTAMP_NTZ'2026-03-01 08:00:00' AS ts FROM range(30)")
