@@ -64,8 +64,11 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
 
+    owner = f"{fn.__module__}.{fn.__qualname__}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # freed batches go back to the system
+        _released(owner)
         return fn(sliced(batches))
 
     return df.mapInArrow(run, schema)
@@ -92,15 +95,23 @@ class Memo(dict):
 
 
 _PER_PROCESS: dict = {}
+_OWNER: list[str] = []
 
 
-def per_process(key, make: Callable):
-    """What ``make`` returns, built once in a Python worker and kept between its tasks; what another operator kept there is given back first."""
-    if key not in _PER_PROCESS:
+def _released(owner: str) -> None:
+    """Workers outlive tasks: give back what another operator kept in this one."""
+    if _OWNER != [owner]:
+        _OWNER[:] = [owner]
         _PER_PROCESS.clear()
         gc.collect()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
             trim(0)
+
+
+def per_process(key, make: Callable):
+    """What ``make`` returns, built once in a Python worker and kept between its tasks of one operator."""
+    if key not in _PER_PROCESS:
+        _PER_PROCESS.clear()
         _PER_PROCESS[key] = make()
     return _PER_PROCESS[key]

@@ -70,12 +70,16 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.neighbours = Memo(lambda ab: self._merged(m.pieces[ab[0]] + m.pieces[ab[1]]) == [*ab], 400_000)
+        self.neighbours = Memo(self._neighbours, 250_000)  # by first id * 2^20 + second
         out = [b""] * len(m.pieces)
         for i, (p, k) in enumerate(zip(m.pieces, m.kinds)):
             out[i] = bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode()
         self.out = out
 
+    def _neighbours(self, pair: int) -> bool:
+        a, b = pair >> 20, pair & 0xFFFFF
+        return self._merged(self.model.pieces[a] + self.model.pieces[b]) == [a, b]
+
     def _merged(self, text: str) -> list[int]:
         """Ids by merging the neighbours whose union scores highest, leftmost first; -1 for a character that isn't a piece."""
         parts: list[str | None] = list(text)
@@ -124,7 +128,7 @@ class Transducer:
             node, j = tree, i
             while j < n and (node := node.get(word[j])) is not None:
                 j += 1
-                if (piece := node.get("")) is not None and (state < 0 or neighbours[state, piece]):
+                if (piece := node.get("")) is not None and (state < 0 or neighbours[state << 20 | piece]):
                     last[j], before[j] = piece, i
         at, found = n, []
         while at:
