@@ -21,7 +21,7 @@ Jaccard similarity of at least ``T`` are sought, every document being a query.
 Words are runs of ``[a-z0-9_]`` and non-ASCII characters of the lower-cased text.
 
 Defined cases. Null, empty and wordless texts and null ids have no pairs. Rows that repeat an id are one document if their texts have the
-same n-grams; otherwise each of its texts counts, and the pair's highest similarity is given. Ties don't arise: pairs are sets. Extra columns are ignored.
+same n-grams; otherwise each of its texts counts, and a pair is given once for each pair of texts. Ties don't arise: pairs are sets. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -368,7 +368,7 @@ class _Joined:
         self.rows = mapped(wanted, run, "rep bigint, set binary", 256).where("length(set) > 0").join(placed(member), "rep").select("tile", "rep", "side", "set")
 
     def found(self, forest: bool) -> DataFrame:
-        """``a, b, jaccard`` of sets, maybe from several tiles; for ``forest`` only links that connect them."""
+        """``a, b, jaccard`` of sets; for ``forest`` only links that connect them."""
         t = self.t
 
         def answer(ids: np.ndarray, side: np.ndarray, held: list[bytes]) -> tuple:
@@ -379,7 +379,7 @@ class _Joined:
             return np.minimum(a, b), np.maximum(a, b), j
 
         pairs = by_tile(self.rows, answer, "a bigint, b bigint, jaccard double").where("a <> b")
-        return pairs.distinct() if forest else pairs
+        return pairs.distinct() if forest else pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def similar_pairs(docs: DataFrame, n: int = N, t: float = T, probes: int = PROBES) -> DataFrame:
@@ -393,8 +393,7 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = T, probes: int = PROBE
     near = near.join(many.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a", "left").join(many.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b", "left")
     near = near.select("jaccard", "mb", "b", F.explode(F.coalesce("ma", F.array("a"))).alias("x")).select("jaccard", "x", F.explode(F.coalesce("mb", F.array("b"))).alias("y"))
     near = near.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    # several tiles may hold a pair, and an id several texts
-    return same.unionByName(near).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return same.unionByName(near)
 
 
 def components(links: DataFrame) -> DataFrame:
