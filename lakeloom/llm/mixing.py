@@ -8,7 +8,7 @@ repetition, so the flow is as full as it can be and, of the fullest, repeats lea
 The flow gives each pattern a number of tokens: whole passes over the pattern and a remainder, for which documents are drawn in the order of a seeded hash of their id until the remainder
 is used. The cut in that order is found from sums over hash ranges, and then only the documents of one range are sorted, so nothing sorts a whole pattern.
 
-Tokens are words, counted as spaces plus one. Defined cases. A null or blank text has no tokens and isn't drawn. Null ``source`` and ``lang`` are values of their own, ``""``; parts without a
+Tokens are words: runs of characters other than white space (space, tab, newline, return, form feed, vertical tab). Defined cases. A null or blank text has no tokens and isn't drawn. Null ``source`` and ``lang`` are values of their own, ``""``; parts without a
 weight get none. Repeated rows are drawn alike; with equal hashes the id decides, and rows of one id are drawn together. A null id hashes as such. Extra columns pass through.
 """
 
@@ -29,9 +29,8 @@ RANGES = 4096
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text as spaces part them; 0 for null and blank."""
-    n = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
-    return F.coalesce(F.when(text.rlike(r"\S"), n.cast("long")), F.lit(0).cast("long"))
+    """Words of a text as white space parts them; 0 for null and blank."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S++")).cast("long"), F.lit(0).cast("long"))
 
 
 class Flow:

@@ -491,6 +491,16 @@ def test_flow_is_the_cheapest(spark):
             assert (-sum(take.values()), cost(take)) == best
 
 
+def test_tokens_are_words_whatever_parts_them(spark):
+    texts = ["one two", "one\ntwo\nthree", "a\tb\tc\r\nd", "  padded   words ", "\n\nx\n", " ", "", None, "\t\n", "w\n" * 5000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.tokens(F.col("text")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [len((t or "").split()) for t in texts]
+    # a list of words, one a line, supplies as much as the same words in prose
+    docs = spark.createDataFrame([(i, ("\n" if i % 2 else " ").join(["word"] * 50), "en", "ab"[i % 2]) for i in range(40)], "doc_id bigint, text string, lang string, source string")
+    drawn, copies = mixing.drawn(docs)
+    assert {r["__tokens"] for r in drawn.collect()} == {50}
+
+
 def test_drawing_is_exact_and_seeded(spark, real, odd, none):
     out, copies = mixing.drawn(real)
     rows = out.select("doc_id", "source", "lang", F.col("__tokens").alias("tokens"), F.col(copies).alias("n"), F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(1 << 40)).alias("u")).collect()
