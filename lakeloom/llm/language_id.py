@@ -8,7 +8,9 @@ is a row of a table with 64 + 64^2 + 64^3 columns and no n-gram is hashed or sor
 
 The fit sees at most ``SAMPLE`` labelled documents a language, whole, and one sentence of each; scoring
 sees every text from end to end. A document is rejected if it holds no letter, or if its scores contradict the declared language by
-at least a margin that at most ``RISK`` of the correctly labelled sample reaches.
+at least the declared language's margin, which about ``RISK`` of its correctly labelled documents reach. Margins are set from out-of-fold scores
+(a text and its sentence share a fold) by median and median deviation of the lead of the declared language, so mislabelled rows, as long as they are
+a minority of their language's sample, move them little, and one badly labelled language doesn't move the others'.
 
 Defined cases. Null, empty and letterless texts get a null language and are rejected. Ties go to the language that
 sorts first. A null declared language can't be contradicted. Without two labelled languages every text with letters
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fresh, mapped
 
-#: Labelled documents a language for the fit; landmarks; languages at most; ridge; bound on clean documents rejected.
+#: Labelled documents a language for the fit; landmarks; languages at most; ridge; share of clean documents that a margin may reject.
 SAMPLE, LANDMARKS, LANGUAGES, RIDGE, RISK = 300, 96, 64, 1e-3, 0.01
+#: Folds that are held out for the margins, and the least margin.
+FOLDS, LEAST = 5, 0.3
 WIDTH = 64 + 64**2 + 64**3
 ROWS = 24
 
@@ -66,9 +71,9 @@ def presence(texts: list[str], out: np.ndarray | None = None) -> np.ndarray:
 
 
 class Model:
-    """Fitted weights; small, whatever the corpus."""
+    """Fitted weights; small, whatever the corpus. ``groups``: texts of one group, by number, are held out together."""
 
-    def __init__(self, texts: list[str], langs: list[str]) -> None:
+    def __init__(self, texts: list[str], langs: list[str], groups: list[int] | None = None) -> None:
         self.langs = sorted(set(langs))
         order = np.random.default_rng(7).permutation(len(texts))
         texts, y = [texts[i] for i in order], np.array([self.langs.index(langs[i]) for i in order], int)
@@ -89,11 +94,21 @@ class Model:
         target = np.where(y[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         beta = np.linalg.solve(phi.T @ phi + RIDGE * max(1, len(y)) * np.eye(phi.shape[1]), phi.T @ target) if phi.shape[1] else np.zeros((0, len(self.langs)))
         self.weights = (root @ beta).astype(np.float32)
-        self.margin = 0.0
-        if len(self.langs) > 1 and len(y):
-            s = kernel @ self.weights
-            against = s.max(1) - s[np.arange(len(y)), y]
-            self.margin = float(max(np.quantile(against, 1 - RISK, method="higher") * 1.25, 0.3))
+        self.margins = np.full(len(self.langs), LEAST)
+        if len(self.langs) > 1 and phi.shape[1]:
+            fold = np.array([i if groups is None else groups[i] for i in order]) % FOLDS
+            lead = np.zeros(len(y))
+            for k in range(FOLDS):
+                rest, out = fold != k, fold == k
+                if rest.any() and out.any():
+                    s = phi[out] @ np.linalg.solve(phi[rest].T @ phi[rest] + RIDGE * rest.sum() * np.eye(phi.shape[1]), phi[rest].T @ target[rest])
+                    mine = s[np.arange(len(s)), y[out]].copy()
+                    s[np.arange(len(s)), y[out]] = -np.inf
+                    lead[out] = mine - s.max(1)
+            for k in range(len(self.langs)):
+                of = lead[y == k]
+                middle = np.median(of)
+                self.margins[k] = max(LEAST, NormalDist().inv_cdf(1 - RISK) * 1.4826 * np.median(np.abs(of - middle)) - middle)
 
     def kernel(self, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Of a batch of presence rows with the landmarks."""
@@ -133,8 +148,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             texts.append(r["text"])
             langs.append(lang)
     pick = np.random.default_rng(3)
-    more = [(s[pick.integers(len(s))], k) for t, k in zip(texts, langs) if (s := _sentences(t))]
-    return Model(texts + [s for s, _ in more], langs + [k for _, k in more])
+    more = [(s[pick.integers(len(s))], k, i) for i, (t, k) in enumerate(zip(texts, langs)) if (s := _sentences(t))]
+    return Model(texts + [s for s, _, _ in more], langs + [k for _, k, _ in more], [*range(len(texts)), *(i for _, _, i in more)])
 
 
 SCHEMA = "pred_lang string, margin double, accepted boolean"
@@ -162,7 +177,7 @@ def identify(docs: DataFrame, model: Model, keep_all: bool = True) -> DataFrame:
             else:
                 best, against, margin = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
             seen = size > 0
-            ok = seen & ((against < m.margin) if len(m.langs) > 1 else True)
+            ok = seen & ((own < 0) | (against < m.margins[np.maximum(own, 0)]) if len(m.langs) > 1 else True)
             if keep_all:
                 pred = pa.array([m.langs[k] if s and m.langs else None for k, s in zip(best, seen)], pa.string())
                 extra = [pred, pa.array([round(x, 6) if s else None for x, s in zip(margin.tolist(), seen)], pa.float64()), pa.array(ok)]

@@ -461,6 +461,37 @@ def test_components_of_a_long_path(spark):
     assert got == {**{n: 0 for n in range(1, 60)}, 101: 100}
 
 
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1])
+def test_language_margins_withstand_spoilt_labels(share):
+    import duckdb
+
+    rows = duckdb.sql("select text, lang from '/root/testdata/sf0.1/documents.parquet' where length(text) between 200 and 5000 order by hash(doc_id)").fetchall()
+    by = {k: [t for t, lang in rows if lang == k] for k in ("de", "en", "es", "fr")}
+    texts, langs, rng = [], [], random.Random(6)
+    for k, ts in by.items():
+        other = sorted(set(by) - {k})
+        texts += ts[:200]
+        langs += [rng.choice(other) if rng.random() < share else k for _ in ts[:200]]
+    m = language_id.Model(texts, langs)
+    assert (m.margins < 1).all()
+    for k, ts in by.items():
+        s, own = m.classify(ts[200:300])[0], m.langs.index(k)
+        against = s.max(1)[:, None] - s
+        assert (against[:, own] < m.margins[own]).mean() > 0.95
+        wrong = [j for j in range(4) if j != own]
+        assert (against[:, wrong] >= m.margins[wrong]).mean() > 0.95
+
+
+def test_one_badly_labelled_language_leaves_the_other_margins():
+    words = {"a": "bal bak bam baf", "b": "tin tir tis til", "c": "mok mol mor mos", "d": "zup zur zul zun"}
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice(w.split()) for _ in range(30)), k) for k, w in words.items() for _ in range(60)]
+    clean = language_id.Model([t for t, _ in rows], [k for _, k in rows])
+    bad = [(t, "d" if k == "a" and i % 7 == 0 else k) for i, (t, k) in enumerate(rows)]
+    spoilt = language_id.Model([t for t, _ in bad], [k for _, k in bad])
+    assert np.allclose(clean.margins, spoilt.margins, atol=0.2)
+
+
 # 10 mixing
 def test_flow_is_the_cheapest(spark):
     rng = random.Random(5)
