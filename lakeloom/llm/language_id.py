@@ -3,8 +3,9 @@
 ``k(x, y)`` counts the distinct character n-grams, n = 1 to 3, that two texts share, divided by the square root of
 ``k(x, x) k(y, y)``. Landmarks give a Nyström feature map, one-versus-rest kernel ridge regression is fitted on
 labelled texts, and a batch of documents is scored by two matrix products: presence times landmarks, times weights.
-Characters are folded to 64 classes (word gap, Latin letters one by one, other letters by Unicode block), so presence
-is a row of a table with 64 + 64^2 + 64^3 columns and no n-gram is hashed or sorted.
+Word gaps and Latin letters up to U+00FC are classes of their own, so n-grams of them are a row of a table with 64 + 64^2 + 64^3 columns and aren't
+sorted. N-grams that hold any other letter or mark keep it in lower case, whatever its script: they are whole numbers of three code points, and are
+looked up among those of the landmarks, the only ones that count besides the text's number of n-grams.
 
 The fit sees at most ``SAMPLE`` labelled documents a language, whole, and one sentence of each; scoring
 sees every text from end to end. A document is rejected if it holds no letter, or if its scores contradict the declared language by
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from statistics import NormalDist
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -37,36 +39,55 @@ WIDTH = 64 + 64**2 + 64**3
 ROWS = 24
 
 
-def _classes() -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
-    table[0x370:] = 58 + (np.arange(0x370, 0x110000) >> 7) % 6
-    for cp in range(0x370):
-        if chr(cp).isalpha():
-            low = chr(cp).lower()[:1]
-            table[cp] = 1 + ord(low) - 97 if "a" <= low <= "z" else 27 + (ord(low) - 223) if 223 <= ord(low) <= 253 else 57
-    for lo, hi in ((0x2000, 0x2070), (0x3000, 0x3004), (0xFE50, 0xFE70), (0x1F000, 0x20000)):
-        table[lo:hi] = 0
-    return table
+#: Class, from which letters aren't in the table, and code point that stands for a gap beside such letters.
+OTHER, GAP = 57, 1
 
 
-CLASSES = _classes()
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each code point."""
+    table, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.int64)
+    for cp in range(0x32400):  # no letters are assigned beyond
+        c = chr(cp)
+        if c.isalpha() or cp >= 0x370 and category(c)[0] == "M":
+            low = ord(c.lower()[0])
+            lower[cp] = low
+            table[cp] = 1 + low - 97 if 97 <= low <= 122 else 27 + low - 223 if 223 <= low <= 252 else OTHER
+    lower[table == 0] = GAP
+    return table, lower
 
 
-def presence(texts: list[str], out: np.ndarray | None = None) -> np.ndarray:
-    """A row for each text: which of the n-grams it holds. Runs of other characters count as one gap; text is set between gaps."""
+CLASSES, LOWER = _classes()
+
+
+def presence(texts: list[str], out: np.ndarray | None = None, others: list[np.ndarray] | None = None) -> np.ndarray:
+    """A row for each text: which of the table's n-grams it holds. Runs of other characters count as one gap; text is set between gaps.
+    ``others`` gets for each text its distinct n-grams that aren't in the table, in order.
+    """
     out = np.zeros((len(texts), WIDTH), bool) if out is None else out[: len(texts)]
     out[:] = False
     for row, text in zip(out, texts):
-        code = CLASSES[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-        code = np.concatenate(([0], code, [0])).astype(np.int32)
-        code = code[np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))]
-        if len(code) < 3:
-            continue
-        two = code[:-1] * 64 + code[1:]
-        row[code] = True
-        row[0] = False
-        row[64 + two] = True
-        row[64 + 4096 + two[:-1] * 64 + code[2:]] = True
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        code = np.concatenate(([0], CLASSES[points], [0])).astype(np.int32)
+        kept = np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))
+        code = code[kept]
+        more = np.zeros(0, np.int64)
+        if len(code) >= 3:
+            two = code[:-1] * 64 + code[1:]
+            three = two[:-1] * 64 + code[2:]
+            one = code
+            if (far := code >= OTHER).any():
+                p = np.concatenate(([GAP], LOWER[points], [GAP]))[kept]
+                in_two = far[:-1] | far[1:]
+                in_three = in_two[:-1] | far[2:]
+                pair = p[:-1] | p[1:] << 21
+                more = np.unique(np.concatenate((p[far], pair[in_two], (pair[:-1] | p[2:] << 42)[in_three])))
+                one, two, three = code[~far], two[~in_two], three[~in_three]
+            row[one] = True
+            row[0] = False
+            row[64 + two] = True
+            row[64 + 4096 + three] = True
+        if others is not None:
+            others.append(more)
     return out
 
 
@@ -80,12 +101,18 @@ class Model:
         # landmarks: as many texts of each language, the first of the sample's random order; rows are never held for the whole sample
         per = max(1, LANDMARKS // max(1, len(self.langs)))
         marks = [i for k in range(len(self.langs)) for i in np.flatnonzero(y == k)[:per].tolist()]
-        held = presence([texts[i] for i in marks])
-        size = held.sum(1, dtype=np.float32)
+        others: list[np.ndarray] = []
+        held = presence([texts[i] for i in marks], None, others)
+        size = held.sum(1, dtype=np.float32) + np.array([len(o) for o in others], np.float32)
+        others = [o for o, n in zip(others, size) if n]
         held, size = held[size > 0], size[size > 0]
+        # n-grams outside the table, sorted, with the landmark that each is of
+        keys, owner = np.concatenate([np.zeros(0, np.int64), *others]), np.repeat(np.arange(len(others)), [len(o) for o in others])
+        by_key = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.root_size = keys[by_key], owner[by_key].astype(np.int32), np.sqrt(size)
         self.cols = np.flatnonzero(held.any(0))
         self.marks = (held[:, self.cols] / np.sqrt(size)[:, None]).astype(np.float32)
-        square = self.kernel(held, size)
+        square = self.kernel(held, size, others)
         del held
         w, v = np.linalg.eigh(square.astype(np.float64)) if len(square) else (np.zeros(0), np.zeros((0, 0)))
         root = v[:, w > 1e-6] / np.sqrt(w[w > 1e-6])
@@ -110,18 +137,26 @@ class Model:
                 middle = np.median(of)
                 self.margins[k] = max(LEAST, NormalDist().inv_cdf(1 - RISK) * 1.4826 * np.median(np.abs(of - middle)) - middle)
 
-    def kernel(self, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Of a batch of presence rows with the landmarks."""
-        return rows[:, self.cols].astype(np.float32) @ self.marks.T / np.sqrt(np.maximum(size, 1))[:, None]
+    def kernel(self, rows: np.ndarray, size: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Of a batch of presence rows, and the n-grams that aren't in them, with the landmarks."""
+        shared = rows[:, self.cols].astype(np.float32) @ self.marks.T
+        for k, own in enumerate(others):
+            if len(own) and len(self.keys):
+                first = np.searchsorted(self.keys, own, "left")
+                n = np.searchsorted(self.keys, own, "right") - first
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared[k] += np.bincount(self.owner[at], minlength=len(self.root_size)) / self.root_size
+        return shared / np.sqrt(np.maximum(size, 1))[:, None]
 
     def kernels(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of texts with the landmarks, in batches, and each text's number of distinct n-grams."""
         buffer = np.empty((ROWS, WIDTH), bool)
         got, sizes = [], []
         for i in range(0, len(texts), ROWS):
-            rows = presence([t or "" for t in texts[i : i + ROWS]], buffer)
-            sizes.append(np.array([np.count_nonzero(r) for r in rows], np.float32))
-            got.append(self.kernel(rows, sizes[-1]))
+            others: list[np.ndarray] = []
+            rows = presence([t or "" for t in texts[i : i + ROWS]], buffer, others)
+            sizes.append(np.array([np.count_nonzero(r) + len(o) for r, o in zip(rows, others)], np.float32))
+            got.append(self.kernel(rows, sizes[-1], others))
         return np.concatenate(got), np.concatenate(sizes)
 
     def classify(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -461,6 +461,30 @@ def test_components_of_a_long_path(spark):
     assert got == {**{n: 0 for n in range(1, 60)}, 101: 100}
 
 
+def test_languages_of_one_script_differ_by_their_letters():
+    words = {
+        "ru": "который человек время очень только было если когда чтобы первый", "uk": "який людина час дуже тільки було якщо коли щоб перший",
+        "ar": "الذي كان هذا على من إلى في التي بعد عند", "fa": "که این است برای از به در آن را می‌شود",
+        "hi": "यह वह किताब घर पानी समय आदमी बहुत लेकिन क्योंकि", "pl": "że się który człowiek czas bardzo tylko było jeśli żeby", "el": "που άνθρωπος χρόνος πολύ μόνο ήταν όταν πρώτος",
+    }
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choice(words[k].split()) for _ in range(12))
+    rows = [(text(k), k) for k in words for _ in range(40)]
+    m = language_id.Model([t for t, _ in rows], [k for _, k in rows])
+    new = [(text(k), k) for k in words for _ in range(20)]
+    s, size = m.classify([t for t, _ in new])
+    assert all(m.langs[i] == k for i, (_, k) in zip(s.argmax(1), new))
+    # the kernel is the share of common n-grams, whatever the script
+    def grams(t):
+        x = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        return {x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)} - {" "}
+
+    a, b = "Время и ČAS, 日本 время", "время 日本語 and čas"
+    one = language_id.Model([a], ["x"])
+    assert one.kernels([b])[0][0, 0] == pytest.approx(len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))), rel=1e-5)
+    assert one.kernels([b])[1][0] == len(grams(b)) and not m.classify(["▁ 🙂 ٣", None])[1].any()
+
+
 @pytest.mark.parametrize("share", [0.02, 0.05, 0.1])
 def test_language_margins_withstand_spoilt_labels(share):
     import duckdb
