@@ -6,8 +6,8 @@ upper ``BITS`` bits are zero, at least ``LEAST`` and at most ``MOST`` bytes from
 
 Chunks are told apart by a 128-bit digest. The *store* keeps each chunk's bytes once, compressed, and each payload
 keeps its *list*: the ordered digests, and a root, the digest of those digests with the length. Joining lists with the store
-by digest reconstructs payloads. For verification bytes move once, to their digest: there each chunk is hashed again,
-and each payload's list is hashed again against its root, which together prove every byte and its place.
+by digest reconstructs payloads. For verification every payload is rebuilt so from the written store and lists, and its
+length and SHA-256 are compared with those of the original bytes, taken before they were cut.
 
 Defined cases. A null payload has a null list and isn't verified; an empty one has an empty list and is. Rows of the same
 id are payloads of their own. Ties between equal chunks don't matter: they're the same bytes. Extra columns are ignored.
@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import mapped
+from .common import mapped, stored
 
 BITS, LEAST, MOST = 11, 512, 16_384
 GEAR = np.frombuffer(hashlib.shake_256(b"lakeloom gear").digest(1024), np.uint32)
@@ -63,30 +63,32 @@ def root(digests: list[bytes], size: int) -> bytes:
 
 
 def chunked(media: DataFrame, key: str, payload: str, with_data: bool = True) -> DataFrame:
-    """``row, id, size, root, at, count, digest, data`` for each chunk; for an empty or null payload one row without a digest. ``data`` is compressed."""
+    """``row, id, size, root, at, count, digest, data, whole`` for each chunk; for an empty or null payload one row without a digest.
+    ``data`` is compressed; ``whole`` is the SHA-256 of the payload.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress if with_data else lambda _: None
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for row, i, data in zip(*(c.to_pylist() for c in b.columns)):
                 parts, a = [], 0
                 for z in cuts(data) if data else []:
                     parts.append(data[a:z])
                     a = z
                 names = [digest(p) for p in parts]
-                whole = None if data is None else root(names, len(data))
+                whole, proof = (None, None) if data is None else (root(names, len(data)), hashlib.sha256(data).hexdigest())
                 for at, (name, part) in enumerate(zip(names, parts)):
-                    for c, v in zip(cols, (row, i, len(data), whole, at, len(parts), name, pack(part))):
+                    for c, v in zip(cols, (row, i, len(data), whole, at, len(parts), name, pack(part), proof)):
                         c.append(v)
                 if not parts:
-                    for c, v in zip(cols, (row, i, None if data is None else 0, whole, 0, None if data is None else 0, None, None)):
+                    for c, v in zip(cols, (row, i, None if data is None else len(data), whole, 0, None if data is None else 0, None, None, proof)):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "id", "size", "root", "at", "count", "digest", "data"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "id", "size", "root", "at", "count", "digest", "data", "whole"])
 
     rows = media.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(payload).cast("binary").alias("payload"))
-    return mapped(rows, run, "row bigint, id bigint, size bigint, root binary, at int, count int, digest binary, data binary", 256)
+    return mapped(rows, run, "row bigint, id bigint, size bigint, root binary, at int, count int, digest binary, data binary, whole string", 256)
 
 
 def store(chunks: DataFrame) -> DataFrame:
@@ -118,39 +120,30 @@ def reconstructed(lists: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def lists(chunks: DataFrame) -> DataFrame:
-    """``row, id, size, root, digests``: one row for each payload."""
+    """``row, id, size, root, whole, digests``: one row for each payload."""
     parts = F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("at", "digest")))
-    out = chunks.groupBy("row", "id").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.sort_array(parts).alias("p"))
-    return out.select("row", "id", "size", "root", F.when(F.col("root").isNotNull(), F.col("p.digest")).alias("digests"))
+    out = chunks.groupBy("row", "id").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.first("whole").alias("whole"), F.sort_array(parts).alias("p"))
+    return out.select("row", "id", "size", "root", "whole", F.when(F.col("root").isNotNull(), F.col("p.digest")).alias("digests"))
 
 
 def verified(media: DataFrame, key: str, payload: str) -> DataFrame:
     """``id, size, digests, n_chunks, n_shared, verified`` for each payload.
 
-    Payload bytes are shuffled once, compressed and combined map-side, to the store. Places are joined to it by digest without bytes,
-    so a chunk that very many payloads hold is one row of the store and its places are split like any skewed join's.
+    Writes the store and the lists, and rebuilds each payload by joining them. A chunk that very many payloads hold is one row of the store,
+    and its places are split like any skewed join's.
     """
-    kept = store(chunked(media, key, payload)).select("digest", "intact", (F.col("refs") > 1).alias("shared"))
-    places = chunked(media, key, payload, False).drop("data").join(kept, "digest", "left")
-    gathered = places.groupBy("row", "id").agg(
-        F.first("size").alias("size"), F.first("root").alias("root"), F.first("count").alias("count"),
-        F.sort_array(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("at", "digest", "intact", "shared")))).alias("p"),
+    kept = stored(store(chunked(media, key, payload)), "store")
+    listed = stored(lists(chunked(media, key, payload, False)), "lists")
+    back = reconstructed(listed, kept).select("row", F.length("payload").alias("length"), F.sha2("payload", 256).alias("proof"))
+    places = listed.select("row", F.explode("digests").alias("digest")).join(kept.where("refs > 1").select("digest"), "digest", "left_semi")
+    out = listed.join(back, "row", "left").join(places.groupBy("row").agg(F.count("*").alias("n_shared")), "row", "left")
+    there = F.col("digests").isNotNull()
+    same = F.coalesce((F.col("length") == F.col("size")) & (F.col("proof") == F.col("whole")), F.lit(False))
+    return out.select(
+        "id", "size", F.transform("digests", lambda d: F.lower(F.hex(d))).alias("digests"), F.when(there, F.size("digests").cast("long")).alias("n_chunks"),
+        F.when(there, F.coalesce("n_shared", F.lit(0).cast("long"))).alias("n_shared"), F.when(there, same).alias("verified"),
     )
 
-    def proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, ok = [], []
-            for size, whole, count, found in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4))):
-                d = None if whole is None else [x["digest"] for x in found]
-                names.append(d)
-                ok.append(None if d is None else len(d) == count and all(x["intact"] for x in found) and root(d, size) == whole)
-            shared = [None if d is None else sum(x["shared"] for x in f) for d, f in zip(names, b.column(4).to_pylist())]
-            hexed = pa.array([None if d is None else [x.hex() for x in d] for d in names], pa.list_(pa.string()))
-            n = pa.array([None if d is None else len(d) for d in names], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hexed, n, pa.array(shared, pa.int64()), pa.array(ok, pa.bool_())], names=["id", "size", "digests", "n_chunks", "n_shared", "verified"])
-
-    return mapped(gathered.select("id", "size", "root", "count", "p"), proven, "id bigint, size bigint, digests array<string>, n_chunks bigint, n_shared bigint, verified boolean")
-
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw pages as payloads."""

@@ -199,6 +199,14 @@ def test_payloads_are_deduplicated_verified_and_rebuilt(spark):
     assert chunking.verified(media.limit(0), "page_id", "html").count() == 0
 
 
+def test_payloads_that_lose_bytes_are_not_verified(spark, monkeypatch):
+    data = np.random.default_rng(6).integers(0, 256, 60_000, dtype=np.uint8).tobytes()
+    media = spark.createDataFrame([(1, data), (2, data[:300]), (3, b""), (4, None)], "page_id bigint, html binary")
+    assert {r.id: (r.size, r.verified) for r in chunking.verified(media, "page_id", "html").collect()} == {1: (60_000, True), 2: (300, True), 3: (0, True), 4: (None, None)}
+    monkeypatch.setattr(chunking, "cuts", lambda d, real=chunking.cuts: real(d)[:-1])
+    assert {r.id: (r.size, r.verified) for r in chunking.verified(media, "page_id", "html").collect()} == {1: (60_000, False), 2: (300, False), 3: (0, True), 4: (None, None)}
+
+
 # 5 toxicity
 def subsequence_kernel(s: str, t: str, n: int, lam: float) -> float:
     total = 0.0
