@@ -3,8 +3,9 @@
 Features: length, path depth, digit ratio, entropy, numbers of parameters, host labels, hyphens and so on, and statistics of the suffix and of the
 host's character pairs: smoothed log-odds of unwanted URLs with the same last host label, and the mean log-odds of the host's pairs, counted on the
 training part. Labels: a table ``url, label``, or where there is none a list of known unwanted sites. Trees are grown by
-histograms on at most ``SAMPLE`` labelled URLs (those that hash lowest, so the same for any partitioning) with logistic loss; the cutoff is the lowest at which
-at most ``FALSE`` of the held-out wanted URLs are rejected.
+histograms on at most ``SAMPLE`` labelled URLs of either kind (those that hash lowest, so the same for any partitioning) with logistic loss, where rare unwanted
+ones are repeated until they are at least ``SHARE`` of the fit; the cutoff is the lowest of at least 0 there at which at most ``FALSE`` of the held-out wanted URLs
+are rejected. Scores are corrected for the share that unwanted URLs have in the table.
 
 Features and trees are computed for a batch of URLs at once from their joined bytes. Nothing is shuffled but the training sample.
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import mapped
 
-SAMPLE, TREES, DEPTH, RATE, FALSE = 20_000, 40, 3, 0.3, 0.002
+SAMPLE, TREES, DEPTH, RATE, FALSE, SHARE = 20_000, 40, 3, 0.3, 0.002, 0.1
 #: Sites that stand for the unwanted in the pages' labels, by the first label of their registered domain.
 KNOWN = ("spam-farm", "cheap-pills", "adult-x", "casino-win", "free-bets", "ads-track")
 _SPLIT = re.compile(r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*)://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
@@ -145,26 +146,35 @@ class Boosted:
 
 
 class Model:
-    def __init__(self, urls: list[str], labels: list[int]) -> None:
+    """``shares``: the parts of the wanted and of the unwanted URLs that were drawn for ``urls``."""
+
+    def __init__(self, urls: list[str], labels: list[int], shares: tuple[float, float] = (1.0, 1.0)) -> None:
         y = np.array(labels, np.float64)
         self.trees: Boosted | None = None
-        self.cutoff = np.inf
+        self.cutoff, self.prior = np.inf, 0.0
         if not len(y) or y.min() == y.max():
             return
         fold = np.random.default_rng(9).random(len(y)) < 0.7
+        for side in (0, 1):  # few of a kind are all fitted on
+            if not fold[y == side].any():
+                fold[y == side] = True
         train = [u for u, f in zip(urls, fold) if f]
         self.lexicon = Lexicon(train, y[fold])
-        self.trees = Boosted(features(train, self.lexicon), y[fold])
+        bad = int(y[fold].sum())
+        times = max(1, int(SHARE / (1 - SHARE) * (len(train) - bad) / bad))
+        self.prior = float(np.log(shares[0] / shares[1] / times))
+        repeat = np.where(y[fold] == 1, times, 1)
+        self.trees = Boosted(np.repeat(features(train, self.lexicon), repeat, 0), np.repeat(y[fold], repeat))
         held = self.trees.margin(features([u for u, f in zip(urls, fold) if not f], self.lexicon))
         good = np.sort(held[y[~fold] == 0])
         self.cutoff = max(0.0, float(good[min(len(good) - 1, int(np.ceil(len(good) * (1 - FALSE))))]) + 1e-9) if len(good) else 0.0
 
     def scores(self, urls: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.trees.margin(features(urls, self.lexicon)))) if self.trees else np.zeros(len(urls))
+        return 1 / (1 + np.exp(-self.trees.margin(features(urls, self.lexicon)) - self.prior)) if self.trees else np.zeros(len(urls))
 
     @property
     def threshold(self) -> float:
-        return float(1 / (1 + np.exp(-self.cutoff)))
+        return float(1 / (1 + np.exp(-self.cutoff - self.prior)))
 
 
 def known_label(url: Column, sites: tuple[str, ...] = KNOWN) -> Column:
@@ -174,10 +184,13 @@ def known_label(url: Column, sites: tuple[str, ...] = KNOWN) -> Column:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """From ``url, label``; only the sample goes to the driver."""
+    """From ``url, label``; only the sample, ``sample`` URLs of either kind, goes to the driver."""
     h = F.xxhash64("url", F.lit(31))
-    rows = labelled.where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").alias("label")).orderBy(h, "url").limit(sample).collect()
-    return Model([r["url"] for r in rows], [r["label"] for r in rows])
+    marked = labelled.where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
+    there = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    rows = [r for k in (0, 1) for r in marked.where(F.col("label") == k).orderBy(h, "url").limit(sample).collect()]
+    shares = tuple(min(1.0, sample / there.get(k, 1)) for k in (0, 1))
+    return Model([r["url"] for r in rows], [r["label"] for r in rows], shares)
 
 
 def judged(pages: DataFrame, model: Model, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -191,9 +204,10 @@ def judged(pages: DataFrame, model: Model, key: str = "page_id", url: str = "url
             some = [k for k, u in enumerate(urls) if u and u.strip()]
             value = m.scores([urls[k] for k in some])
             score: list = [None] * len(urls)
+            kept = [False] * len(urls)
             for k, s in zip(some, value.tolist()):
-                score[k] = round(s, 9)
-            keep = pa.array([s is not None and s < m.threshold for s in score])
+                score[k], kept[k] = round(s, 9), s < m.threshold  # where unwanted URLs are rare, scores are small
+            keep = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), keep], names=[key, "url", "score", "keep"])
 
     return mapped(pages.select(F.col(key).cast("long").alias(key), F.col(url).alias("url")), run, f"`{key}` bigint, url string, score double, keep boolean", 4096)

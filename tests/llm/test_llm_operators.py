@@ -349,6 +349,20 @@ def test_url_filter_on_pages(spark):
     assert url_filter.judged(odd.limit(0), url_filter.Model([], [])).count() == 0
 
 
+def test_rare_unwanted_urls_are_in_the_fit(spark):
+    n = 200_000
+    bad = F.col("id") % 100_000 == 77
+    url = F.when(bad, F.concat(F.lit("http://win7.spam-farm.example.top/buy-now-99?aff="), "id")).otherwise(
+        F.concat(F.lit("https://www.site"), F.col("id") % 997, F.lit(".example.org/articles/"), "id"))
+    pages = spark.range(n).select(F.col("id").alias("page_id"), url.alias("url"))
+    m = url_filter.fit(pages.select("url", url_filter.known_label(F.col("url")).alias("label")))
+    rows = url_filter.judged(pages, m).groupBy(F.col("url").contains("spam-farm").alias("bad"), "keep").count().collect()
+    count = {(r.bad, r.keep): r["count"] for r in rows}
+    assert count[True, False] == 2 and (True, True) not in count and count.get((False, False), 0) < 0.005 * n
+    # scores follow the table's share of unwanted URLs, not the sample's
+    assert m.prior < -5
+
+
 # 8 language ID
 def test_presence_rows_are_the_ngrams():
     text = "Été à Nîmes, 42 fois"
