@@ -3,7 +3,7 @@
 A document may count for several *mixture parts*: here its ``source`` and its ``lang``. Documents are aggregated by membership pattern, so the flow network has a node
 for each pattern, whatever the corpus. Tokens flow from the patterns to the parts' quotas. A pattern's supply is split in copies: the first costs nothing, each further one
 costs more (convex, so copies are used in order), up to ``COPIES``. Every part has a quota of ``weight * budget`` tokens; what can't be filled flows from a dummy supply at a cost above any
-repetition, so the flow is as full as it can be and, of the fullest, repeats least. Capacities are whole tokens and flows exact: successive shortest paths with potentials.
+repetition, so the flow is as full as it can be and, of the fullest, repeats least; what a part misses is logged. Capacities are whole tokens and flows exact: successive shortest paths with potentials.
 
 The flow gives each pattern a number of tokens: whole passes over the pattern and a remainder, for which documents are drawn in the order of a seeded hash of their id until the remainder
 is used. The cut in that order is found from sums over hash ranges, and then only the documents of one range are sorted, so nothing sorts a whole pattern.
@@ -15,6 +15,7 @@ weight get none. Repeated rows are drawn alike; with equal hashes the id decides
 from __future__ import annotations
 
 import heapq
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -26,6 +27,7 @@ LANG_SHARE, BUDGET, COPIES, SEED = 0.5, 0.9, 3, 17
 #: Cost of a token's k-th copy: k * (k - 1) / 2 times this; a token that is missing costs MISSING.
 REPEAT, MISSING = 10, 1000
 RANGES = 4096
+_LOG = logging.getLogger(__name__)
 
 
 def tokens(text: Column) -> Column:
@@ -85,8 +87,8 @@ class Flow:
             flow += step
 
 
-def routed(supply: dict[tuple[str, ...], int], quotas: dict[str, int], copies: int = COPIES) -> dict[tuple[str, ...], int]:
-    """Tokens to take from each pattern (a tuple of the parts it belongs to) to fill the quotas."""
+def routed(supply: dict[tuple[str, ...], int], quotas: dict[str, int], copies: int = COPIES, unfilled: dict[str, int] | None = None) -> dict[tuple[str, ...], int]:
+    """Tokens to take from each pattern (a tuple of the parts it belongs to) to fill the quotas; ``unfilled`` gets what each part misses."""
     patterns, parts = sorted(supply), sorted(quotas)
     net = Flow(len(patterns) + len(parts) + 2)
     source, sink = len(patterns) + len(parts), len(patterns) + len(parts) + 1
@@ -97,10 +99,13 @@ def routed(supply: dict[tuple[str, ...], int], quotas: dict[str, int], copies: i
         for part in p:
             if part in part_at:
                 net.add(k, part_at[part], copies * supply[p], 0)
+    lack = {}
     for part in parts:
         net.add(part_at[part], sink, quotas[part], 0)
-        net.add(source, part_at[part], quotas[part], MISSING)
+        lack[part] = net.add(source, part_at[part], quotas[part], MISSING)
     net.run(source, sink)
+    if unfilled is not None:
+        unfilled.update((part, n) for part, e in lack.items() if (n := net.room[e ^ 1]))
     return {p: sum(net.room[e ^ 1] for e in arcs) for p, arcs in taken.items()}
 
 
@@ -117,7 +122,11 @@ def plan(stats: DataFrame, copies: int = COPIES, **weights) -> list[tuple[str, s
     rows = [r for r in stats.collect() if r["tokens"]]
     supply = {(f"source:{r['source']}", f"lang:{r['lang']}"): int(r["tokens"]) for r in rows}
     want = quotas(sum(supply.values()), sorted({p[0][7:] for p in supply}), **weights)
-    return [(p[0][7:], p[1][5:], take // supply[p], take % supply[p], supply[p]) for p, take in sorted(routed(supply, want, copies).items())]
+    unfilled: dict[str, int] = {}
+    takes = routed(supply, want, copies, unfilled)
+    for part, n in unfilled.items():
+        _LOG.warning("%s misses %d of its %d tokens: a document is drawn at most %d times", part, n, want[part], copies)
+    return [(p[0][7:], p[1][5:], take // supply[p], take % supply[p], supply[p]) for p, take in sorted(takes.items())]
 
 
 def drawn(docs: DataFrame, seed: int = SEED, **params) -> tuple[DataFrame, str]:

@@ -578,6 +578,17 @@ def test_tokens_are_words_whatever_parts_them(spark):
     assert {r["__tokens"] for r in drawn.collect()} == {50}
 
 
+def test_unfilled_quotas_are_told(caplog):
+    class Stats:
+        def collect(self):
+            return [{"source": "hot", "lang": "en", "tokens": 10_000}, {"source": "tiny", "lang": "en", "tokens": 10}]
+
+    planned = mixing.plan(Stats(), langs={"en": 1.0}, share=0.0)
+    want = mixing.quotas(10_010, ["hot", "tiny"], {"en": 1.0}, 0.0)["source:tiny"]
+    assert {s: p * n + r for s, _, p, r, n in planned}["tiny"] == mixing.COPIES * 10
+    assert f"source:tiny misses {want - mixing.COPIES * 10} of its {want} tokens" in caplog.text and "source:hot" not in caplog.text
+
+
 def test_drawing_is_exact_and_seeded(spark, real, odd, none):
     out, copies = mixing.drawn(real)
     rows = out.select("doc_id", "source", "lang", F.col("__tokens").alias("tokens"), F.col(copies).alias("n"), F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(1 << 40)).alias("u")).collect()
