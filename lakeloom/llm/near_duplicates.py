@@ -1,27 +1,24 @@
-"""N-gram Jaccard self-join that skips by set relations.
+"""N-gram Jaccard self-join that skips by set relations; exact.
 
 A text's set holds the 64-bit hashes of its runs of ``N`` words (all its words, if fewer). All pairs of documents with
-Jaccard similarity of at least ``T`` are sought, every document being a query.
-
-1. *Signature*. One pass over the texts gives each set's size, two order-free digests and its smallest hashes. Documents with
-   equal digests are one set from here on.
-2. *Index lists*. A set is listed under its first hashes in hash order, no more than the prefix filter needs
-   (``size - ceil(T * size) + 1``) and no more than ``PROBES``. Two sets of similarity J share none of ``PROBES`` first hashes with
-   probability at most ``(1 - J) ** PROBES`` (0.0002 for J = ``T``), and 0 for sets up to ``PROBES / (1 - T)`` n-grams. A list is cut into blocks by position and sorted by size in each: the overlap that
-   remains after a position bounds the similarity, so whole blocks of positions, and sizes out of range, are skipped, and a set without a
-   possible partner leaves the list.
-3. *Tiles*. Lists with the same smallest member are joined into one group, since copies share most of their lists; a group of more
-   than ``TILE`` sets is cut into square tiles, each a task's work, so that a group of any size is spread out.
-   Groups are first refined on sketches of the ``SKETCH`` smallest hashes, four bytes each, since a passage that many documents share makes groups of little similarity:
-   two sets stay together if their sketches share ``NEED`` of ``SKETCH`` hashes (of smaller sets in proportion). For J = ``T`` that misses
-   less than 0.4 %, for J = 0.6 less than 0.01 %. Only for sets that still are in some group n-grams are computed again and shuffled.
-4. *Answers*. In a tile, a set's overlaps with all others come from inverted lists. The next set's overlaps are derived from those of an already
+Jaccard similarity of at least ``T`` are found, every document being a query. Nothing is sampled, capped or estimated.
+
+1. *Classes*. One pass over the texts gives each set's size and two order-free digests. Documents with equal digests are one set from here on.
+2. *Inverted lists*. Each set's hashes go to buckets of about ``BUCKET`` tokens, packed in six bytes each. A bucket finds which tokens several sets hold and tells
+   those sets, in like packed form, how many hold each and which of the holders comes first; tokens of one set are told by their absence.
+3. *Index*. So a set knows the order of its tokens from the rarest on, and by the prefix filter (``size - ceil(T * size) + 1`` first tokens, ties included) it is
+   listed under the first holders of the tokens in that prefix, with its size and its first position there. What many documents share, as passages and boilerplate, is at the end of the
+   order, so lists hold little but true partners. A list is cut into blocks by position and sorted by size in each: the overlap that remains after a
+   position bounds the similarity, so whole blocks of positions, and sizes out of range, are skipped, and a set without a possible partner leaves the list.
+4. *Tiles*. A list of more than ``TILE`` sets or ``TOKENS`` tokens is cut into square tiles, each a task's work, so that a list of any size is spread out. Only for sets
+   that are in a list n-grams are computed again and shuffled.
+5. *Answers*. In a tile, a set's overlaps with all others come from inverted lists. The next set's overlaps are derived from those of an already
    answered, highly similar set: minus the lists of n-grams that only that set has, plus those that only this one has. Overlaps are exact.
 
 Words are runs of ``[a-z0-9_]`` and non-ASCII characters of the lower-cased text.
 
-Defined cases. Null, empty and wordless texts and null ids have no pairs. Rows that repeat an id are one document if their texts have the
-same n-grams; otherwise each of its texts counts, and a pair is given once for each pair of texts. Ties don't arise: pairs are sets. Extra columns are ignored.
+Defined cases. Null, empty and wordless texts and null ids have no pairs; an empty table has none. Rows that repeat an id are one document if their texts have the
+same n-grams; otherwise each of its texts counts, and a pair is given once for each pair of texts. Very long texts are read to their end. Ties don't arise: pairs are sets. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import dropped, mapped, stored
 
-N, T, PROBES, TILE = 3, 0.5, 12, 1536
-SKETCH, NEED = 32, 9
+N, T = 3, 0.5
+#: Sets and tokens of a tile; tokens of a bucket of inverted lists, and of the texts that a task packs together.
+TILE, TOKENS, BUCKET, PACK = 2048, 1_500_000, 2_000_000, 1_000_000
 #: Ids up to this many (8 bytes each) are broadcast to pick the documents whose n-grams are needed; beyond it they are joined.
 BROADCAST_IDS = 4_000_000
 
@@ -55,6 +54,8 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
+    if n > 1 << 22:  # of a very long text; not kept
+        return [np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, b, np.uint64)))) for b in (_BASE, _INVERSE)]
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 20)
         _POWERS[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, b, np.uint64)))) for b in (_BASE, _INVERSE)]
@@ -105,43 +106,180 @@ def _shingles(data: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def prefix(size: int, t: float, probes: int) -> int:
-    """How many first hashes a set is listed under."""
-    return min(probes, size - int(np.ceil(t * size - 1e-9)) + 1)
+def prefix(size: np.ndarray, t: float) -> np.ndarray:
+    """How many first tokens a set is listed under: sets at least ``t`` alike share one of them in any common order of tokens."""
+    return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
-def signatures(docs: DataFrame, n: int, t: float, probes: int) -> DataFrame:
-    """``doc_id, size, sum, xor, first, sketch``; one row for each document with words."""
+#: What documents of the same set of n-grams share.
+KEY = ("size", "sum", "xor")
+
+
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """``KEY`` of each set."""
+    sums = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    xors = np.array([np.bitwise_xor.reduce(_mix(s)) for s in sets], np.uint64).view(np.int64)
+    return [pa.array([len(s) for s in sets], pa.int32()), pa.array(sums), pa.array(xors)]
+
+
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, size, sum, xor``; one row for each document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingles(b.column(1).to_pylist(), n)
             keep = [k for k, s in enumerate(sets) if len(s)]
-            sums = np.array([sets[k].sum(dtype=np.uint64) for k in keep], np.uint64).view(np.int64)
-            xors = np.array([np.bitwise_xor.reduce(_mix(sets[k])) for k in keep], np.uint64).view(np.int64)
-            first = [sets[k][: prefix(len(sets[k]), t, probes)].view(np.int64) for k in keep]
-            at = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in first]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(keep, pa.int64())),
-                    pa.array([len(sets[k]) for k in keep], pa.int32()),
-                    pa.array(sums),
-                    pa.array(xors),
-                    pa.ListArray.from_arrays(at, pa.array(np.concatenate(first) if first else np.zeros(0, np.int64))),
-                    pa.array([(sets[k][:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for k in keep], pa.binary()),
-                ],
-                names=["doc_id", "size", "sum", "xor", "first", "sketch"],
-            )
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return mapped(read, run, "doc_id bigint, size int, sum bigint, xor bigint, first array<bigint>, sketch binary")
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), *_digests([sets[k] for k in keep])], names=["doc_id", *KEY])
+
+    return mapped(_texts(docs), run, "doc_id bigint, size int, sum bigint, xor bigint")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+
+
+def packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """``bucket, pack, data``: the texts of a task in packs of about ``PACK`` tokens. A pack's row of bucket -1 has its documents' ids and sizes; the
+    row of another bucket has the lower halves of the hashes that fall there and the number of the document that each is of. The bucket stands for the upper halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, size, task = [], [], 0, TaskContext.get()
+        pack = (task.partitionId() if task else 0) << 20
+
+        def batch() -> pa.RecordBatch:
+            sizes = np.array([len(s) for s in held])
+            flat = np.concatenate(held)
+            own = np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
+            to = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+            order = np.argsort(to, kind="stable")
+            low, own = flat[order].astype(np.uint32), own[order]
+            there, first = np.unique(to[order], return_index=True)
+            data = [np.array(ids, np.int64).tobytes() + sizes.astype(np.int32).tobytes()]
+            data += [low[a:z].tobytes() + own[a:z].tobytes() for a, z in zip(first.tolist(), [*first[1:].tolist(), len(flat)])]
+            at = [pa.array([-1, *there.tolist()], pa.int64()), pa.array([pack] * len(data), pa.int64()), pa.array(data, pa.binary())]
+            return pa.RecordBatch.from_arrays(at, names=["bucket", "pack", "data"])
+
+        for b in batches:
+            for i, s in zip(b.column(0).to_pylist(), shingles(b.column(1).to_pylist(), n)):
+                if len(s):
+                    held.append(s)
+                    ids.append(i)
+                    size += len(s)
+                if size >= PACK or len(held) == 1 << 16:
+                    yield batch()
+                    held, ids, size, pack = [], [], 0, pack + 1
+        if held:
+            yield batch()
+
+    return mapped(_texts(docs), run, "bucket bigint, pack bigint, data binary", 256)
+
+
+def _grouped(rows: DataFrame, answer, schema: str) -> DataFrame:
+    """Apply ``answer(key, columns)``, which yields record batches, to the rows of each value of the first column."""
+    key = rows.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for b in batches:
+            keys = np.asarray(b.column(0))
+            cut = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, z in zip(cut[:-1], cut[1:]):
+                if a == z:
+                    continue
+                if held and keys[a] != last:
+                    yield from answer(last, pa.Table.from_batches(held))
+                    held = []
+                last = int(keys[a])
+                held.append(b.slice(a, z - a))
+        if held:
+            yield from answer(last, pa.Table.from_batches(held))
+
+    return mapped(rows.repartition(key).sortWithinPartitions(key), run, schema, 4096)
+
+
+def told(packs: DataFrame) -> DataFrame:
+    """``pack, bucket, data`` for each pack and bucket: of the pack's tokens that several sets hold the document's number, a key that orders tokens by how
+    many hold them, and the first holder. Rows of bucket -1 pass."""
+
+    def answer(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        pack, data = np.asarray(rows.column("pack").combine_chunks()), rows.column("data").to_pylist()
+        n = np.array([len(d) // 6 for d in data])
+        token = np.concatenate([np.frombuffer(d, np.uint32, k) for d, k in zip(data, n.tolist())])
+        number = np.concatenate([np.frombuffer(d, np.uint16, k, 4 * k) for d, k in zip(data, n.tolist())])
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        same = token[1:] == token[:-1]
+        more = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        if not more.any():
+            return
+        token, order = token[more], order[more]
+        head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        holders = np.diff(np.append(head, len(token)))
+        who = pack[np.repeat(np.arange(len(pack)), n)[order]] << 16 | number[order]
+        first = np.repeat(np.minimum.reduceat(who, head), holders)
+        key = np.repeat(np.floor(np.log2(holders)).astype(np.uint32) << np.uint32(27), holders) | token >> np.uint32(5)
+        by_pack = np.lexsort((key, who))
+        who, key, first = who[by_pack], key[by_pack], first[by_pack]
+        cut = np.flatnonzero(np.concatenate(([True], who[1:] >> 16 != who[:-1] >> 16)))
+        to, out = [], []
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(who)]):
+            to.append(int(who[a]) >> 16)
+            some, at = np.unique(first[a:z], return_inverse=True)
+            at = at.astype(np.uint16 if len(some) < 1 << 16 else np.uint32)
+            out.append(np.array([z - a, len(some)], np.int32).tobytes() + some.tobytes() + key[a:z].tobytes() + (who[a:z] & 0xFFFF).astype(np.uint16).tobytes() + at.tobytes())
+        for i in range(0, len(to), 512):
+            part = to[i : i + 512], [bucket] * len(to[i : i + 512]), out[i : i + 512]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, (pa.int64(), pa.int64(), pa.binary()))], names=["pack", "bucket", "data"])
+
+    return packs.where("bucket < 0").select("pack", "bucket", "data").unionByName(_grouped(packs.where("bucket >= 0"), answer, "pack bigint, bucket bigint, data binary"))
+
+
+def listed(replies: DataFrame, t: float) -> DataFrame:
+    """``block, rep, size, at``: the first holders of the tokens in each set's prefix, and its first position there."""
+
+    def answer(pack: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = sizes = None
+        keys, numbers, firsts = [], [], []
+        for bucket, d in zip(rows.column("bucket").to_pylist(), rows.column("data").to_pylist()):
+            if bucket < 0:
+                n = len(d) // 12
+                ids, sizes = np.frombuffer(d, np.int64, n), np.frombuffer(d, np.int32, n, 8 * n).astype(np.int64)
+                continue
+            n, m = np.frombuffer(d, np.int32, 2).tolist()
+            some = np.frombuffer(d, np.int64, m, 8)
+            at = 8 + 8 * m
+            keys.append(np.frombuffer(d, np.uint32, n, at))
+            numbers.append(np.frombuffer(d, np.uint16, n, at + 4 * n))
+            firsts.append(some[np.frombuffer(d, np.uint16 if m < 1 << 16 else np.uint32, n, at + 6 * n)])
+        if not keys:
+            return
+        key, number, first = np.concatenate(keys), np.concatenate(numbers).astype(np.int64), np.concatenate(firsts)
+        order = np.lexsort((key, number))
+        key, number, first = key[order], number[order], first[order]
+        shared = np.bincount(number, minlength=len(ids))
+        start = np.cumsum(shared) - shared
+        alone = sizes - shared  # tokens of this set only come first
+        at = alone[number] + np.arange(len(number)) - start[number]
+        room = prefix(sizes, t) - alone
+        some = room > 0
+        last = np.zeros(len(ids), np.uint32)
+        last[some] = key[np.minimum(start + room, start + shared)[some] - 1]
+        inside = some[number] & (key <= last[number])
+        number, first, at = number[inside], first[inside], at[inside]
+        order = np.lexsort((at, first, number))
+        number, first, at = number[order], first[order], at[order]
+        new = np.concatenate(([True], (number[1:] != number[:-1]) | (first[1:] != first[:-1])))[: len(number)]
+        number, first, at = number[new], first[new], at[new]
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(ids[number]), pa.array(sizes[number].astype(np.int32)), pa.array(at.astype(np.int32))], names=["block", "rep", "size", "at"])
+
+    return _grouped(replies, answer, "block bigint, rep bigint, size int, at int")
 
 
 def partners(size: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
     """Which entries of one index list have a possible partner in it.
 
-    Entries are grouped in blocks by position. If this is the first hash that two sets share, at positions p and q, they share at most
-    ``1 + min(size - p, size' - q) - 1``; a block whose position leaves too little for its largest set is skipped as a whole.
+    Entries are grouped in blocks by position. If two sets are listed here for the first token that they share, it is no earlier than positions p and q, so they
+    share at most ``min(size - p, size' - q)``; a block whose position leaves too little for its largest set is skipped as a whole.
     """
     order = np.lexsort((size, at))
     size, at = size[order].astype(np.float64), at[order]
@@ -166,29 +304,17 @@ def partners(size: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
     return out
 
 
-def groups(sets: DataFrame, t: float) -> DataFrame:
-    """``block, rep``: sets that may have partners among each other share a block."""
-    entries = sets.select("rep", "size", F.posexplode("first").alias("at", "token"))
-    listed = entries.groupBy("token").agg(F.collect_list(F.struct("rep", "size", "at")).alias("e")).where(F.size("e") > 1).select("e")
+def members(lists: DataFrame, t: float) -> DataFrame:
+    """``block, rep, size`` of the sets that have a possible partner in a list."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(0)
-            rep, size, at = (np.asarray(c) for c in lists.flatten().flatten())
-            heads = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            blocks, members = [], []
-            for a, z in zip(heads[:-1].tolist(), heads[1:].tolist()):
-                r = rep[a:z]
-                if z - a == 2 and size[a] * t <= size[a + 1] * (1 + 1e-9) and size[a + 1] * t <= size[a] * (1 + 1e-9):
-                    keep = r
-                else:
-                    keep = r[partners(size[a:z], at[a:z], t)]
-                if len(keep) > 1:
-                    blocks.append(np.full(len(keep), keep.min()))
-                    members.append(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (blocks, members)], names=["block", "rep"])
-
-    return mapped(listed, run, "block bigint, rep bigint", 4096).distinct()
+    def answer(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            rep, size, at = (np.asarray(rows.column(c).combine_chunks()) for c in ("rep", "size", "at"))
+            keep = partners(size, at, t)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), block)), pa.array(rep[keep]), pa.array(size[keep])], names=["block", "rep", "size"])
+
+    return _grouped(lists, answer, "block bigint, rep bigint, size int")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -221,13 +347,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.nda
         yield known[1]
 
 
-def tile_pairs(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a tile: within it where ``side`` is all 0, else between sides 1 and 2."""
+def tile_pairs(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a tile, some at a time: within it where ``side`` is all 0, else between sides 1 and 2."""
     if len(ids) == 2 and (side == 0).all():
         both = len(np.intersect1d(sets[0], sets[1], True))
         j = both / (len(sets[0]) + len(sets[1]) - both)
-        hit = j >= t
-        return ids[:1][[0] * hit], ids[1:][[0] * hit], np.array([j] * hit, np.float64)
+        if j >= t:
+            yield ids[:1], ids[1:], np.array([j])
+        return
     # neighbours in this order are alike, which serves the derivation
     order = sorted(range(len(ids)), key=lambda k: tuple(sets[k][:4].tolist()))
     ids, side, sets = ids[order], side[order], [sets[k] for k in order]
@@ -235,18 +362,25 @@ def tile_pairs(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], t: flo
     rows = range(len(ids)) if within else np.flatnonzero(side == 1)
     cols = np.arange(len(ids)) if within else np.flatnonzero(side == 2)
     if not len(rows) or not len(cols):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return
     size = np.array([len(sets[k]) for k in cols])
-    a, b, js = [], [], []
+    out: list[list[np.ndarray]] = [[], [], []]
+    n = 0
     for k, both in zip(rows, overlaps([sets[k] for k in rows], [sets[k] for k in cols])):
         j = both / (len(sets[k]) + size - both)
         hit = j >= t
         if within:
             hit[: k + 1] = False
-        a.append(np.full(hit.sum(), ids[k]))
-        b.append(ids[cols[hit]])
-        js.append(j[hit])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(js)
+        some = int(hit.sum())
+        if some:
+            for c, x in zip(out, (np.full(some, ids[k]), ids[cols[hit]], j[hit])):
+                c.append(x)
+            n += some
+        if n > 50_000:
+            yield tuple(np.concatenate(c) for c in out)
+            out, n = [[], [], []], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in out)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,131 +400,105 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for x, _ in links], np.int64), np.array([y for _, y in links], np.int64)
 
 
-def alike(ids: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile whose sketches share enough."""
-    within = bool((side == 0).all())
-    rows = np.arange(len(ids)) if within else np.flatnonzero(side == 1)
-    cols = np.arange(len(ids)) if within else np.flatnonzero(side == 2)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(rows) and len(cols):
-        size = np.array([len(s) for s in sketches])
-        for k, both in zip(rows, overlaps([sketches[k] for k in rows], [sketches[k] for k in cols])):
-            hit = both >= np.maximum(1, np.minimum(size[k], size[cols]) * NEED // SKETCH)
-            if within:
-                hit[: k + 1] = False
-            a.append(np.full(hit.sum(), ids[k]))
-            b.append(ids[cols[hit]])
-    return np.concatenate(a), np.concatenate(b)
-
-
 def placed(member: DataFrame) -> DataFrame:
-    """``rep, tile, side`` from ``block, rep``. A block of few sets is one tile; of more, sets are dealt to parts and each two parts are a tile."""
-    tiles = member.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    """``rep, tile, side`` from ``block, rep, size``. A list of few sets is one tile; of more, sets are dealt to parts and each two parts are a tile."""
+    tiles = member.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TOKENS)).cast("int").alias("tiles"))
     dealt = member.join(tiles, "block").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     dealt = dealt.select("block", "rep", "c", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("d"))
     side = F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2)
     return dealt.select("rep", F.xxhash64("block", F.least("c", "d"), F.greatest("c", "d")).alias("tile"), side.alias("side"))
 
 
-def by_tile(rows: DataFrame, answer, schema: str) -> DataFrame:
-    """Apply ``answer(ids, side, payloads)``, which returns arrays, to each tile of more than one set; from ``tile, rep, side`` and a payload."""
-
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, out, n = None, [], [], 0
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
-
-        def answered() -> tuple:
-            return answer(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), [r[2] for r in held])
-
-        for b in batches:
-            for key, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if key != tile and held:
-                    if len(held) > 1:
-                        out.append(answered())
-                        n += len(out[-1][0])
-                    held = []
-                    if n > 50_000:
-                        yield batch()
-                        out, n = [], 0
-                tile = key
-                held.append(row)
-        if len(held) > 1:
-            out.append(answered())
-        if out:
-            yield batch()
-
-    return mapped(rows.repartition("tile").sortWithinPartitions("tile"), run, schema, 256)
-
-
-def refined(member: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``block, rep`` of fewer and smaller groups: the parts of each tile that shared sketches connect."""
-
-    def answer(ids: np.ndarray, side: np.ndarray, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        node, root = _forest(*alike(ids, side, [np.frombuffer(h, np.uint32) for h in held]))
-        top = np.unique(root)
-        return np.concatenate((root, top)), np.concatenate((node, top))
-
-    rows = placed(member).join(sketches, "rep").select("tile", "rep", "side", "sketch")
-    return by_tile(rows, answer, "block bigint, rep bigint").distinct()
-
-
-#: What documents of the same set of n-grams share.
-KEY = ("size", "sum", "xor")
-
-
 class _Joined:
-    """What both uses of the join start from."""
+    """What both uses of the join start from: tables in the shared folder, deleted by :meth:`end`."""
 
-    def __init__(self, docs: DataFrame, n: int, t: float, probes: int) -> None:
-        self.t = t
-        self.sig = stored(signatures(docs, n, t, probes), "signatures")
-        held = F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
+    def __init__(self, docs: DataFrame, n: int, t: float) -> None:
+        self.docs, self.n, self.t = docs, n, t
+        self.sig = stored(signatures(docs, n), "signatures")
+        held = F.min("doc_id").alias("rep"), F.count("*").alias("copies")
         self.classes = stored(self.sig.groupBy(*KEY).agg(*held), "classes")
-        rough = stored(groups(self.classes.select("rep", "size", "first"), t), "groups")
-        member = stored(refined(rough, self.classes.select("rep", "sketch")), "refined")
-        dropped(rough)
-        self.member = member
+        firsts = self.classes.where("copies > 1").select(*KEY, "rep")
+        # row by row: a set may have very many copies
+        self.copies = stored(self.sig.select("doc_id", *KEY).join(firsts, list(KEY)).where("rep <> doc_id").select("doc_id").distinct(), "copies")
+        self.tables = [self.sig, self.classes, self.copies]
+
+    def near(self) -> DataFrame:
+        """``block, rep, size``: lists of sets that may be near each other."""
+        total = self.sig.agg(F.sum("size")).first()[0] or 0
+        needless = self.copies.join(self.classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+        few = self.copies.count() <= BROADCAST_IDS
+        once = self.docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(needless) if few else needless, "doc_id", "left_anti")
+        if not few:  # a task that is run again must pack the same rows again
+            once = once.sortWithinPartitions("doc_id", F.xxhash64("text"))
+        packs = packed(once, self.n, max(1, -(-total // BUCKET)))
+        member = stored(members(listed(told(packs), self.t), self.t), "members")
+        self.tables.append(member)
+        return member
+
+    def odd(self) -> DataFrame:
+        """``rep`` of ids that stand for several texts of different sets: their sets are told apart by digest. There are few or none."""
+        return self.sig.select("doc_id", *KEY).distinct().groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("rep"))
+
+    def sets(self) -> DataFrame:
+        """``tile, rep, k, side, set``, where ``k`` is 0 or, of an id that stands for several sets, tells them apart."""
+        n, member = self.n, self.near()
         needed = member.select("rep").distinct()
-        source = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text is not null")
+        source = _texts(self.docs).withColumnRenamed("doc_id", "rep")
         if needed.count() <= BROADCAST_IDS:
             needed = F.broadcast(needed)
-        wanted = source.join(needed, "rep", "left_semi")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                sets = [s.tobytes() for s in shingles(b.column(1).to_pylist(), n)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
-
-        self.rows = mapped(wanted, run, "rep bigint, set binary", 256).where("length(set) > 0").join(placed(member), "rep").select("tile", "rep", "side", "set")
+                sets = shingles(b.column(1).to_pylist(), n)
+                yield pa.RecordBatch.from_arrays([b.column(0), *_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", *KEY, "set"])
+
+        sets = mapped(source.join(needed, "rep", "left_semi"), shipped, "rep bigint, size int, sum bigint, xor bigint, set binary", 256).where("size > 0")
+        odd = self.odd()
+        if odd.isEmpty():
+            sets = sets.select("rep", F.lit(0).cast("long").alias("k"), "set")
+        else:  # of a set that several ids have, one row stands for it
+            sets = sets.join(self.classes.select("rep", *KEY), ["rep", *KEY], "left_semi").dropDuplicates(["rep", *KEY])
+            sets = sets.join(odd.withColumn("odd", F.lit(True)), "rep", "left").select("rep", F.when(F.col("odd"), F.xxhash64(*KEY)).otherwise(0).alias("k"), "set")
+        return sets.join(placed(member), "rep").select("tile", "rep", "k", "side", "set")
 
     def found(self, forest: bool) -> DataFrame:
-        """``a, b, jaccard`` of sets; for ``forest`` only links that connect them."""
+        """``a, ka, b, kb, jaccard`` of sets; for ``forest`` only links that connect them."""
         t = self.t
 
-        def answer(ids: np.ndarray, side: np.ndarray, held: list[bytes]) -> tuple:
-            a, b, j = tile_pairs(ids, side, [np.frombuffer(h, np.uint64) for h in held], t)
+        def answer(tile: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            ids, k, side = (np.asarray(held.column(c).combine_chunks()) for c in ("rep", "k", "side"))
+            some = tile_pairs(np.arange(len(ids)), side, [np.frombuffer(h, np.uint64) for h in held.column("set").to_pylist()], t)
             if forest:
-                a, b = _forest(a, b)
-                return a, b, np.ones(len(a))
-            return np.minimum(a, b), np.maximum(a, b), j
+                parts = list(some)
+                links = _forest(*(np.concatenate([p[c] for p in parts]) for c in (0, 1))) if parts else None
+                some = [(*links, np.ones(len(links[0])))] if links else []
+            for x, y, j in some:
+                x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[i]) for i in (x, y) for c in (ids, k)), pa.array(j)], names=["a", "ka", "b", "kb", "jaccard"])
+
+        pairs = _grouped(self.sets(), answer, "a bigint, ka bigint, b bigint, kb bigint, jaccard double").where("a <> b")
+        return pairs.distinct() if forest else pairs.groupBy("a", "ka", "b", "kb").agg(F.max("jaccard").alias("jaccard"))
 
-        pairs = by_tile(self.rows, answer, "a bigint, b bigint, jaccard double").where("a <> b")
-        return pairs.distinct() if forest else pairs.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    def end(self) -> None:
+        dropped(*self.tables)
 
 
-def similar_pairs(docs: DataFrame, n: int = N, t: float = T, probes: int = PROBES) -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     """``doc_a, doc_b, jaccard`` with doc_a < doc_b for all pairs of documents at least ``t`` alike."""
-    joined = _Joined(docs, n, t, probes)
+    joined = _Joined(docs, n, t)
     # all pairs of copies are asked for, so their ids may be gathered
     many = joined.sig.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("doc_id")).alias("members")).where(F.size("members") > 1)
     same = many.select(F.posexplode("members").alias("i", "doc_a"), "members")
     same = same.select("doc_a", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    near = joined.found(False)
-    near = near.join(many.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a", "left").join(many.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b", "left")
+    near, odd = joined.found(False), joined.odd()
+    if odd.isEmpty():
+        many = many.withColumn("k", F.lit(0).cast("long"))
+    else:
+        many = many.join(odd.withColumn("odd", F.lit(True)), "rep", "left").withColumn("k", F.when(F.col("odd"), F.xxhash64(*KEY)).otherwise(0))
+    for x in ("a", "b"):
+        near = near.join(many.select(F.col("rep").alias(x), F.col("k").alias(f"k{x}"), F.col("members").alias(f"m{x}")), [x, f"k{x}"], "left")
     near = near.select("jaccard", "mb", "b", F.explode(F.coalesce("ma", F.array("a"))).alias("x")).select("jaccard", "x", F.explode(F.coalesce("mb", F.array("b"))).alias("y"))
     near = near.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     return same.unionByName(near)
@@ -421,15 +529,14 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def surplus(docs: DataFrame, n: int = N, t: float = T, probes: int = PROBES) -> DataFrame:
+def surplus(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     """``doc_id`` of every document that isn't the first (the smallest id) of its group of near duplicates; a table in the shared folder."""
-    joined = _Joined(docs, n, t, probes)
-    firsts = joined.classes.where("copies > 1").select(*KEY, "rep")
-    copies = joined.sig.select("doc_id", *KEY).join(firsts, list(KEY)).where("rep <> doc_id").select("doc_id")  # row by row: a set may have very many copies
-    roots = components(joined.found(True))
+    joined = _Joined(docs, n, t)
+    roots = components(joined.found(True).select("a", "b"))
     # a copy of a set goes, its first document stays or goes with the set
-    out = stored(copies.union(roots.select(F.col("node").alias("doc_id"))).distinct(), "surplus")
-    dropped(joined.sig, joined.classes, joined.member, roots)
+    out = stored(joined.copies.union(roots.select(F.col("node").alias("doc_id"))).distinct(), "surplus")
+    joined.end()
+    dropped(roots)
     return out
 
 
