@@ -4,14 +4,14 @@ A text's set holds the 64-bit hashes of its runs of ``N`` words (all its words,
 Jaccard similarity of at least ``T`` are found, every document being a query. Nothing is sampled, capped or estimated.
 
 1. *Classes*. One pass over the texts gives each set's size and two order-free digests. Documents with equal digests are one set from here on.
-2. *Inverted lists*. Each set's hashes go to buckets of about ``BUCKET`` tokens, packed in six bytes each. A bucket finds which tokens several sets hold and tells
-   those sets, in like packed form, how many hold each and which of the holders comes first; tokens of one set are told by their absence.
-3. *Index*. So a set knows the order of its tokens from the rarest on, and by the prefix filter (``size - ceil(T * size) + 1`` first tokens, ties included) it is
-   listed under the first holders of the tokens in that prefix, with its size and its first position there. What many documents share, as passages and boilerplate, is at the end of the
+2. *Rarity*. Each set's hashes go to buckets of about ``BUCKET`` tokens, packed in six bytes each. A bucket finds which tokens several sets hold and tells
+   those sets, in like packed form, about how many hold each; tokens of one set are told by their absence.
+3. *Index lists*. So a set knows the order of its tokens from the rarest on, and by the prefix filter (``size - ceil(T * size) + 1`` first tokens, ties included) it is
+   listed under the tokens in that prefix, with its size and its position there. What many documents share, as passages and boilerplate, is at the end of the
    order, so lists hold little but true partners. A list is cut into blocks by position and sorted by size in each: the overlap that remains after a
    position bounds the similarity, so whole blocks of positions, and sizes out of range, are skipped, and a set without a possible partner leaves the list.
-4. *Tiles*. A list of more than ``TILE`` sets or ``TOKENS`` tokens is cut into square tiles, each a task's work, so that a list of any size is spread out. Only for sets
-   that are in a list n-grams are computed again and shuffled.
+4. *Tiles*. Lists with the same smallest id are joined into one group, since near copies share most of their lists. A group of more than ``TILE`` sets or ``TOKENS`` tokens
+   is cut into square tiles, each a task's work, so that a group of any size is spread out. Only for sets that are in a group n-grams are computed again and shuffled.
 5. *Answers*. In a tile, a set's overlaps with all others come from inverted lists. The next set's overlaps are derived from those of an already
    answered, highly similar set: minus the lists of n-grams that only that set has, plus those that only this one has. Overlaps are exact.
 
@@ -198,8 +198,7 @@ def _grouped(rows: DataFrame, answer, schema: str) -> DataFrame:
 
 
 def told(packs: DataFrame) -> DataFrame:
-    """``pack, bucket, data`` for each pack and bucket: of the pack's tokens that several sets hold the document's number, a key that orders tokens by how
-    many hold them, and the first holder. Rows of bucket -1 pass."""
+    """``pack, bucket, data`` for each pack and bucket: the tokens of the pack that several sets hold, each with the document's number and the logarithm of how many hold it. Rows of bucket -1 pass."""
 
     def answer(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         pack, data = np.asarray(rows.column("pack").combine_chunks()), rows.column("data").to_pylist()
@@ -215,64 +214,59 @@ def told(packs: DataFrame) -> DataFrame:
         token, order = token[more], order[more]
         head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         holders = np.diff(np.append(head, len(token)))
-        who = pack[np.repeat(np.arange(len(pack)), n)[order]] << 16 | number[order]
-        first = np.repeat(np.minimum.reduceat(who, head), holders)
-        key = np.repeat(np.floor(np.log2(holders)).astype(np.uint32) << np.uint32(27), holders) | token >> np.uint32(5)
-        by_pack = np.lexsort((key, who))
-        who, key, first = who[by_pack], key[by_pack], first[by_pack]
-        cut = np.flatnonzero(np.concatenate(([True], who[1:] >> 16 != who[:-1] >> 16)))
-        to, out = [], []
-        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(who)]):
-            to.append(int(who[a]) >> 16)
-            some, at = np.unique(first[a:z], return_inverse=True)
-            at = at.astype(np.uint16 if len(some) < 1 << 16 else np.uint32)
-            out.append(np.array([z - a, len(some)], np.int32).tobytes() + some.tobytes() + key[a:z].tobytes() + (who[a:z] & 0xFFFF).astype(np.uint16).tobytes() + at.tobytes())
-        for i in range(0, len(to), 512):
-            part = to[i : i + 512], [bucket] * len(to[i : i + 512]), out[i : i + 512]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, (pa.int64(), pa.int64(), pa.binary()))], names=["pack", "bucket", "data"])
+        often = np.repeat(np.floor(np.log2(holders)).astype(np.uint8), holders)
+        of = np.repeat(np.arange(len(pack)), n)[order]
+        by_pack = np.argsort(of, kind="stable")
+        token, often, number, of = token[by_pack], often[by_pack], number[order][by_pack], of[by_pack]
+        cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist()
+        for i in range(0, len(cut), 512):
+            some = list(zip(cut[i : i + 512], [*cut[i + 1 : i + 513], *[len(of)] * (i + 512 >= len(cut))]))
+            out = [token[a:z].tobytes() + number[a:z].tobytes() + often[a:z].tobytes() for a, z in some]
+            yield pa.RecordBatch.from_arrays([pa.array(pack[of[[a for a, _ in some]]]), pa.array([bucket] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["pack", "bucket", "data"])
 
     return packs.where("bucket < 0").select("pack", "bucket", "data").unionByName(_grouped(packs.where("bucket >= 0"), answer, "pack bigint, bucket bigint, data binary"))
 
 
 def listed(replies: DataFrame, t: float) -> DataFrame:
-    """``block, rep, size, at``: the first holders of the tokens in each set's prefix, and its first position there."""
+    """``bucket, data``: for each bucket the tokens there that are in a prefix, each with the set's id, its size and its position."""
 
     def answer(pack: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = sizes = None
-        keys, numbers, firsts = [], [], []
+        found: list[tuple] = []
         for bucket, d in zip(rows.column("bucket").to_pylist(), rows.column("data").to_pylist()):
             if bucket < 0:
                 n = len(d) // 12
-                ids, sizes = np.frombuffer(d, np.int64, n), np.frombuffer(d, np.int32, n, 8 * n).astype(np.int64)
+                ids, sizes = np.frombuffer(d, np.int64, n), np.frombuffer(d, np.int32, n, 8 * n)
                 continue
-            n, m = np.frombuffer(d, np.int32, 2).tolist()
-            some = np.frombuffer(d, np.int64, m, 8)
-            at = 8 + 8 * m
-            keys.append(np.frombuffer(d, np.uint32, n, at))
-            numbers.append(np.frombuffer(d, np.uint16, n, at + 4 * n))
-            firsts.append(some[np.frombuffer(d, np.uint16 if m < 1 << 16 else np.uint32, n, at + 6 * n)])
-        if not keys:
+            n = len(d) // 7
+            found.append((np.frombuffer(d, np.uint32, n), np.frombuffer(d, np.uint16, n, 4 * n), np.frombuffer(d, np.uint8, n, 6 * n), np.full(n, bucket)))
+        if not found:
             return
-        key, number, first = np.concatenate(keys), np.concatenate(numbers).astype(np.int64), np.concatenate(firsts)
+        token, number, often, bucket = (np.concatenate(c) for c in zip(*found))
+        key = often.astype(np.uint64) << np.uint64(32) | token
         order = np.lexsort((key, number))
-        key, number, first = key[order], number[order], first[order]
+        key, number, token, bucket = key[order], number[order].astype(np.int64), token[order], bucket[order]
         shared = np.bincount(number, minlength=len(ids))
         start = np.cumsum(shared) - shared
         alone = sizes - shared  # tokens of this set only come first
         at = alone[number] + np.arange(len(number)) - start[number]
         room = prefix(sizes, t) - alone
         some = room > 0
-        last = np.zeros(len(ids), np.uint32)
+        last = np.zeros(len(ids), np.uint64)
         last[some] = key[np.minimum(start + room, start + shared)[some] - 1]
         inside = some[number] & (key <= last[number])
-        number, first, at = number[inside], first[inside], at[inside]
-        order = np.lexsort((at, first, number))
-        number, first, at = number[order], first[order], at[order]
-        new = np.concatenate(([True], (number[1:] != number[:-1]) | (first[1:] != first[:-1])))[: len(number)]
-        number, first, at = number[new], first[new], at[new]
-        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(ids[number]), pa.array(sizes[number].astype(np.int32)), pa.array(at.astype(np.int32))], names=["block", "rep", "size", "at"])
+        token, number, at, bucket = token[inside], number[inside], at[inside].astype(np.int32), bucket[inside]
+        order = np.lexsort((number, bucket))
+        token, number, at, bucket = token[order], number[order], at[order], bucket[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(bucket)].tolist()
+        out = []
+        for a, z in zip(cut, [*cut[1:], len(bucket)]):
+            who, local = np.unique(number[a:z], return_inverse=True)
+            out.append(np.array([len(who), z - a], np.int32).tobytes() + ids[who].tobytes() + sizes[who].tobytes() + token[a:z].tobytes() + at[a:z].tobytes() + local.astype(np.uint16).tobytes())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(out, pa.binary())], names=["bucket", "data"])
 
-    return _grouped(replies, answer, "block bigint, rep bigint, size int, at int")
+    return _grouped(replies, answer, "bucket bigint, data binary")
 
 
 def partners(size: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
@@ -305,16 +299,44 @@ def partners(size: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
 
 
 def members(lists: DataFrame, t: float) -> DataFrame:
-    """``block, rep, size`` of the sets that have a possible partner in a list."""
+    """``block, rep, size`` of the sets that have a possible partner in a list; ``block`` is the smallest id of those."""
 
-    def answer(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if len(rows) > 1:
-            rep, size, at = (np.asarray(rows.column(c).combine_chunks()) for c in ("rep", "size", "at"))
-            keep = partners(size, at, t)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), block)), pa.array(rep[keep]), pa.array(size[keep])], names=["block", "rep", "size"])
+    def answer(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for d in rows.column("data").to_pylist():
+            m, n = np.frombuffer(d, np.int32, 2).tolist()
+            local = np.frombuffer(d, np.uint16, n, 8 + 12 * m + 8 * n)
+            parts.append((np.frombuffer(d, np.uint32, n, 8 + 12 * m), np.frombuffer(d, np.int64, m, 8)[local], np.frombuffer(d, np.int32, m, 8 + 8 * m)[local], np.frombuffer(d, np.int32, n, 8 + 12 * m + 4 * n)))
+        token, rep, size, at = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((size, token))
+        token, rep, size, at = token[order], rep[order], size[order], at[order]
+        # in a list, sorted by size, a set has no partner if its neighbours' sizes are out of range; or, of two sets, if too little remains after their positions
+        near = (token[1:] == token[:-1]) & (size[:-1] >= t * size[1:] - 1e-9)
+        head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        n = np.diff(np.append(head, len(token)))
+        two = np.repeat(n, n)[:-1] == 2
+        rest = np.minimum(size[:-1] - at[:-1], size[1:] - at[1:])
+        near &= ~two | (rest >= t / (1 + t) * (size[:-1] + size[1:]) - 1e-9)
+        keep = np.concatenate((near, [False])) | np.concatenate(([False], near))
+        token, rep, size, at = token[keep], rep[keep], size[keep], at[keep]
+        if not len(token):
+            return
+        head = np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token))
+        keep = np.ones(len(token), bool)
+        for k in np.flatnonzero(np.diff(head) > 2).tolist():
+            a, z = head[k], head[k + 1]
+            keep[a:z] = partners(size[a:z], at[a:z], t)
+        token, rep, size = token[keep], rep[keep], size[keep]
+        if not len(token):
+            return
+        head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        block = np.repeat(np.minimum.reduceat(rep, head), np.diff(np.append(head, len(token))))
+        order = np.lexsort((rep, block))
+        block, rep, size = block[order], rep[order], size[order]
+        new = np.concatenate(([True], (block[1:] != block[:-1]) | (rep[1:] != rep[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(rep[new]), pa.array(size[new])], names=["block", "rep", "size"])
 
-    return _grouped(lists, answer, "block bigint, rep bigint, size int")
+    return _grouped(lists, answer, "block bigint, rep bigint, size int").groupBy("block", "rep").agg(F.max("size").alias("size"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
