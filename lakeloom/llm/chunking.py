@@ -4,19 +4,20 @@ A gear hash rolls over the bytes: ``h = (h << 1) + GEAR[byte]`` modulo 2^32, so
 the same wherever they stand. It is computed for all positions of a batch by five doublings. A chunk ends where the
 upper ``BITS`` bits are zero, at least ``LEAST`` and at most ``MOST`` bytes from its start, or at the payload's end.
 
-Chunks are told apart by a 128-bit digest. The *store* keeps each chunk's bytes once, compressed, and each payload
-keeps its *list*: the ordered digests, and a root, the digest of those digests with the length. Joining lists with the store
-by digest reconstructs payloads. For verification every payload is rebuilt so from the written store and lists, and its
+Chunks are told apart by a 128-bit digest. Each payload keeps its *list*, the ordered digests. Joins by digest find which chunks occur more than once, and of each the first place.
+The *store* keeps every chunk's bytes once, compressed, in the pack of the payload that holds its first place, so bytes are written where they are read and aren't shuffled; a payload whose chunks lie partly in other
+packs gets those by a join, and only such payloads' packs move. For verification every payload is rebuilt from the written store alone, each chunk is hashed again, and the payload's
 length and SHA-256 are compared with those of the original bytes, taken before they were cut.
 
-Defined cases. A null payload has a null list and isn't verified; an empty one has an empty list and is. Rows of the same
-id are payloads of their own. Ties between equal chunks don't matter: they're the same bytes. Extra columns are ignored.
+Payloads are numbered by their place in the scan. Where a second scan would number them otherwise payloads come out as not verified.
+
+Defined cases. A null payload has a null list and isn't verified; an empty one has an empty list and is; an empty table gives no rows. Rows of the same
+id, also if they repeat, are payloads of their own. Ties between equal chunks don't matter: they're the same bytes. Very long payloads are held whole in one task, and hashed in slices. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import mapped, stored
+from .common import dropped, mapped, stored
 
 BITS, LEAST, MOST = 11, 512, 16_384
+#: Bytes whose hashes are held at once; places of shared chunks up to this many are broadcast to where packs are written, beyond it they are joined.
+SLICE, BROADCAST_PLACES = 4 << 20, 2_000_000
 GEAR = np.frombuffer(hashlib.shake_256(b"lakeloom gear").digest(1024), np.uint32)
 
 
@@ -43,7 +46,11 @@ def rolling(data: np.ndarray) -> np.ndarray:
 def cuts(data: bytes, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
     """Where chunks end."""
     n, start, ends = len(data), 0, []
-    where = np.flatnonzero(rolling(np.frombuffer(data, np.uint8)) < np.uint32(1 << (32 - bits))) + 1 if n else np.zeros(0, int)
+    found = [np.zeros(0, int)]
+    for a in range(0, n, SLICE):  # with the 31 bytes before, on which the first hashes depend
+        b = max(0, a - 31)
+        found.append(np.flatnonzero(rolling(np.frombuffer(data, np.uint8, min(n, a + SLICE) - b, b))[a - b :] < np.uint32(1 << (32 - bits))) + a + 1)
+    where = np.concatenate(found)
     while n - start > least:
         k = np.searchsorted(where, start + least)
         end = int(where[k]) if k < len(where) else n
@@ -58,90 +65,105 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def root(digests: list[bytes], size: int) -> bytes:
-    return digest(struct.pack("<q", size) + b"".join(digests))
+def _numbered(media: DataFrame, key: str, payload: str) -> DataFrame:
+    return media.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(payload).cast("binary").alias("payload"))
+
 
+def _pieces(data: bytes) -> list[bytes]:
+    ends = cuts(data)
+    return [data[a:z] for a, z in zip([0, *ends[:-1]], ends)]
 
-def chunked(media: DataFrame, key: str, payload: str, with_data: bool = True) -> DataFrame:
-    """``row, id, size, root, at, count, digest, data, whole`` for each chunk; for an empty or null payload one row without a digest.
-    ``data`` is compressed; ``whole`` is the SHA-256 of the payload.
-    """
+
+def listed(media: DataFrame, key: str, payload: str) -> DataFrame:
+    """``row, digests``: the list of each payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress if with_data else lambda _: None
         for b in batches:
-            cols: list[list] = [[] for _ in range(9)]
-            for row, i, data in zip(*(c.to_pylist() for c in b.columns)):
-                parts, a = [], 0
-                for z in cuts(data) if data else []:
-                    parts.append(data[a:z])
-                    a = z
-                names = [digest(p) for p in parts]
-                whole, proof = (None, None) if data is None else (root(names, len(data)), hashlib.sha256(data).hexdigest())
-                for at, (name, part) in enumerate(zip(names, parts)):
-                    for c, v in zip(cols, (row, i, len(data), whole, at, len(parts), name, pack(part), proof)):
-                        c.append(v)
-                if not parts:
-                    for c, v in zip(cols, (row, i, None if data is None else len(data), whole, 0, None if data is None else 0, None, None, proof)):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "id", "size", "root", "at", "count", "digest", "data", "whole"])
-
-    rows = media.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.col(payload).cast("binary").alias("payload"))
-    return mapped(rows, run, "row bigint, id bigint, size bigint, root binary, at int, count int, digest binary, data binary, whole string", 256)
-
-
-def store(chunks: DataFrame) -> DataFrame:
-    """``digest, data, refs, intact``: each chunk once, with how many places hold it, hashed again."""
-
-    def intact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            ok = [digest(unpack(data)) == name for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok)], names=["digest", "data", "refs", "intact"])
+            names = [None if data is None else [digest(p) for p in _pieces(data)] for data in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.list_(pa.binary()))], names=["row", "digests"])
+
+    return mapped(_numbered(media, key, payload), run, "row bigint, digests array<binary>", 256)
+
+
+def places(lists: DataFrame) -> DataFrame:
+    """``row, n_shared, skip, lend, need`` of the payloads that hold chunks of several places: how many of their places are such; the places whose chunk is kept elsewhere;
+    those kept here that other payloads need; and the digests that this one needs. A chunk of very many places is one row of the aggregate, and its places are split like any skewed join's."""
+    every = lists.select("row", F.posexplode("digests").alias("at", "digest"))
+    shared = every.groupBy("digest").agg(F.count("*").alias("refs"), F.min(F.struct("row", "at")).alias("kept"), F.max("row").alias("last")).where("refs > 1")
+    x = every.join(shared.drop("refs"), "digest")
+    here = (F.col("kept.row") == F.col("row")) & (F.col("kept.at") == F.col("at"))
+    return x.groupBy("row").agg(
+        F.count("*").alias("n_shared"), F.collect_list(F.when(~here, F.col("at"))).alias("skip"), F.collect_list(F.when(here & (F.col("last") != F.col("row")), F.col("at"))).alias("lend"),
+        F.collect_set(F.when(F.col("kept.row") != F.col("row"), F.col("digest"))).alias("need"),
+    )
+
 
-    once = chunks.where("digest is not null").groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("refs"))
-    return mapped(once, intact, "digest binary, data binary, refs bigint, intact boolean")
+STORE = "row bigint, id bigint, size bigint, whole string, digests array<binary>, n_shared bigint, need array<binary>, chunks array<struct<digest:binary,data:binary,lent:boolean>>"
 
 
-def reconstructed(lists: DataFrame, kept: DataFrame) -> DataFrame:
-    """``row, id, payload`` from ``row, id, digests`` and a store; the payload is null for a null list or where a chunk is missing."""
+def packs(media: DataFrame, key: str, payload: str, held: DataFrame) -> DataFrame:
+    """The store: of each payload its list, size and SHA-256, and the chunks whose first place is there, compressed. ``held``: the table of :func:`places`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        of = pa.struct([("digest", pa.binary()), ("data", pa.binary()), ("lent", pa.bool_())])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.binary()), pa.list_(of)]
+        for b in batches:
+            cols: list[list] = [[] for _ in kinds]
+            for row, i, data, shared, skip, lend, need in zip(*(c.to_pylist() for c in b.columns)):
+                if data is None:
+                    made = (row, i, None, None, None, None, None, None)
+                else:
+                    proof, parts = hashlib.sha256(data).hexdigest(), _pieces(data)
+                    names, gone, lent = [digest(p) for p in parts], set(skip or ()), set(lend or ())
+                    chunks = [{"digest": d, "data": pack(p), "lent": at in lent} for at, (d, p) in enumerate(zip(names, parts)) if at not in gone]
+                    made = (row, i, len(data), proof, names, shared or 0, need or [], chunks)
+                for c, v in zip(cols, made):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in STORE.split(", ")])
+
+    few = (held.agg(F.sum("n_shared")).first()[0] or 0) <= BROADCAST_PLACES
+    return mapped(_numbered(media, key, payload).join(F.broadcast(held) if few else held, "row", "left"), run, STORE, 256)
+
+
+def rebuilt(kept: DataFrame) -> DataFrame:
+    """``row, id, payload`` from the store alone; the payload is null for a null list or where a chunk is missing or isn't what its digest says."""
+    whole = kept.select("row", "id", "digests", "chunks", F.lit(None).cast("array<struct<digest:binary,data:binary>>").alias("more")).where("need is null or size(need) = 0")
+    partly = kept.where("size(need) > 0")
+    lent = kept.select(F.explode(F.filter("chunks", lambda c: c["lent"])).alias("c")).select("c.digest", "c.data")
+    more = partly.select("row", F.explode("need").alias("digest")).join(lent, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "data")).alias("more"))
+    partly = partly.join(more, "row", "left").select("row", "id", "digests", "chunks", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            got = [None if p is None or any(x is None for x in p) else b"".join(map(unpack, p)) for p in b.column(2).to_pylist()]
+            got: list[bytes | None] = []
+            for names, own, others in zip(*(c.to_pylist() for c in b.columns[2:])):
+                if names is None:
+                    got.append(None)
+                    continue
+                by = {c["digest"]: unpack(c["data"]) for c in (*own, *(others or ()))}
+                parts = [by.get(d) for d in names]
+                got.append(b"".join(parts) if all(p is not None for p in parts) and all(digest(p) == d for d, p in by.items()) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["row", "id", "payload"])
 
-    places = lists.select("row", "id", F.posexplode_outer("digests").alias("at", "digest"), F.col("digests").isNull().alias("none"))
-    parts = places.join(kept.select("digest", "data"), "digest", "left")
-    ordered = parts.groupBy("row", "id", "none").agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "data")))).alias("p"))
-    return mapped(ordered.select("row", "id", F.when(~F.col("none"), F.col("p.data")).alias("data")), run, "row bigint, id bigint, payload binary", 64)
-
-
-def lists(chunks: DataFrame) -> DataFrame:
-    """``row, id, size, root, whole, digests``: one row for each payload."""
-    parts = F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("at", "digest")))
-    out = chunks.groupBy("row", "id").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.first("whole").alias("whole"), F.sort_array(parts).alias("p"))
-    return out.select("row", "id", "size", "root", "whole", F.when(F.col("root").isNotNull(), F.col("p.digest")).alias("digests"))
+    return mapped(whole.unionByName(partly), run, "row bigint, id bigint, payload binary", 64)
 
 
 def verified(media: DataFrame, key: str, payload: str) -> DataFrame:
-    """``id, size, digests, n_chunks, n_shared, verified`` for each payload.
-
-    Writes the store and the lists, and rebuilds each payload by joining them. A chunk that very many payloads hold is one row of the store,
-    and its places are split like any skewed join's.
-    """
-    kept = stored(store(chunked(media, key, payload)), "store")
-    listed = stored(lists(chunked(media, key, payload, False)), "lists")
-    back = reconstructed(listed, kept).select("row", F.length("payload").alias("length"), F.sha2("payload", 256).alias("proof"))
-    places = listed.select("row", F.explode("digests").alias("digest")).join(kept.where("refs > 1").select("digest"), "digest", "left_semi")
-    out = listed.join(back, "row", "left").join(places.groupBy("row").agg(F.count("*").alias("n_shared")), "row", "left")
+    """``id, size, digests, n_chunks, n_shared, verified`` for each payload, rebuilt from the store that is written for it."""
+    lists = stored(listed(media, key, payload), "lists")
+    held = stored(places(lists), "places")
+    kept = stored(packs(media, key, payload, held), "store")
+    dropped(lists, held)
     there = F.col("digests").isNotNull()
+
+    back = rebuilt(kept).select("row", F.length("payload").alias("length"), F.sha2("payload", 256).alias("proof"))
     same = F.coalesce((F.col("length") == F.col("size")) & (F.col("proof") == F.col("whole")), F.lit(False))
+    out = kept.select("row", "id", "size", "whole", "digests", "n_shared").join(back, "row", "left")
     return out.select(
         "id", "size", F.transform("digests", lambda d: F.lower(F.hex(d))).alias("digests"), F.when(there, F.size("digests").cast("long")).alias("n_chunks"),
-        F.when(there, F.coalesce("n_shared", F.lit(0).cast("long"))).alias("n_shared"), F.when(there, same).alias("verified"),
+        F.when(there, F.col("n_shared")).alias("n_shared"), F.when(there, same).alias("verified"),
     )
 
 
