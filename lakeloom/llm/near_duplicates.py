@@ -310,20 +310,14 @@ def members(lists: DataFrame, t: float) -> DataFrame:
         token, rep, size, at = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((size, token))
         token, rep, size, at = token[order], rep[order], size[order], at[order]
-        # in a list, sorted by size, a set has no partner if its neighbours' sizes are out of range; or, of two sets, if too little remains after their positions
+        # in a list, sorted by size, a set has no partner if its neighbours' sizes are out of range, and has one if enough remains for it and a neighbour after their positions
         near = (token[1:] == token[:-1]) & (size[:-1] >= t * size[1:] - 1e-9)
-        head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        n = np.diff(np.append(head, len(token)))
-        two = np.repeat(n, n)[:-1] == 2
-        rest = np.minimum(size[:-1] - at[:-1], size[1:] - at[1:])
-        near &= ~two | (rest >= t / (1 + t) * (size[:-1] + size[1:]) - 1e-9)
-        keep = np.concatenate((near, [False])) | np.concatenate(([False], near))
-        token, rep, size, at = token[keep], rep[keep], size[keep], at[keep]
-        if not len(token):
-            return
+        enough = near & (np.minimum(size[:-1] - at[:-1], size[1:] - at[1:]) >= t / (1 + t) * (size[:-1] + size[1:]) - 1e-9)
+        may, keep = (np.concatenate((x, [False])) | np.concatenate(([False], x)) for x in (near, enough))
         head = np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token))
-        keep = np.ones(len(token), bool)
-        for k in np.flatnonzero(np.diff(head) > 2).tolist():
+        n = np.diff(head)
+        open_ = np.add.reduceat(may & ~keep, head[:-1])
+        for k in np.flatnonzero((open_ > 0) & (n > 2)).tolist():  # blocks of positions decide
             a, z = head[k], head[k + 1]
             keep[a:z] = partners(size[a:z], at[a:z], t)
         token, rep, size = token[keep], rep[keep], size[keep]
