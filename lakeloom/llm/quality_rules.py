@@ -1,17 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
-Every rule compares one integer feature of a text (per mille) with a cutoff. Cutoffs are chosen per stratum
-(``lang``) from labelled documents: a cutoff is certified if the exact (Clopper-Pearson) upper bound of its
-false-rejection rate, at confidence ``1 - delta / (strata * rules)``, is at most ``alpha``. Cutoffs of a rule are
-tested from the mildest to the strictest and testing stops at the first that fails (fixed-sequence testing), and
-rules and strata share ``delta`` by Bonferroni, so with probability ``1 - delta`` *every* certified cutoff holds.
-Rules are taken in order, and of a rule's certified cutoffs that one is used which maximises ``caught / bad - price * lost / good``, counting only documents that no rule before
-rejects. A rule without a certified cutoff of positive worth rejects nothing in that stratum.
+Every rule compares one integer feature of a text (per mille) with a cutoff. Cutoffs are chosen per stratum (``lang``) from labelled documents, which are dealt by a hash
+of their id to two halves. On the *choosing* half, rule by rule, the cutoff is taken that maximises ``caught / bad - price * lost / good``, counting only documents that no rule before
+rejects; a rule without a cutoff of positive worth rejects nothing in that stratum. That gives a path of rule sets from mild to strict: in its step j every rule is at
+its j-th cutoff, or at the chosen one if that is milder. On the *held-out* half the path is tested from its mild end: a step is certified if the exact
+(Clopper-Pearson) upper bound, at confidence ``1 - delta / strata``, of the share of good documents that *any* of the rules rejects is at most ``alpha``; testing stops at the first step that fails
+(fixed-sequence testing), and the last certified one is used. Strata share ``delta`` by Bonferroni. So with probability ``1 - delta`` the rules together falsely reject at most ``alpha`` in *every* stratum.
 
 Defined cases. A null or blank text is rejected. A null ``lang`` is its own stratum, ``""``. Documents without a
 label, labels without a document and null labels don't calibrate; a document with several labels counts as good if
-any says so. Repeated rows are each kept or rejected alike. Extra columns pass through unread. Without labels
-nothing but blank texts is rejected.
+any says so. Of cutoffs equally good the mildest is taken. Repeated rows are each kept or rejected alike; texts are read to their end. Extra columns pass through unread. Without labels
+nothing but blank texts is rejected; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -67,36 +66,46 @@ def bound_holds(lost: int, good: int, alpha: float, delta: float) -> bool:
     return math.fsum(math.exp(x) for x in log) <= delta
 
 
+#: Of which half a labelled document is: 1 for held out. Whole numbers that any engine computes alike.
+HELD_OUT = "((({id} % 2147483647 + 2147483647) % 2147483647 * 48271) % 2147483647) {div} 65536 % 2"
+
+
 def calibrate(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, price: float = PRICE) -> dict[str, dict[str, int]]:
     """stratum -> rule -> cutoff. One pass over the labelled documents; the driver gets counts of cells, whose number the cutoffs bound."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     if labels.count() <= BROADCAST_LABELS:
         seen = docs.select("doc_id", "text", "lang").join(F.broadcast(marks), "doc_id")
-        seen = seen.select("good", F.coalesce("lang", F.lit("")).alias("stratum"), "text", *[v.alias(k) for k, v in features(F.col("text")).items()])
+        seen = seen.select("doc_id", "good", F.coalesce("lang", F.lit("")).alias("stratum"), *[v.alias(k) for k, v in features(F.col("text")).items()])
     else:
-        f = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.substring("text", 1, 1).alias("text"), *[v.alias(k) for k, v in features(F.col("text")).items()])
+        f = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), *[v.alias(k) for k, v in features(F.col("text")).items()])
         seen = f.join(marks, "doc_id")
     # a document's step in a rule: how many cutoffs, the mildest first, don't hit it; documents of the same steps are one cell
     seen = seen.where(F.col("symbols").isNotNull() & F.col("good").isin(0, 1))
     steps = [sum((F.col(r) < c if sign > 0 else F.col(r) > c).cast("int") for c in cuts).alias(f"at_{r}") for r, (sign, cuts) in RULES.items()]
-    cells = seen.select("stratum", "good", *steps).groupBy("stratum", "good", *[f"at_{r}" for r in RULES]).count().collect()
+    half = F.expr(HELD_OUT.format(id="doc_id", div="div")).alias("held")
+    cells = seen.select("stratum", "good", half, *steps).groupBy("stratum", "good", "held", *[f"at_{r}" for r in RULES]).count().collect()
     strata = sorted({c["stratum"] for c in cells})
     chosen: dict[str, dict[str, int]] = {}
     for stratum in strata:
-        own = [(c["good"], [c[f"at_{r}"] for r in RULES], c["count"]) for c in cells if c["stratum"] == stratum]
-        good, bad = (sum(n for g, _, n in own if g == k) for k in (1, 0))
-        left = list(own)
-        for k, (rule, (_, cuts)) in enumerate(RULES.items()):
-            best, used = 0.0, -1
+        own = [(c["held"], c["good"], [c[f"at_{r}"] for r in RULES], c["count"]) for c in cells if c["stratum"] == stratum]
+        left = [(g, at, n) for h, g, at, n in own if not h]
+        good, bad = (sum(n for g, _, n in left if g == k) for k in (1, 0))
+        used: dict[int, int] = {}
+        for k, (_, cuts) in enumerate(RULES.values()):
+            best = 0.0
             for i in range(len(cuts)):
-                if not bound_holds(sum(n for g, at, n in own if g and at[k] <= i), good, alpha, delta / (len(strata) * len(RULES))):
-                    break
-                worth = sum(n if not g else 0 for g, at, n in left if at[k] <= i) / max(bad, 1) - price * sum(n for g, at, n in left if g and at[k] <= i) / good
+                worth = sum(n if not g else 0 for g, at, n in left if at[k] <= i) / max(bad, 1) - price * sum(n for g, at, n in left if g and at[k] <= i) / max(good, 1)
                 if worth > best:
-                    best, used = worth, i
-            if used >= 0:
-                chosen.setdefault(stratum, {})[rule] = cuts[used]
-                left = [c for c in left if c[1][k] > used]
+                    best, used[k] = worth, i
+            left = [c for c in left if c[1][k] > used.get(k, -1)]
+        # the first step of the path that rejects a held-out good document
+        falls = [(min((at[k] for k, i in used.items() if at[k] <= i), default=None), n) for h, g, at, n in own if h and g]
+        sure, last = sum(n for _, n in falls), -1
+        while last < max(used.values(), default=-1) and bound_holds(sum(n for j, n in falls if j is not None and j <= last + 1), sure, alpha, delta / len(strata)):
+            last += 1
+        if last >= 0:
+            chosen[stratum] = {rule: cuts[min(used[k], last)] for k, (rule, (_, cuts)) in enumerate(RULES.items()) if k in used}
     return chosen
 
 
@@ -135,22 +144,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(source: str = "documents", columns: str | None = None) -> str:
     """DuckDB SQL for :func:`query`, or for the kept rows' ``columns`` of ``source``."""
-    hit = {r: f"coalesce(v.\"{r}\" {'>=' if s > 0 else '<='} {{}}, false)" for r, (s, _) in RULES.items()}
-    parts, rejects = [], []
-    for k, (rule, (sign, all_)) in enumerate(RULES.items()):
-        values = ", ".join(f"({i}, {cut})" for i, cut in enumerate(all_))
-        h = hit[rule].format("c.cut")
+    names, most = list(RULES), max(len(c) for _, c in RULES.values()) - 1
+    steps = ", ".join("(" + " + ".join(f"(v.\"{r}\" {'<' if s > 0 else '>'} {c})::int" for c in cuts) + f") as at{k}" for k, (r, (s, cuts)) in enumerate(RULES.items()))
+    parts = []
+    for k, (_, cuts) in enumerate(RULES.values()):
         parts.append(f"""
-k{k} as (select stratum, step, cut, count(*) filter (good = 1 and {h}) as lost, count(*) filter (good = 1 and not gone and {h}) as new_lost, count(*) filter (good = 0 and not gone and {h}) as caught
-  from s{k} v, (values {values}) c(step, cut) group by all),
-t{k} as (select k.*, caught / greatest(n0, 1) - {PRICE} * new_lost / n1 as worth, n1 > 0 and lost <= n1 * {ALPHA} and
-    (select sum(exp(lgamma(n1 + 1) - (case when j = 0 then 0 else lgamma(j + 1) end) - (case when n1 = j then 0 else lgamma(n1 - j + 1) end) + j * ln({ALPHA}) + (n1 - j) * ln(1 - {ALPHA})))
-     from (select unnest(range(0, least(lost, cast(floor(n1 * {ALPHA}) as bigint)) + 1)) as j)) <= {DELTA} / ((select count(*) from sizes) * {len(RULES)}) as holds
-  from k{k} k join sizes using (stratum)),
-f{k} as (select *, bool_and(holds) over (partition by stratum order by step) as fine from t{k}),
-c{k} as (select stratum, cut from (select *, row_number() over (partition by stratum order by worth desc, step) as r from f{k} where fine and worth > 0) where r = 1),
-s{k + 1} as (select v.* replace (gone or coalesce({h}, false) as gone) from s{k} v left join c{k} c using (stratum))""")
-        rejects.append(f"coalesce((select {h} from c{k} c where c.stratum = v.stratum), false)")
+w{k} as (select stratum, i, count(*) filter (good = 0 and at{k} <= i) / greatest(n0, 1) - {PRICE} * count(*) filter (good = 1 and at{k} <= i) / greatest(n1, 1) as worth
+  from l{k} join sizes using (stratum), range({len(cuts)}) t(i) group by stratum, i, n0, n1),
+u{k} as (select stratum, i as used from (select *, row_number() over (partition by stratum order by worth desc, i) as r from w{k} where worth > 0) where r = 1),
+l{k + 1} as (select l.* from l{k} l left join u{k} u using (stratum) where used is null or at{k} > used)""")
+    used = " ".join(f"left join u{k} on u{k}.stratum = s.stratum" for k in range(len(names)))
+    falls = "least(" + ", ".join(f"case when at{k} <= (select used from u{k} u where u.stratum = c.stratum) then at{k} end" for k in range(len(names))) + ")"
+    rejects = " or ".join(
+        f"coalesce(v.\"{r}\" {'>=' if s > 0 else '<='} (select {list(cuts)}[least(used{k}, last) + 1] from cut c where c.stratum = v.stratum and last >= 0 and used{k} is not null), false)" for k, (r, (s, cuts)) in enumerate(RULES.items())
+    )
     shown = columns or "doc_id, stratum, " + ", ".join(f'"{r}"' for r in RULES) + ", true as keep"
     return f"""
 with feats as (
@@ -164,7 +171,16 @@ vals as (
     (1000 * len(list_distinct(w_))) // len(w_) as "distinct"
   from feats),
 marks as (select doc_id, max(quality) as good from labels where doc_id is not null and quality is not null group by doc_id),
-s0 as (select v.*, good, false as gone from vals v join marks using (doc_id) where symbols is not null and good in (0, 1)),
-sizes as (select stratum, count(*) filter (good = 1) as n1, count(*) filter (good = 0) as n0 from s0 group by stratum),{",".join(parts)},
-kept as (select * from vals v where coalesce(regexp_matches(text, '\\S'), false) and not ({" or ".join(rejects)}))
+cells as (select stratum, good, {HELD_OUT.format(id="doc_id::bigint", div="//")} as held, {steps} from vals v join marks using (doc_id) where symbols is not null and good in (0, 1)),
+l0 as (select * from cells where held = 0),
+strata as (select distinct stratum from cells),
+sizes as (select stratum, count(l0.good) filter (good = 1) as n1, count(l0.good) filter (good = 0) as n0 from strata left join l0 using (stratum) group by stratum),{",".join(parts)},
+falls as (select stratum, {falls} as j from cells c where held = 1 and good = 1),
+tries as (select stratum, i, count(*) as n, count(*) filter (j <= i) as lost from falls, range({most + 1}) t(i) group by all),
+held as (select stratum, i, n > 0 and lost <= n * {ALPHA} and
+    (select sum(exp(lgamma(n + 1) - (case when j = 0 then 0 else lgamma(j + 1) end) - (case when n = j then 0 else lgamma(n - j + 1) end) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))
+     from (select unnest(range(0, least(lost, cast(floor(n * {ALPHA}) as bigint)) + 1)) as j)) <= {DELTA} / (select count(*) from strata) as holds from tries),
+fine as (select stratum, count(*) filter (ok) - 1 as last from (select *, bool_and(holds) over (partition by stratum order by i) as ok from held) group by stratum),
+cut as (select s.stratum, coalesce(last, -1) as last, {", ".join(f"u{k}.used as used{k}" for k in range(len(names)))} from strata s left join fine f on f.stratum = s.stratum {used}),
+kept as (select * from vals v where coalesce(regexp_matches(text, '\\S'), false) and not ({rejects}))
 select {shown} from kept"""
