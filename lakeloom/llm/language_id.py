@@ -13,8 +13,8 @@ at least the declared language's margin, which about ``RISK`` of its correctly l
 (a text and its sentence share a fold) by median and median deviation of the lead of the declared language, so mislabelled rows, as long as they are
 a minority of their language's sample, move them little, and one badly labelled language doesn't move the others'.
 
-Defined cases. Null, empty and letterless texts get a null language and are rejected. Ties go to the language that
-sorts first. A null declared language can't be contradicted. Without two labelled languages every text with letters
+Defined cases. Null, empty and letterless texts get a null language and are rejected; an empty table gives none. Ties go to the language that
+sorts first. Every declared language that has a text is fitted. A null declared language can't be contradicted. Without two labelled languages every text with letters
 is accepted. Repeated rows and extra columns don't matter.
 """
 
@@ -27,12 +27,12 @@ from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import fresh, mapped
 
-#: Labelled documents a language for the fit; landmarks; languages at most; ridge; share of clean documents that a margin may reject.
-SAMPLE, LANDMARKS, LANGUAGES, RIDGE, RISK = 300, 96, 64, 1e-3, 0.01
+#: Labelled documents a language for the fit; landmarks, and of each language at least; ridge; share of clean documents that a margin may reject.
+SAMPLE, LANDMARKS, FEWEST, RIDGE, RISK = 300, 96, 4, 1e-3, 0.01
 #: Folds that are held out for the margins, and the least margin.
 FOLDS, LEAST = 5, 0.3
 WIDTH = 64 + 64**2 + 64**3
@@ -99,7 +99,7 @@ class Model:
         order = np.random.default_rng(7).permutation(len(texts))
         texts, y = [texts[i] for i in order], np.array([self.langs.index(langs[i]) for i in order], int)
         # landmarks: as many texts of each language, the first of the sample's random order; rows are never held for the whole sample
-        per = max(1, LANDMARKS // max(1, len(self.langs)))
+        per = max(FEWEST, LANDMARKS // max(1, len(self.langs)))
         marks = [i for k in range(len(self.langs)) for i in np.flatnonzero(y == k)[:per].tolist()]
         others: list[np.ndarray] = []
         held = presence([texts[i] for i in marks], None, others)
@@ -171,17 +171,23 @@ def _sentences(text: str) -> list[str]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the ``sample`` documents of each language whose ids hash lowest; a bounded gather, the same for any partitioning."""
-    labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    common = sorted(counts, key=lambda k: (-counts[k], k))[:LANGUAGES]
-    texts, langs = [], []
-    for lang in common:
-        # a hash filter that leaves about twice the sample keeps the sort small
-        h = F.xxhash64("doc_id", F.lit(11))
-        part = labelled.where((F.col("lang") == lang) & (F.pmod(h, F.lit(1_000_000)) < min(1_000_000, 4_000_000 * sample // counts[lang] + 1)))
-        for r in part.orderBy(h, "doc_id", "text").limit(sample).collect():
-            texts.append(r["text"])
-            langs.append(lang)
+    counts = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}  # of one narrow column
+    h, whole = F.xxhash64("doc_id", F.lit(11)), 1 << 30
+    share = {k: min(whole, 4 * whole * sample // n + 1) for k, n in counts.items()}
+    got: dict[str, list[str]] = {}
+    spark = docs.sparkSession
+    while share:
+        # one pass over the texts for all languages: of each about four times its sample pass a hash filter, the sample is the first of these
+        limits = F.broadcast(spark.createDataFrame(sorted(share.items()), "__lang string, __share bigint"))
+        some = docs.select("doc_id", "text", "lang").where("text is not null").join(limits, F.col("lang") == F.col("__lang")).where(F.pmod(h, F.lit(whole)) < F.col("__share"))
+        first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(h, F.lit(whole)), "doc_id", "text"))
+        found: dict[str, list[tuple[int, str]]] = {}
+        for r in some.withColumn("__n", first).where(F.col("__n") <= sample).select("lang", "__n", "text").collect():
+            found.setdefault(r["lang"], []).append((r["__n"], r["text"]))
+        got |= {k: [t for _, t in sorted(v)] for k, v in found.items()}
+        # again only where texts are null so often that the filter left too few
+        share = {k: min(whole, 64 * s) for k, s in share.items() if s < whole and len(found.get(k, [])) < sample}
+    texts, langs = [t for k in sorted(got) for t in got[k]], [k for k in sorted(got) for _ in got[k]]
     pick = np.random.default_rng(3)
     more = [(s[pick.integers(len(s))], k, i) for i, (t, k) in enumerate(zip(texts, langs)) if (s := _sentences(t))]
     return Model(texts + [s for s, _, _ in more], langs + [k for _, k, _ in more], [*range(len(texts)), *(i for _, _, i in more)])
