@@ -5,24 +5,29 @@ computed in the JVM from the record's variant, so records of one layout share a
 small table, are resolved once: the first *mapping* whose required paths a schema holds. A mapping is declarative: where the list of turns is and how its fields and roles are named, or which fields
 make which turns. Records are then converted by expressions only, one branch for each mapping, selected by fingerprint.
 
-Defined cases. Null, empty and malformed records, and schemas that no mapping fits, give no turn in :func:`turns`; :func:`resolved` shows their fingerprints with a null mapping. Absent and null fields make no
+Defined cases. Null, empty and malformed records, records of an id that is null in the flat table, and schemas that no mapping fits, give no turn in :func:`turns`; :func:`resolved` shows their fingerprints with a null mapping. Absent and null fields make no
 turn; an empty text is a turn. Unknown roles are kept in lower case; a null role is ``user``. Turns keep the record's order and are numbered from 0. Records that repeat are converted each; extra fields
-beside the required paths don't hinder a mapping. Extra columns are ignored.
+beside the required paths don't hinder a mapping. Records of any length are converted whole, and an empty table gives no turns. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import mapped
+
 ROLES = {"human": "user", "prompter": "user", "instruction": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "chatgpt": "assistant", "response": "assistant", "developer": "system"}
 
 
 @dataclass(frozen=True)
 class Mapping:
     """``needs``: paths that a schema must hold. Either ``turns`` = (path of the list, role field, text field), after an optional ``system`` field, or ``fields`` = ((role, path or paths joined by a blank line), ...).
-    ``pairs`` = path of a list of two-string lists of earlier user and assistant turns, which follow the system field."""
+    ``pairs`` = path of a list of two-string lists of earlier user and assistant turns, which follow the system field. ``single`` = (role field, text field) of a record that is one turn.
+    An empty path is the record itself. A text that is a list of parts, strings or objects with a ``text``, is its parts' texts joined."""
 
     name: str
     needs: frozenset[str]
@@ -30,6 +35,7 @@ class Mapping:
     system: str | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     pairs: str | None = None
+    single: tuple[str, str] | None = None
 
 
 #: In order of preference.
@@ -42,9 +48,11 @@ MAPPINGS = (
     Mapping("prompt_completion", frozenset({"prompt", "completion"}), system="system", fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt_response", frozenset({"prompt", "response"}), system="system", fields=(("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping("question_answer", frozenset({"data.question", "data.answer"}), system="data.context", fields=(("user", ("data.question",)), ("assistant", ("data.answer",)))),
-    Mapping("role_text", frozenset({"role", "text"}), fields=()),
+    Mapping("role_text", frozenset({"role", "text"}), single=("role", "text")),
     Mapping("instruction_only", frozenset({"instruction"}), system="system", fields=(("user", ("instruction", "input")),)),
     Mapping("prompt_only", frozenset({"prompt"}), system="system", fields=(("user", ("prompt",)),)),
+    Mapping("message_list", frozenset({"[].role", "[].content"}), turns=("", "role", "content")),
+    Mapping("conversation_list", frozenset({"[].from", "[].value"}), turns=("", "from", "value")),
 )
 #: Distinct schemas up to this many are resolved through the driver and broadcast; beyond, by a join.
 RESOLVE = 100_000
@@ -99,12 +107,29 @@ def fingerprinted(records: DataFrame, record: str = "record") -> DataFrame:
 def resolved(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``fingerprint, schema, mapping, records`` for each layout that occurs."""
     found = fingerprinted(records.select(record), record).groupBy("__fingerprint", "__schema").agg(F.count("*").alias("records"))
-    name = F.udf(lambda s: mapping_of(s, mappings), "string")  # one call a layout, not a record
-    return found.select(F.col("__fingerprint").alias("fingerprint"), F.col("__schema").alias("schema"), name("__schema").alias("mapping"), "records")
+
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = pa.array([mapping_of(s, mappings) for s in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names, b.column(2)], names=["fingerprint", "schema", "mapping", "records"])
+
+    # unlike a function in an expression, this stays above the aggregate: it sees each layout once, not each record
+    return mapped(found, run, "fingerprint bigint, schema string, mapping string, records bigint")
+
+
+def _path(path: str) -> str:
+    return "$" + "".join(f"['{p}']" for p in path.split(".") if p)
 
 
 def _text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in path.split(".")), "string")
+    return F.try_variant_get(v, _path(path), "string")
+
+
+def _whole(v: Column) -> Column:
+    """A text, or the joined texts of a list of parts."""
+    each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$.text", "string")).otherwise(F.try_variant_get(x, "$", "string")))
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(each, "")).otherwise(F.try_variant_get(v, "$", "string"))
 
 
 def _turn(role: str | Column, text: Column) -> Column:
@@ -123,13 +148,14 @@ def _converted(v: Column, m: Mapping) -> Column:
         parts.append(F.array(_turn("system", _text(v, m.system))))
     if m.turns:
         where, role, text = m.turns
-        items = F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in where.split(".")), f"array<struct<`{role}`:string,`{text}`:string>>")
-        parts.append(F.transform(items, lambda x: _turn(_role(x[role]), x[text])))
+        items = F.try_variant_get(v, _path(where), f"array<struct<`{role}`:string,`{text}`:variant>>")
+        parts.append(F.transform(items, lambda x: _turn(_role(x[role]), _whole(x[text]))))
     if m.pairs:
         items = F.try_variant_get(v, f"$['{m.pairs}']", "array<array<string>>")
         parts.append(F.flatten(F.transform(items, lambda x: F.array(_turn("user", F.get(x, F.lit(0))), _turn("assistant", F.get(x, F.lit(1)))))))
-    if m.name == "role_text":
-        parts.append(F.array(_turn(_role(_text(v, "role")), _text(v, "text"))))
+    if m.single:
+        role, text = m.single
+        parts.append(F.array(_turn(_role(_text(v, role)), _whole(F.try_variant_get(v, _path(text), "variant")))))
     for role, fields in m.fields:
         some = [_text(v, f) for f in fields]
         first = some[0]
