@@ -2,8 +2,9 @@
 
 The kernel sums, over all subsequences of ``LENGTH`` characters, ``DECAY`` to the power of the spans they take in both strings, and is
 normalised, so ``idiot``, ``id-iot`` and ``i d i o t`` are near each other. Sentences are seen through their *units*: words without
-outer punctuation, in lower case; runs of three or more single characters, as spelt-out words are, also as one unit; and units longer than
-``SPAN`` through all their windows of that length, half a window apart. A sentence scores as its highest unit, a document as its highest sentence.
+outer punctuation, in lower case; runs of three or more single characters, as spelt-out words are, also as one unit; two to ``PIECES`` neighbouring short words of at most ``SHORT``
+characters also as one, as of words broken by spaces; and units longer than ``SPAN`` through all their windows of that length, half a window apart.
+A sentence scores as its highest unit, a document as its highest sentence. Words that clean labelled documents hold about as often as toxic ones (``KNOWN`` of them at least) are known to be clean, whatever they resemble.
 
 Training is multiple-instance. Labels mark documents; every sentence of a document bears its label. Landmarks are the units most associated
 with toxic sentences (by document log-odds) with the common units of clean ones that are nearest to them. A linear SVM with squared hinge loss, fitted on Nyström
@@ -11,12 +12,14 @@ features, sees the units of clean sentences as negatives and, for each toxic doc
 after each fit, and spoilt forms of the chosen units as positives too; toxic documents whose units all score as clean are dropped as noise, and of copies
 one is used. The threshold maximises F1 on a held-out part. At most ``LABELS`` labelled documents of either kind are fitted on; scoring reads every text from end to end.
 
-Defined cases. Null and empty texts score null and are never toxic; repeated rows are judged alike, extra columns ignored. Without labels of both kinds nothing is toxic.
+Defined cases. Null and empty texts score null and are never toxic; an empty table gives no rows, and one without labels of both kinds a model that finds nothing. Repeated rows are judged alike, and extra columns ignored. Units that tie for
+a document's score count alike, of sentences that tie the first is shown. Very long texts are read to their end. A labelled document with several labels is toxic if any says so.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -29,24 +32,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Memo, mapped, per_process
 
 LENGTH, DECAY, SPAN, LANDMARKS, LABELS, ROUNDS = 3, 0.85, 16, 64, 2500, 4
-BROADCAST_LABELS = 4_000_000
+SHORT, PIECES, KNOWN, HARD = 4, 3, 4, 16
+#: Weights by subsequence are kept for at most this many different characters of the landmarks; with more, kernels are computed.
+LETTERS = 120
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPELT = re.compile(r"(?<!\S)(?:\S[^\S\n]+){2,}\S(?!\S)")
 
 
+_BROKEN = re.compile(rf"(?<!\S)\S{{1,{SHORT}}}(?:[^\S\n]+\S{{1,{SHORT}}})+(?!\S)")
+
+
 def units(token: str) -> list[str]:
     """The units of one part of a lower-case text."""
     word = _EDGE.sub("", token)
+    if " " in word and len(few := word.split()) * 2 - 1 < len(word):
+        joined = (" ".join(few[i:j]) for i in range(len(few) - 1) for j in range(i + 2, min(len(few), i + PIECES) + 1))
+        return [u for u in joined if LENGTH + 2 <= len(u) <= SPAN]
     if len(word) <= SPAN:
         return [word] if len(word) >= LENGTH else []
     return [word[i : i + SPAN] for i in range(0, len(word) - SPAN // 2, SPAN // 2)]
 
 
 def parts(text: str) -> list[str]:
-    """Words and spelt-out runs of a text, repeated as they are."""
+    """Words, spelt-out runs and runs of short words of a text, repeated as they are."""
     low = text.lower()
-    return low.split() + _SPELT.findall(low)
+    return low.split() + _SPELT.findall(low) + _BROKEN.findall(low)
 
 
 #: Code of a character that isn't a letter or digit: it matches nothing, not even itself, and only takes its place in a span. 0 is after the end.
@@ -144,6 +155,7 @@ class Model:
 
     def __init__(self, texts: list[str], toxic: list[int]) -> None:
         self.threshold, self.bias = np.inf, 0.0
+        self.name, self.clean = uuid.uuid4().hex, frozenset()
         self.marks, self.own, self.weights = np.zeros((0, SPAN), np.uint32), np.zeros(0, np.float32), np.zeros(0, np.float32)
         bags = [sorted({u for p in set(parts(t)) for u in units(p)}) for t in texts]
         fine = _distinct(bags)
@@ -166,7 +178,7 @@ class Model:
         marks = _codes(likely)
         close = normalised(clean, marks, own(marks)).max(1)
         often = np.log1p([seen[0][u] for u in clean])
-        hard = [clean[k] for k in np.argsort(-close * often, kind="stable") if clean[k] not in likely][: LANDMARKS // 4]
+        hard = [clean[k] for k in np.argsort(-close * often, kind="stable") if clean[k] not in likely][:HARD]
         self.marks = _codes(likely + hard)
         self.own = own(self.marks)
         w, v = np.linalg.eigh((kernel(self.marks, self.marks) / np.sqrt(self.own[:, None] * self.own)).astype(np.float64))
@@ -190,6 +202,7 @@ class Model:
             if not chosen:
                 return
         self.weights, self.bias = (root @ beta).astype(np.float32), float(bias)
+        self.clean = frozenset(u for u, k in seen[0].items() if k >= KNOWN and seen[1][u] / n[1] <= 2 * k / n[0])
         self.compile()
         held = [(max(self.scores(bag), default=-9.0), s) for bag, f, s in zip(bags, fold, y) if not f]
         s, t = np.array([a for a, _ in held], float), np.array([b for _, b in held], bool)
@@ -205,7 +218,7 @@ class Model:
         """
         letters = np.unique(self.marks[self.marks > GAP])
         self.table = None
-        if len(letters) > 120:
+        if len(letters) > LETTERS:
             return  # the table would be large; kernels are computed instead
         self.classes = np.zeros(0x110000, np.uint8)
         self.classes[letters] = np.arange(1, len(letters) + 1)
@@ -218,7 +231,13 @@ class Model:
         self.width = n
 
     def scores(self, strings: list[str]) -> np.ndarray:
-        """Scores of units; equal to normalised kernels with the landmarks times the weights."""
+        """Scores of units: normalised kernels with the landmarks times the weights; -9 of words known to be clean."""
+        out = self.linear(strings)
+        out[[i for i, s in enumerate(strings) if s in self.clean]] = -9
+        return out
+
+    def linear(self, strings: list[str]) -> np.ndarray:
+        """Equal to normalised kernels with the landmarks times the weights."""
         if not len(self.weights):
             return np.full(len(strings), -9.0, np.float32)
         if self.table is None:
@@ -270,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> Model:
 def scored(docs: DataFrame, model: Model, only_toxic: bool = False) -> DataFrame:
     """``doc_id, score, n_toxic, sentence, toxic``: the highest score, how many sentences reach the threshold, and the worst of them."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(held)
+    key = model.name  # of this fit: workers outlive it, and an address may come back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
