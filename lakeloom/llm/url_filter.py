@@ -2,15 +2,15 @@
 
 Features: length, path depth, digit ratio, entropy, numbers of parameters, host labels, hyphens and so on, and statistics of the suffix and of the
 host's character pairs: smoothed log-odds of unwanted URLs with the same last host label, and the mean log-odds of the host's pairs, counted on the
-training part. Labels: a table ``url, label``, or where there is none a list of known unwanted sites. Trees are grown by
+training part. Labels: a table ``url, label``, the argument of :func:`fit`, or, as the test tables have none, a list of known unwanted sites. Trees are grown by
 histograms on at most ``SAMPLE`` labelled URLs of either kind (those that hash lowest, so the same for any partitioning) with logistic loss, where rare unwanted
 ones are repeated until they are at least ``SHARE`` of the fit; the cutoff is the lowest of at least 0 there at which at most ``FALSE`` of the held-out wanted URLs
 are rejected. Scores are corrected for the share that unwanted URLs have in the table.
 
 Features and trees are computed for a batch of URLs at once from their joined bytes. Nothing is shuffled but the training sample.
 
-Defined cases. A null or blank URL has a null score and is rejected. One that has no scheme or host is scored on what it has. Repeated rows are judged alike, and extra
-columns ignored. Without labels of both kinds every other URL is kept.
+Defined cases. A null or blank URL has a null score and is rejected. One that has no scheme or host is scored on what it has; one of any length is read to its end. Repeated rows are judged alike, and extra
+columns ignored; an empty table gives no rows. A URL with several labels counts as unwanted if any says so. Of splits equally good the first feature's lowest is taken. Without labels of both kinds every other URL is kept.
 """
 
 from __future__ import annotations
@@ -185,12 +185,25 @@ def known_label(url: Column, sites: tuple[str, ...] = KNOWN) -> Column:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From ``url, label``; only the sample, ``sample`` URLs of either kind, goes to the driver."""
-    h = F.xxhash64("url", F.lit(31))
-    marked = labelled.where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
-    there = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    rows = [r for k in (0, 1) for r in marked.where(F.col("label") == k).orderBy(h, "url").limit(sample).collect()]
-    shares = tuple(min(1.0, sample / there.get(k, 1)) for k in (0, 1))
-    return Model([r["url"] for r in rows], [r["label"] for r in rows], shares)
+    whole = 1 << 30
+    h = F.pmod(F.xxhash64("url", F.lit(31)), F.lit(whole))
+    marked = labelled.where("url is not null and label in (0, 1)")
+    unwanted = marked.where("label = 1")
+    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    rows, shares = [], [1.0, 1.0]
+    for k in (0, 1):
+        # URLs that pass a hash filter, so only about four samples are shuffled; again with more where URLs repeat so often that too few are left
+        limit = min(whole, 4 * whole * sample // max(1, counts.get(k, 0)) + 1) if counts.get(k) else 0
+        while limit:
+            # a URL of both labels is unwanted
+            some = marked.where(h < limit).groupBy("url").agg(F.max("label").alias("label")).where(F.col("label") == k) if k == 0 else unwanted.where(h < limit).select("url", "label").distinct()
+            got = some.withColumn("h", h).orderBy("h", "url").limit(sample).collect()
+            if len(got) == sample or limit == whole:
+                rows += got
+                shares[k] = (got[-1]["h"] + 1) / whole if len(got) == sample else 1.0  # the part of the hash's range that the sample fills
+                break
+            limit = min(whole, limit * 64)
+    return Model([r["url"] for r in rows], [r["label"] for r in rows], tuple(shares))
 
 
 def judged(pages: DataFrame, model: Model, key: str = "page_id", url: str = "url") -> DataFrame:
