@@ -21,10 +21,12 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); only where it is unset, as in tests, one of our own."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset one of our own serves a session of one machine, as in tests; on a cluster that is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         place = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(place)
@@ -56,7 +58,8 @@ BATCH_BYTES = 8 << 20
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows, so that Python holds few texts at once; the session's Arrow batches are bounded in bytes likewise."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b").rstrip("b")) > BATCH_BYTES:
+    bound = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m"))
+    if not 0 < bound <= BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,11 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lakeloom.llm import chat_format, chunking, language_id, mixing, near_duplicates, quality_rules, sentence_pieces, token_counts, toxicity, url_filter
@@ -70,6 +72,31 @@ def test_certified_cutoffs_limit_false_rejection(spark):
     assert few == {}  # too few labels certify nothing
 
 
+def test_rules_together_keep_the_bound(spark, monkeypatch):
+    """Many noisy rules: of the held-out good documents all rules together reject no more than the bound allows, in each stratum; with labels too many to broadcast likewise."""
+    rng = random.Random(11)
+    rows, marks = [], []
+    for i in range(4000):
+        good = rng.random() < 0.7
+        words = [f"w{rng.randrange(400)}" for _ in range(40)]
+        if rng.random() < (0.02 if good else 0.75):
+            words = words[:20] + [rng.choice(["***", "LOUD", words[19]])] * 20
+        rows.append((i, " ".join(words), "en" if i % 3 else "de", "s", 0))
+        marks.append((i, int(good), 0))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    cut = quality_rules.calibrate(docs, labels)
+    assert len(cut) == 2 and any(len(c) > 1 for c in cut.values())
+    monkeypatch.setattr(quality_rules, "BROADCAST_LABELS", 10)
+    assert quality_rules.calibrate(docs, labels) == cut
+    kept = {r.doc_id for r in quality_rules.quality_filter(docs, labels).collect()}
+    held = lambda i: (i * 48271 % 2147483647) // 65536 % 2
+    for lang in ("en", "de"):
+        good = [r[0] for r, m in zip(rows, marks) if m[1] and r[2] == lang and held(r[0])]
+        lost = sum(i not in kept for i in good)
+        assert quality_rules.bound_holds(lost, len(good), quality_rules.ALPHA, quality_rules.DELTA / 2)
+    assert sum(i in kept for i, g, _ in marks if not g) < 0.6 * sum(1 for _, g, _ in marks if not g)
+
+
 def test_quality_rules_on_odd_rows(odd, none, labels):
     kept = quality_rules.quality_filter(odd, labels)
     assert kept.columns == odd.columns
@@ -167,7 +194,7 @@ def test_memo_keeps_what_is_used():
 
 
 # 4 chunking
-def test_chunks_resynchronise_and_respect_bounds():
+def test_chunks_resynchronise_and_respect_bounds(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(0, 256, 200_000, dtype=np.uint8).tobytes()
     ends = chunking.cuts(data)
@@ -181,9 +208,21 @@ def test_chunks_resynchronise_and_respect_bounds():
         slow.append(h)
     assert chunking.rolling(np.frombuffer(data[:3000], np.uint8)).tolist() == slow
     assert chunking.cuts(b"") == [] and chunking.cuts(b"a") == [1]
-
-
-def test_payloads_are_deduplicated_verified_and_rebuilt(spark):
+    # the cut rule, byte by byte
+    for part in (data[:40_000], b"a" * 40_000, data[:700]):
+        start, h, want = 0, 0, []
+        for i, c in enumerate(part):
+            h = ((h << 1) + int(chunking.GEAR[c])) & 0xFFFFFFFF
+            n = i + 1 - start
+            if n >= chunking.LEAST and h < 1 << (32 - chunking.BITS) or n == chunking.MOST or i + 1 == len(part):
+                want.append(i + 1)
+                start = i + 1
+        assert chunking.cuts(part) == want
+    monkeypatch.setattr(chunking, "SLICE", 1000)
+    assert chunking.cuts(data) == ends
+
+
+def test_payloads_are_deduplicated_verified_and_rebuilt(spark, monkeypatch):
     rng = np.random.default_rng(5)
     part = [rng.integers(0, 256, 30_000, dtype=np.uint8).tobytes() for _ in range(3)]
     rows = [(1, part[0] + part[1]), (2, b"x" + part[0] + part[1]), (3, part[2]), (3, part[2]), (4, b""), (5, None), (None, b"tiny"), (6, b"a" * 300_000)]
@@ -191,11 +230,23 @@ def test_payloads_are_deduplicated_verified_and_rebuilt(spark):
     out = chunking.verified(media, "page_id", "html").collect()
     assert all(r.verified for r in out if r.id != 5) and sum(r.verified is None for r in out) == 1 and len(out) == len(rows)
     assert next(r for r in out if r.id == 2).n_shared > 10 and next(r for r in out if r.id == 4).digests == []
-    chunks = chunking.chunked(media, "page_id", "html")
-    kept = chunking.store(chunks)
-    assert kept.count() < chunks.where("digest is not null").count() and kept.where("not intact").count() == 0
-    back = sorted(((r.id, None if r.payload is None else bytes(r.payload)) for r in chunking.reconstructed(chunking.lists(chunks), kept).collect()), key=str)
-    assert back == sorted(rows, key=str)
+    lists = chunking.stored(chunking.listed(media, "page_id", "html"), "t")
+    held = chunking.stored(chunking.places(lists), "t")
+    # against a plain dictionary
+    places = [(d, r.row, at) for r in lists.collect() for at, d in enumerate(r.digests or [])]
+    first = {}
+    for d, row, at in sorted(places, key=lambda p: p[1:]):
+        first.setdefault(d, (row, at))
+    refs = Counter(d for d, _, _ in places)
+    for limit in (10**6, 0):
+        monkeypatch.setattr(chunking, "BROADCAST_PLACES", limit)
+        kept = chunking.packs(media, "page_id", "html", held)
+        stored = [(r.row, c.digest, zstandard.decompress(c.data)) for r in kept.collect() for c in r.chunks or []]
+        assert sorted((d, row) for row, d, _ in stored) == sorted((d, row) for d, (row, _) in first.items())
+        assert all(chunking.digest(data) == d for _, d, data in stored)
+        assert {r.row: r.n_shared for r in held.collect()} == {row: n for row, n in Counter(row for d, row, _ in places if refs[d] > 1).items()}
+        back = sorted(((r.id, None if r.payload is None else bytes(r.payload)) for r in chunking.rebuilt(kept).collect()), key=str)
+        assert back == sorted(rows, key=str)
     assert chunking.verified(media.limit(0), "page_id", "html").count() == 0
 
 
@@ -203,7 +254,7 @@ def test_payloads_that_lose_bytes_are_not_verified(spark, monkeypatch):
     data = np.random.default_rng(6).integers(0, 256, 60_000, dtype=np.uint8).tobytes()
     media = spark.createDataFrame([(1, data), (2, data[:300]), (3, b""), (4, None)], "page_id bigint, html binary")
     assert {r.id: (r.size, r.verified) for r in chunking.verified(media, "page_id", "html").collect()} == {1: (60_000, True), 2: (300, True), 3: (0, True), 4: (None, None)}
-    monkeypatch.setattr(chunking, "cuts", lambda d, real=chunking.cuts: real(d)[:-1])
+    monkeypatch.setattr(chunking, "_pieces", lambda d, real=chunking._pieces: real(d)[:-1])
     assert {r.id: (r.size, r.verified) for r in chunking.verified(media, "page_id", "html").collect()} == {1: (60_000, False), 2: (300, False), 3: (0, True), 4: (None, None)}
 
 
@@ -249,8 +300,7 @@ def test_toxic_words_and_their_spoilt_forms_are_found(toxic_model, spark):
             assert max(m.scores([u for p in toxicity.parts(form) for u in toxicity.units(p)])) >= m.threshold, form
     clean = [word() for _ in range(300)]
     assert (m.scores(clean) < m.threshold).mean() > 0.99
-    table = m.scores(clean)
-    assert np.allclose(table, toxicity.normalised(clean, m.marks, m.own) @ m.weights + m.bias, atol=1e-4)
+    assert np.allclose(m.linear(clean), toxicity.normalised(clean, m.marks, m.own) @ m.weights + m.bias, atol=1e-4)
     df = spark.createDataFrame([(1, "raba neso. loti v r a k z o n mu."), (2, "raba neso loti."), (3, None), (4, ""), (1, "raba neso. loti v r a k z o n mu.")], "doc_id bigint, text string")
     got = {r.doc_id: r for r in toxicity.scored(df, m).collect()}
     assert got[1].toxic and got[1].n_toxic == 1 and got[1].sentence == "loti v r a k z o n mu." and not got[2].toxic and got[3].score is None and not got[4].toxic
@@ -339,6 +389,64 @@ def test_url_features_and_trees():
     assert ((trees.margin(x[1500:]) > 0) == y[1500:]).mean() > 0.95
 
 
+def test_trees_equal_a_slow_grower():
+    """Boosting by definition: each split tried on all rows, on the same candidate cuts."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    x[:, 3] = rng.integers(0, 3, 300)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 1) | (rng.random(300) < 0.05)).astype(float)
+    fast = url_filter.Boosted(x, y, trees=4, depth=2, bins=8)
+    f = np.full(300, np.log(y.mean() / (1 - y.mean())))
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, 9)[1:-1])) for c in x.T]
+
+    def grown(at, g, h, depth):
+        if depth == 0:
+            return 0.3 * g[at].sum() / (h[at].sum() + 1)
+        best = (1e-6, None, None)
+        for j, cuts in enumerate(edges):
+            for e in cuts if len(at) >= 20 else []:
+                left = at[x[at, j] <= e]
+                right = at[x[at, j] > e]
+                gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[right].sum() ** 2 / (h[right].sum() + 1) - g[at].sum() ** 2 / (h[at].sum() + 1)
+                if gain > best[0] + 1e-9:
+                    best = (gain, j, e)
+        _, j, e = best
+        if j is None:
+            return grown(at, g, h, depth - 1)
+        return j, e, grown(at[x[at, j] <= e], g, h, depth - 1), grown(at[x[at, j] > e], g, h, depth - 1)
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-f))
+        tree = grown(np.arange(300), y - p, p * (1 - p), 2)
+        f += np.array([value(tree, row) for row in x])
+    assert np.allclose(fast.margin(x), f, atol=1e-6)
+
+
+def test_url_labels_as_a_table_and_sites_that_it_does_not_name(spark):
+    """Trained from a table of labels; held-out sites are judged by what their URLs look like."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(4, 8)))
+    good = lambda: f"https://{word()}.org/{word()}/{word()}"
+    bad = lambda: f"http://{word()}-{rng.randrange(100, 999)}-{word()}.biz/{word()}?id={rng.randrange(10**6)}&ref={rng.randrange(10**4)}&q={word()}"
+    rows = [(good(), 0) for _ in range(1500)] + [(bad(), 1) for _ in range(400)]
+    table = spark.createDataFrame(rows + rows[:50] + [(None, 1), (rows[0][0], None), ("both.biz/x", 0), ("both.biz/x", 1)], "url string, label int")
+    m = url_filter.fit(table, 300)
+    held = [(good(), 0) for _ in range(500)] + [(bad(), 1) for _ in range(200)]
+    hit = m.scores([u for u, _ in held]) >= m.threshold
+    assert hit[:500].mean() < 0.02 and hit[500:].mean() > 0.95
+    empty = url_filter.fit(table.limit(0))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "x" * 100_000), (5, "http://"), (5, "http://"), (None, "日本 ?&;=#")], "page_id bigint, url string").withColumn("score", F.lit(1))
+    for model in (m, empty):
+        got = {(r.page_id, r.score is None, r.keep if r.score is None or model is empty else None) for r in url_filter.judged(odd, model).collect()}
+        assert {(1, True, False), (2, True, False), (3, True, False)} <= got and len(got) == 6
+    assert url_filter.judged(odd.limit(0), m).count() == 0
+
+
 def test_url_filter_on_pages(spark):
     rows = url_filter.query(spark, "/root/testdata/sf0.01").collect()
     bad = [any(s in r.url for s in url_filter.KNOWN) for r in rows]
