@@ -100,10 +100,10 @@ def assert_no_gaps(column: str, grain: str = "day") -> Audit:
     )
 
 
-def gap_sentence(rows: list) -> str:
-    """What the rows of a gap audit say; the first gap in order, whatever order they come in."""
+def gap_sentence(rows: list, total: int | None = None) -> str:
+    """What the rows of a gap audit say; the first gap in order, whatever order they come in. ``total``: how many there are, where only the first is given."""
     if not rows:
         return ""
-    first, more = min(rows, key=lambda r: r["resumes_at"]), len(rows) - 1
+    first, more = min(rows, key=lambda r: r["resumes_at"]), (total or len(rows)) - 1
     tail = f" (and {more} further gap{'s' * (more > 1)})" if more else ""
     return f"covered through {first['covered_through']}, resumes at {first['resumes_at']}{tail}"

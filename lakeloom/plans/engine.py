@@ -8,9 +8,11 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..errors import EngineError
-from ..functions.types import quote
+from ..errors import EngineError, UnavailableError
+from ..functions.types import literal, quote
 
+#: The partition column of interval tables; views over them don't show it.
+HIDDEN = "__interval"
 #: Results must not depend on what a session happened to be set to.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.timestampType": "TIMESTAMP_NTZ", "spark.sql.groupByAliases": "true"}
 _VOLATILE = {"exprId", "origin", "jvmId", "resultId", "planId", "dataset_id"}
@@ -28,7 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that all executors see: the cluster's own (``spark.checkpoint.dir``); only where that is unset, as in tests, one of this machine."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise UnavailableError("spark.checkpoint.dir must name a folder that all executors see")
+    return place or tempfile.mkdtemp(prefix="shared-")
+
+
+def files_of(name: str) -> str:
+    """The partitioned table under an interval table's view."""
+    return f"{name[:-1]}__files`"
+
+
+def interval_rows(name: str, columns: list[str], time_column: str, keys: tuple[str, str], bounds: tuple[str, str]) -> str:
+    """The rows of an interval table within bounds: of the intervals' own directories, and of those for rows that came outside theirs."""
+    t = quote(time_column)
+    inside = f"({quote(HIDDEN)} >= {literal(keys[0])} AND {quote(HIDDEN)} < {literal(keys[1])} OR {quote(HIDDEN)} >= 'outside')"
+    return f"(SELECT {', '.join(map(quote, columns))} FROM {files_of(name)} WHERE {inside} AND {t} >= {bounds[0]} AND {t} < {bounds[1]})"
 
 
 class Engine:
@@ -82,6 +99,31 @@ class Engine:
         self.execute(f"DROP TABLE IF EXISTS {name}")
         self.execute(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (recursiveFileLookup 'true', pathGlobFilter '*.parquet') LOCATION '{location}'")
 
+    def interval_table(self, name: str, schema: StructType, location: str) -> None:
+        """A view over a table of the directories below ``location``, each a partition by a hidden column of its interval, so that a range of intervals opens only theirs."""
+        self.create_database(name.partition(".")[0].strip("`"))
+        columns = ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+        files = files_of(name)
+        self.execute(f"DROP TABLE IF EXISTS {files}")
+        self.execute(f"CREATE TABLE {files} ({columns}, {quote(HIDDEN)} STRING) USING parquet OPTIONS (pathGlobFilter '*.parquet') PARTITIONED BY ({quote(HIDDEN)}) LOCATION '{location}/_table'")
+        fs, path = self._fs(location)
+        found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+        keys = [(d.partition("=")[2].replace("%3A", ":"), d) for d in sorted(found) if d.startswith("interval=")]
+        if "outside" in found:
+            keys += [(f"outside-{s.getPath().getName()}", f"outside/{s.getPath().getName()}") for s in fs.listStatus(self._fs(f"{location}/outside")[1])]
+        self.add_intervals(name, [(k, f"{location}/{d}") for k, d in keys])
+        self.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT {', '.join(quote(c) for c in schema.names)} FROM {files}")
+
+    def add_intervals(self, name: str, places: list[tuple[str, str]]) -> None:
+        for i in range(0, len(places), 500):
+            parts = " ".join(f"PARTITION ({quote(HIDDEN)} = {literal(k)}) LOCATION {literal(place)}" for k, place in places[i : i + 500])
+            self.execute(f"ALTER TABLE {files_of(name)} ADD IF NOT EXISTS {parts}")
+
+    def drop_intervals(self, name: str, keys: list[str]) -> None:
+        for i in range(0, len(keys), 500):
+            parts = ", ".join(f"PARTITION ({quote(HIDDEN)} = {literal(k)})" for k in keys[i : i + 500])
+            self.execute(f"ALTER TABLE {files_of(name)} DROP IF EXISTS {parts}")
+
     # files
     def _fs(self, place: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(place)

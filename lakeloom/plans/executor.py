@@ -24,10 +24,10 @@ from ..operators.audits import gap_sentence
 from ..operators.materialize import conformed, scd2, upsert
 from ..sources.lake import freshness, physical_name, version_root, view_name, write_manifest
 from ..sources.readers import external_table, seed_rows
-from .engine import Engine
+from .engine import Engine, files_of, interval_rows
 from .fingerprint import FINGERPRINT_VERSION
 from .graph import Graph
-from .interval import Interval, intervals_within, partition_key, split_into_batches, stamp
+from .interval import GRAINS, Interval, floor_to, intervals_within, partition_key, split_into_batches, stamp
 from .metrics import Metrics
 from .model import Embedded, External, Full, Model, ScdType2, Seed, TimeRange, UniqueKey, View
 from .planner import Action, Plan
@@ -62,7 +62,9 @@ def open_catalog(engine: Engine, store: StateStore) -> None:
         if s.kind in ("external", "embedded") or engine.has_table(name):
             continue
         engine.create_database("_phys")
-        if s.kind != "view":
+        if s.kind == TimeRange.tag:
+            engine.interval_table(name, StructType.fromJson(_json(s.columns)), s.location)
+        elif s.kind != "view":
             engine.table_over(name, StructType.fromJson(_json(s.columns)), s.location)
     for s in store.snapshots():
         if s.kind == "view" and not engine.has_table(name := physical_name(s.name, s.physical)):
@@ -81,6 +83,18 @@ def _json(text: str) -> dict:
     return json.loads(text)
 
 
+def window_rows(name: str, model: Model, part: Interval) -> str:
+    """SQL of a model's rows in ``part``. A lake of files keeps rows by the interval that produced them, so there only the rows' own times can tell."""
+    k: TimeRange = model.kind
+    bounds = stamp(part.start), stamp(part.end)
+    if model.target == "parquet":
+        t = quote(k.time_column)
+        return f"(SELECT * FROM {name} WHERE {t} >= {bounds[0]} AND {t} < {bounds[1]})"
+    step = GRAINS[k.interval]
+    keys = partition_key(k.interval, floor_to(k.interval, part.start)), partition_key(k.interval, floor_to(k.interval, part.end + step - 1))
+    return interval_rows(name, model.columns, k.time_column, keys, bounds)
+
+
 def _swap_view(engine: Engine, env: str, model: str, physical: str, schema: StructType) -> None:
     view = view_name(env, model)
     engine.create_database(view.split("`")[1])
@@ -92,6 +106,7 @@ class Executor:
         self.engine, self.store, self.lake = engine, store, lake
         self.workers, self.retries, self.stop, self.sleep = workers, retries, stop or threading.Event(), sleep
         self.metrics = metrics or Metrics()
+        self.models: dict[str, Model] = {}
 
     # names and text
     def _names(self, graph: Graph, plan: Plan) -> Callable[[str], str]:
@@ -108,7 +123,12 @@ class Executor:
     def _body(self, model: Model, ref, part: Interval | None = None) -> str:
         if part is None:
             return model.body.render(ref, *(2 * [stamp(0)]))
-        return model.body.render(ref, stamp(part.start), stamp(part.end))
+
+        def window(name: str) -> str | None:
+            parent = self.models.get(name)
+            return window_rows(ref(name), parent, part) if parent and isinstance(parent.kind, TimeRange) else None
+
+        return model.body.render(ref, stamp(part.start), stamp(part.end), window=window)
 
     def _checked(self, model: Model, sql: str) -> None:
         if problems := contract_problems(model.schema, self.engine.describe(sql)):
@@ -137,7 +157,7 @@ class Executor:
             if not n:
                 self.metrics.add("lakeloom_audits_passed_total")
                 continue
-            detail = gap_sentence(bad.collect()) if a.gaps else ""
+            detail = gap_sentence(bad.orderBy("resumes_at").limit(1).collect(), n) if a.gaps else ""
             if a.blocking:
                 self.metrics.add("lakeloom_audit_failures_total")
                 raise AuditError(model.name, a.name, n, detail)
@@ -259,12 +279,12 @@ class Executor:
                 if lost:
                     raise ContractError(model.name, [f"a forward-only change can't take columns away: {', '.join(sorted(lost))}"])
             # files of before lack new columns, which read as null
-            self.engine.table_over(physical_name(model.name, action.physical), model.schema, root)
+            self.engine.interval_table(physical_name(model.name, action.physical), model.schema, root)
             self._save(model, action, root)
             if action.reused_from:
                 self.store.mark(model.name, action.fingerprint, self.store.intervals(model.name, action.reused_from), "done")
         elif action.backfill and not self.engine.has_table(physical_name(model.name, action.physical)):
-            self.engine.table_over(physical_name(model.name, action.physical), model.schema, root)
+            self.engine.interval_table(physical_name(model.name, action.physical), model.schema, root)
         for whole in action.backfill:
             size = 1 if model.target == "parquet" else k.batch_size
             for part in split_into_batches(k.interval, whole, size):
@@ -280,12 +300,15 @@ class Executor:
         parts = intervals_within(k.interval, part)
         staged = f"{root}/_staging/{uuid.uuid4().hex}"
         rows = self._cast(model, self.engine.query(self._body(model, ref, part)))
+        table, there, gone = physical_name(model.name, action.physical), [], []
         try:
             if model.target == "parquet":
 
                 def write() -> None:
+                    key = partition_key(k.interval, part.start)
                     rows.write.mode("overwrite").parquet(staged)
-                    self.engine.move(staged, f"{root}/interval={partition_key(k.interval, part.start)}")
+                    self.engine.move(staged, f"{root}/interval={key}")
+                    there.append((key, f"{root}/interval={key}"))
 
             else:
                 t = F.col(quote(k.time_column)).cast("timestamp_ntz")
@@ -300,21 +323,25 @@ class Executor:
                         key = partition_key(k.interval, p.start)
                         if self.engine.exists(f"{staged}/__part={_escaped(key)}"):
                             self.engine.move(f"{staged}/__part={_escaped(key)}", f"{root}/interval={key}")
+                            there.append((key, f"{root}/interval={key}"))
                         else:
                             self.engine.delete(f"{root}/interval={key}")
+                            gone.append(key)
                     if self.engine.exists(f"{staged}/__part=outside"):
-                        self.engine.move(f"{staged}/__part=outside", f"{root}/outside/{uuid.uuid4().hex}")
+                        beside = uuid.uuid4().hex
+                        self.engine.move(f"{staged}/__part=outside", f"{root}/outside/{beside}")
+                        there.append((f"outside-{beside}", f"{root}/outside/{beside}"))
 
             self._retry(write)
-            self.engine.execute(f"REFRESH TABLE {physical_name(model.name, action.physical)}")
+            self.engine.drop_intervals(table, gone)
+            self.engine.add_intervals(table, there)
+            self.engine.execute(f"REFRESH TABLE {files_of(table)}")
             if model.audits:
-                own = physical_name(model.name, action.physical)
                 if model.target == "parquet":
                     own = f"_audit_{uuid.uuid4().hex}"
                     self.engine.spark.read.schema(model.schema).parquet(f"{root}/interval={partition_key(k.interval, part.start)}").createOrReplaceTempView(own)
                 else:
-                    c = quote(k.time_column)
-                    own = f"(SELECT * FROM {own} WHERE {c} >= {stamp(part.start)} AND {c} < {stamp(part.end)})"
+                    own = window_rows(table, model, part)
                 self.audit(model, own, "interval")
         except Exception:
             self.store.mark(model.name, action.fingerprint, parts, "failed")
@@ -344,6 +371,7 @@ class Executor:
     def apply(self, graph: Graph, plan: Plan, now: int) -> Result:
         """Everything or, where a model fails, what didn't depend on it - and then nothing is promoted."""
         self._preflight(graph, plan)
+        self.models = graph.models
         ref, result = self._names(graph, plan), Result(plan)
         todo = {a.name: a for a in plan.actions if a.name in graph.models}
         failed: list[BaseException] = []
@@ -352,7 +380,7 @@ class Executor:
         with ThreadPoolExecutor(self.workers) as pool:
             waiting = list(todo)
             while waiting or running:
-                for name in [n for n in waiting if graph.models[n].deps <= done] if not failed else []:
+                for name in [n for n in waiting if graph.models[n].deps <= done]:
                     waiting.remove(name)
                     running[pool.submit(self._timed, graph.models[name], todo[name], ref, now)] = name
                 if not running:

@@ -19,7 +19,7 @@ _RAW = re.compile(r"@ref\(\s*([A-Za-z_]\w*\.[A-Za-z_]\w*)\s*\)|@(start|end)\b")
 
 @dataclass(frozen=True)
 class Node:
-    kind: str  # text, ref, bound, self
+    kind: str  # text, ref, window, bound, self
     value: str = ""
 
 
@@ -30,23 +30,27 @@ class Fragment:
     @property
     def refs(self) -> list[str]:
         """Referenced models in order of first use."""
-        return list(dict.fromkeys(n.value for n in self.nodes if n.kind == "ref"))
+        return list(dict.fromkeys(n.value.partition(":")[0] for n in self.nodes if n.kind in ("ref", "window")))
 
     @property
     def bounded(self) -> bool:
-        return any(n.kind == "bound" for n in self.nodes)
+        return any(n.kind in ("bound", "window") for n in self.nodes)
 
     @property
     def selfish(self) -> bool:
         return any(n.kind == "self" for n in self.nodes)
 
-    def render(self, ref: Callable[[str], str], start: str = ":start", end: str = ":end", own: str | None = None) -> str:
+    def render(self, ref: Callable[[str], str], start: str = ":start", end: str = ":end", own: str | None = None, window: Callable[[str], str | None] = lambda name: None) -> str:
+        """``window``: what stands for a model's rows in the bounds, if it isn't to be read whole and filtered."""
         out = []
         for n in self.nodes:
             if n.kind == "text":
                 out.append(n.value)
             elif n.kind == "ref":
                 out.append(ref(n.value))
+            elif n.kind == "window":
+                name, _, column = n.value.partition(":")
+                out.append(window(name) or f"(SELECT * FROM {ref(name)} WHERE {quote(column)} >= {start} AND {quote(column)} < {end})")
             elif n.kind == "bound":
                 out.append(start if n.value == "start" else end)
             elif own is None:
@@ -73,6 +77,14 @@ class Context:
             self.models[name] = model
         return f"\x02ref:{name}\x03"
 
+    def window(self, model: object) -> str:
+        """The rows of a model incremental by time within this batch's bounds, of which only those intervals' directories are opened."""
+        column = getattr(getattr(model, "kind", None), "time_column", None)
+        if column is None:
+            raise ModelError(f"{getattr(model, 'name', model)} isn't incremental by time, so it has no window")
+        self.models[model.name] = model
+        return f"\x02window:{model.name}:{column}\x03"
+
     def cols(self, model: object, *names: str) -> str:
         """Columns of a model, checked against its schema."""
         missing = [n for n in names if n not in model.columns]

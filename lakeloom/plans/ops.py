@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from ..errors import BlockedError, LoomError, StateError
 from ..sources.lake import physical_name, version_root
-from .engine import Engine
+from .engine import Engine, files_of
 from .graph import Graph
 from .interval import GRAINS, Interval, enumerate_intervals, floor_to, iso, millis
 from .lock import held
@@ -103,7 +103,9 @@ def janitor(engine: Engine, store: StateStore, lake: str, *, ttl: int = WEEK, no
             try:
                 if (s.name, s.physical) not in live and s.kind not in ("external", "embedded"):
                     name = physical_name(s.name, s.physical)
-                    engine.execute(f"DROP {'VIEW' if s.kind == 'view' else 'TABLE'} IF EXISTS {name}")
+                    engine.execute(f"DROP {'VIEW' if s.kind in ('view', TimeRange.tag) else 'TABLE'} IF EXISTS {name}")
+                    if s.kind == TimeRange.tag:
+                        engine.execute(f"DROP TABLE IF EXISTS {files_of(name)}")
                     if s.kind != "view":
                         engine.delete(version_root(lake, s.name, s.physical))
                 store.forget(s)

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.compact import Report, compact
 from ..operators.diff import data_diff, env_diff
 from ..operators.lineage import Origin, column_lineage
-from ..sources.lake import version_root, view_name
+from ..errors import LoomError
+from ..sources.lake import physical_name, version_root, view_name
 from . import ops
-from .engine import Engine
-from .executor import Executor, Result, open_catalog
+from .engine import Engine, files_of
+from .executor import Executor, Result, open_catalog, window_rows
 from .fingerprint import canonical_trees, versions
 from .graph import Graph, build_graph
-from .interval import millis
+from .interval import Interval, millis
 from .lock import TTL, held
 from .metrics import Metrics
 from .model import Embedded, External, Model, ScdType2, TimeRange, UniqueKey
@@ -76,9 +77,17 @@ class Project:
     def passport(self, env: str) -> dict:
         return environment_passport(env, self.graph, self.store)
 
-    def table(self, env: str, model: str) -> DataFrame:
-        """A model as an environment serves it."""
-        return self.engine.spark.table(view_name(env, model))
+    def table(self, env: str, model: str, start: int | str | None = None, end: int | str | None = None) -> DataFrame:
+        """A model as an environment serves it. With bounds only the rows of a model incremental by time from ``start`` on and before ``end``, of which only those intervals' directories are opened."""
+        if start is None and end is None:
+            return self.engine.spark.table(view_name(env, model))
+        m, fp = self.graph_for(env).models[model], self.store.pointers(env).get(model)
+        s = self.store.snapshot(model, fp) if fp else None
+        if not isinstance(m.kind, TimeRange) or s is None:
+            raise LoomError(f"{model} isn't a model incremental by time that {env} serves")
+        far = millis("9999-01-01")
+        part = Interval(millis(m.kind.start) if start is None else millis(start), far if end is None else millis(end))
+        return self.engine.query(f"SELECT * FROM {window_rows(physical_name(model, s.physical), m, part)}")
 
     def render(self, model: str, env: str | None = None) -> str:
         """A model's query with logical names, or with an environment's."""
@@ -96,7 +105,6 @@ class Project:
 
     def audit(self, env: str, only: Sequence[str] = ()) -> dict:
         """Run the audits of what an environment serves, without building anything. Those that ask about one interval are left out."""
-        from ..errors import LoomError
         from ..operators.audits import gap_sentence
 
         graph = self.graph_for(env)
@@ -122,7 +130,7 @@ class Project:
                 n = bad.count()
                 entry = {"model": name, "audit": a.name, "blocking": a.blocking, "violations": n}
                 if n and a.gaps:
-                    entry["detail"] = gap_sentence(bad.collect())
+                    entry["detail"] = gap_sentence(bad.orderBy("resumes_at").limit(1).collect(), n)
                 results.append(entry)
         return {"env": env, "results": results, "blockingViolations": sum(r["violations"] for r in results if r["blocking"]), "skipped": skipped}
 
@@ -168,9 +176,7 @@ class Project:
         for name in {e["model"] for e in report.compacted} if not dry_run else ():
             s = self.store.snapshot(name, pointers[name]) if name in pointers else None
             if s and s.kind == "incremental_by_time_range":
-                from ..sources.lake import physical_name
-
-                self.engine.execute(f"REFRESH TABLE {physical_name(name, s.physical)}")
+                self.engine.execute(f"REFRESH TABLE {files_of(physical_name(name, s.physical))}")
         return report
 
     def versions(self) -> dict[str, str]:

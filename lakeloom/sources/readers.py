@@ -50,6 +50,8 @@ def external_table(engine: Engine, model: Model) -> str:
     shape = hashlib.sha256(f"{s}{model.schema.json()}".encode()).hexdigest()[:8]
     name = f"`_ext`.`{model.namespace}__{model.table}__{shape}`"
     if engine.has_table(name):
+        if s.hive_partitioning and any(c.isPartition for c in engine.spark.catalog.listColumns(name)):
+            engine.execute(f"ALTER TABLE {name} RECOVER PARTITIONS")  # those that came since
         engine.execute(f"REFRESH TABLE {name}")
         return name
     engine.create_database("_ext")

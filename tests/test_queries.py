@@ -7,7 +7,7 @@ import datetime as dt
 import duckdb
 import pytest
 
-from lakeloom.queries import ORACLES, QUERIES
+from lakeloom.queries_more import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
