@@ -47,6 +47,7 @@ class PieceModel:
     dummy_prefix: bool = True
     squeeze: bool = True
     escape: bool = True
+    charsmap: bytes = b""
 
     @classmethod
     def load(cls, path: str = TOKENIZER) -> PieceModel:
@@ -64,7 +65,6 @@ class PieceModel:
                 m.bpe, m.byte_fallback = got.get(3, 1) == 2, bool(got.get(35, 0))
             elif number == 3:
                 got = dict(_fields(value))
-                if got.get(2):
-                    raise ValueError("a precompiled character map isn't supported")
+                m.charsmap = got.get(2, b"")
                 m.dummy_prefix, m.squeeze, m.escape = (bool(got.get(k, 1)) for k in (3, 4, 5))
         return m

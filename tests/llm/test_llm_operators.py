@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat_format, chunking, language_id, mixing, near_duplicates, quality_rules, sentence_pieces, token_counts, toxicity, url_filter
+from lakeloom.llm import chat_format, chunking, language_id, mixing, near_duplicates, quality_rules, sentence_pieces, token_counts, toxicity, transducers, url_filter
 from lakeloom.llm.common import Memo
 from lakeloom.llm.pieces import NORMAL, PieceModel
 
@@ -343,25 +343,116 @@ def test_encoding_equals_the_library(machine, real):
         assert "▁" in t or machine.decode(ids) == t
 
 
-def test_least_path_is_the_cheapest_cut():
-    t = sentence_pieces.Transducer.__new__(sentence_pieces.Transducer)
-    pieces = {"a": 3.0, "b": 3.0, "ab": 5.0, "ba": 4.0, "aba": 9.5}
-    t.model = PieceModel(list(pieces), [-v for v in pieces.values()], [NORMAL] * 5)
-    t.ids, t.bytes, t.tree = {p: i for i, p in enumerate(pieces)}, {b: 100 + b for b in range(256)}, {}
-    for p, i in t.ids.items():
-        node = t.tree
-        for c in p:
-            node = node.setdefault(c, {})
-        node[""] = i
-
-    def all_cuts(w):
-        return [[w[:k], *rest] for k in range(1, len(w) + 1) if w[:k] in pieces for rest in all_cuts(w[k:])] if w else [[]]
-
-    for n in range(1, 8):
-        for w in map("".join, itertools.product("ab", repeat=n)):
-            best = min(sum(pieces[p] for p in cut) for cut in all_cuts(w))
-            assert sum(list(pieces.values())[i] for i in t._least_path(w)) == pytest.approx(best)
-    assert t._least_path("aéb") == [0, 100 + 0xC3, 100 + 0xA9, 1]
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _message(fields) -> bytes:
+    """A protobuf message of (number, whole number, bytes or four-byte float) fields."""
+    import struct
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += _varint(k << 3 | 5) + struct.pack("<f", v)
+        else:
+            out += _varint(k << 3) + _varint(v) if isinstance(v, int) else _varint(k << 3 | 2) + _varint(len(v)) + v
+    return out
+
+
+def altered(path, unigram=False, fallback=True, squeeze=False, charsmap=b"", prefix=True, user=()):
+    """The public model file with other switches; no model is trained. Returns the library's processor and this one."""
+    import sentencepiece
+
+    from lakeloom.llm import pieces
+
+    m = PieceModel.load(sentence_pieces.TOKENIZER)
+    kinds = [3 if k == pieces.BYTE and not fallback else k for k in m.kinds]
+    rows = [(p, s, k) for p, s, k in zip(m.pieces, m.scores, kinds)]
+    if unigram:  # fewer pieces, and scores as of log-probabilities
+        rows = [(p, -1.0 - len(p) ** 0.5 - i / 1000 if k == NORMAL else 0.0, k) for i, (p, s, k) in enumerate(rows) if i < 3000 or len(p) == 1]
+    rows += [(p, 0.0, pieces.USER) for p in user]
+    body = [(1, _message([(1, p.encode()), (2, float(s)), (3, k)])) for p, s, k in rows]
+    body.append((2, _message([(3, 1 if unigram else 2), (35, int(fallback)), (4, len(rows))])))
+    body.append((3, _message([*([(2, charsmap)] if charsmap else []), (3, int(prefix)), (4, int(squeeze)), (5, 1)])))
+    path.write_bytes(_message(body))
+    return sentencepiece.SentencePieceProcessor(model_file=str(path)), sentence_pieces.Transducer(str(path))
+
+
+def charsmap_of(rule: str) -> bytes:
+    import sentencepiece
+
+    from lakeloom.llm import pieces
+
+    proto = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    return dict(pieces._fields(dict(pieces._fields(proto))[3]))[2]
+
+
+_SAMPLES = ["", " ", "   ", "a  b   c ", "  Lead and trail  ", "ｆｕｌｌ　ｗｉｄｔｈ １２３", "ﬁne ﬂow Å Å é", "①②③ ㍿ ｶﾞ ½", "tab\tline\nend", "日本語 🙂🙂 x", "ABC Straße", "the quick brown fox jumps", "naïve café\u0301 co\u0301operate", "\u200bzero\u00adwidth"]
+
+
+@pytest.mark.parametrize("options", [{"squeeze": True}, {"squeeze": True, "charsmap": "nmt_nfkc"}, {"charsmap": "nfkc_cf"}, {"fallback": False}, {"fallback": False, "squeeze": True, "charsmap": "nmt_nfkc"}, {"prefix": False}, {"unigram": True}, {"unigram": True, "fallback": False, "squeeze": True, "charsmap": "nfkc"}, {"user": ("<sep>", "<s2>")}])
+def test_models_of_every_switch_equal_the_library(options, tmp_path, real):
+    if "charsmap" in options:
+        options = options | {"charsmap": charsmap_of(options["charsmap"])}
+    sp, t = altered(tmp_path / "m.model", **options)
+    rng = random.Random(7)
+    texts = _SAMPLES + [r.text[:300] for r in real.limit(25).collect()] + ["".join(rng.choice("aé日 ｆﬁ\t🙂theion  lowrd.,²_m①") for _ in range(rng.randint(1, 30))) for _ in range(200)] + ["a<sep>b <s2><sep> c"]
+    for x in texts:
+        got, want = t.encode(x), sp.encode(x)
+        if options.get("unigram"):  # of equal weights either may be taken
+            assert sum(t.model.scores[i] for i in got) == pytest.approx(sum(t.model.scores[i] for i in want), abs=1e-2), x
+        else:
+            assert got == want, x
+        assert t.decode(want) == sp.decode(want), x
+
+
+def test_the_fast_path_is_the_shortest_of_the_composed_machines(machine):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("theionswr▁aé日,") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    for w in words:
+        found, weight = sentence_pieces.shortest(machine.machine, w)
+        assert list(found) == machine.path(w) and weight == 0
+    for text in ("a b", "", " ", "x  y "):
+        assert "".join(sentence_pieces.shortest(machine.normaliser, text)[0]) == machine.normalised(text)
+
+
+def test_shortest_path_of_composed_machines_is_the_cheapest():
+    """Random machines, with several arcs for a label: every path tried."""
+    rng = random.Random(10)
+
+    def made(outs):
+        m = transducers.Machine()
+        for _ in range(2):
+            m.state()
+        for a in range(3):
+            for label in "ab":
+                for _ in range(rng.randrange(3)):
+                    m.arc(a, label, tuple(rng.choice(outs) for _ in range(rng.randrange(3))), rng.randrange(1, 9), rng.randrange(3))
+        m.finals = {k: ((), rng.randrange(5)) for k in range(3) if rng.random() < 0.7}
+        return m
+
+    def paths(m, labels, state=0):
+        """(outputs, weight) of all paths."""
+        if not labels:
+            end = m.final(state)
+            return [(end[0], end[1])] if end else []
+        return [((*out, *rest), w + v) for out, w, to in m.step(state, labels[0]) for rest, v in paths(m, labels[1:], to)]
+
+    some = 0
+    for _ in range(300):
+        one, two = made("ab"), made("xy")
+        labels = "".join(rng.choice("ab") for _ in range(rng.randrange(5)))
+        every = [(w + v, out2) for out, w in paths(one, labels) for out2, v in paths(two, out)]
+        got = transducers.shortest(transducers.Composed(one, two), labels)
+        assert (got is None) == (not every)
+        if got:
+            some += 1
+            assert got[1] == min(w for w, _ in every) and (got[1], got[0]) in every
+    assert some > 60
 
 
 def test_round_trip_of_odd_rows(odd, none):
