@@ -3,7 +3,7 @@
 The kernel sums, over all subsequences of ``LENGTH`` characters, ``DECAY`` to the power of the spans they take in both strings, and is
 normalised, so ``idiot``, ``id-iot`` and ``i d i o t`` are near each other. Sentences are seen through their *units*: words without
 outer punctuation, in lower case; runs of three or more single characters, as spelt-out words are, also as one unit; two to ``PIECES`` neighbouring short words of at most ``SHORT``
-characters also as one, as of words broken by spaces; and units longer than ``SPAN`` through all their windows of that length, half a window apart.
+characters, of which at least one isn't common in clean labelled documents, also as one, as of words broken by spaces; and units longer than ``SPAN`` through all their windows of that length, half a window apart.
 A sentence scores as its highest unit, a document as its highest sentence. Words that clean labelled documents hold about as often as toxic ones (``KNOWN`` of them at least) are known to be clean, whatever they resemble.
 
 Training is multiple-instance. Labels mark documents; every sentence of a document bears its label. Landmarks are the units most associated
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Memo, mapped, per_process
 
-LENGTH, DECAY, SPAN, LANDMARKS, LABELS, ROUNDS = 3, 0.85, 16, 64, 2500, 4
+LENGTH, DECAY, SPAN, LANDMARKS, LABELS, ROUNDS = 3, 0.85, 16, 64, 2500, 6
 SHORT, PIECES, KNOWN, HARD = 4, 3, 4, 16
 #: Weights by subsequence are kept for at most this many different characters of the landmarks; with more, kernels are computed.
 LETTERS = 120
@@ -46,18 +46,29 @@ _BROKEN = re.compile(rf"(?<!\S)\S{{1,{SHORT}}}(?:[^\S\n]+\S{{1,{SHORT}}})+(?!\S)
 def units(token: str) -> list[str]:
     """The units of one part of a lower-case text."""
     word = _EDGE.sub("", token)
-    if " " in word and len(few := word.split()) * 2 - 1 < len(word):
-        joined = (" ".join(few[i:j]) for i in range(len(few) - 1) for j in range(i + 2, min(len(few), i + PIECES) + 1))
-        return [u for u in joined if LENGTH + 2 <= len(u) <= SPAN]
     if len(word) <= SPAN:
         return [word] if len(word) >= LENGTH else []
     return [word[i : i + SPAN] for i in range(0, len(word) - SPAN // 2, SPAN // 2)]
 
 
-def parts(text: str) -> list[str]:
-    """Words, spelt-out runs and runs of short words of a text, repeated as they are."""
+_MARKS = ".,;:!?()[]\"'-*|"
+
+
+def parts(text: str, common: frozenset[str] = frozenset()) -> list[str]:
+    """Words, spelt-out runs and neighbouring short words of a text, repeated as they are. Of neighbours at least one isn't a ``common`` word."""
     low = text.lower()
-    return low.split() + _SPELT.findall(low) + _BROKEN.findall(low)
+    out = low.split() + _SPELT.findall(low)
+    for run in _BROKEN.findall(low):
+        words = run.split()
+        for i, w in enumerate(words):
+            if w in common or w.strip(_MARKS) in common:
+                continue
+            for a in range(max(0, i - PIECES + 1), i + 1):
+                for z in range(max(i + 1, a + 2), min(len(words), a + PIECES) + 1):
+                    joined = " ".join(words[a:z])
+                    if LENGTH + 2 <= len(joined) <= SPAN:
+                        out.append(joined)
+    return out
 
 
 #: Code of a character that isn't a letter or digit: it matches nothing, not even itself, and only takes its place in a span. 0 is after the end.
@@ -157,7 +168,9 @@ class Model:
         self.threshold, self.bias = np.inf, 0.0
         self.name, self.clean = uuid.uuid4().hex, frozenset()
         self.marks, self.own, self.weights = np.zeros((0, SPAN), np.uint32), np.zeros(0, np.float32), np.zeros(0, np.float32)
-        bags = [sorted({u for p in set(parts(t)) for u in units(p)}) for t in texts]
+        short = Counter(w for t, s in zip(texts, toxic) if not s for w in {x.strip(_MARKS) for x in t.lower().split() if len(x) <= SHORT + 2} if 0 < len(w) <= SHORT)
+        self.common = frozenset(w for w, k in short.items() if k >= KNOWN)
+        bags = [sorted({u for p in set(self.parts(t)) for u in units(p)}) for t in texts]
         fine = _distinct(bags)
         bags, y = [b for b, f in zip(bags, fine) if f], np.array([bool(t) for t, f in zip(toxic, fine) if f], bool)
         if not y.any() or y.all():
@@ -197,6 +210,7 @@ class Model:
             pos = np.vstack([np.array([value[u] for u in chosen]), normalised(varied, self.marks, self.own) @ root])
             weight = np.concatenate((np.full(len(chosen), 0.5 / len(chosen)), np.full(len(varied), 0.5 / len(varied)), heavy / heavy.sum()))
             beta, bias = _svm(np.vstack((pos, phi)), np.concatenate((np.ones(len(pos)), -np.ones(len(phi)))), weight)
+            heavy = np.where(phi @ beta + bias > -0.3, 3 * heavy, heavy)  # clean units that come near count more in the next fit
             best = [max(bag, key=lambda u: (value[u] @ beta, u)) for bag in sacks]
             chosen = [u for u in best if value[u] @ beta + bias > 0]
             if not chosen:
@@ -211,6 +225,9 @@ class Model:
         top = [cut for cut, f in f1.items() if f >= max(f1.values()) - 0.004]
         self.threshold = max([cut for cut in top if cut <= 0.5], default=min(top)) if max(f1.values()) > 0 else np.inf
 
+    def parts(self, text: str) -> list[str]:
+        return parts(text, self.common)
+
     def compile(self) -> None:
         """The score is linear in the kernel's features, so landmarks and weights are one weight for each subsequence of ``LENGTH`` = 3 characters.
 
@@ -306,7 +323,7 @@ def scored(docs: DataFrame, model: Model, only_toxic: bool = False) -> DataFrame
             known.update((p, max((unit_of[u] for u in us), default=-9.0)) for p, us in zip(missing, cut))
 
         for b in batches:
-            split = [None if not t else parts(t) for t in b.column(1).to_pylist()]
+            split = [None if not t else m.parts(t) for t in b.column(1).to_pylist()]
             fresh = set().union(*(w for w in split if w))
             known.limit = max(known.limit, len(fresh))
             if len(known) + len(fresh) > known.limit:
@@ -321,7 +338,7 @@ def scored(docs: DataFrame, model: Model, only_toxic: bool = False) -> DataFrame
                     worst.append(None)
                     continue
                 sentences = [x for x in _END.split(t) if x.strip()]
-                each = [max(map(of, p), default=-9.0) if (p := [q for q in parts(x) if q in known]) else -9.0 for x in sentences]
+                each = [max(map(of, p), default=-9.0) if (p := [q for q in m.parts(x) if q in known]) else -9.0 for x in sentences]
                 bad.append(max(1, sum(e >= m.threshold for e in each)))
                 worst.append(sentences[int(np.argmax(each))])
             flag = pa.array([s is not None and s >= m.threshold for s in score])

@@ -297,7 +297,7 @@ def test_toxic_words_and_their_spoilt_forms_are_found(toxic_model, spark):
     m, word = toxic_model
     for w in ("vrakzon", "gluffit", "zyxxer"):
         for form in (w, w.upper(), "-".join(w), " ".join(w), w[:3] + "q" + w[3:], w[:4] + w[3:]):
-            assert max(m.scores([u for p in toxicity.parts(form) for u in toxicity.units(p)])) >= m.threshold, form
+            assert max(m.scores([u for p in m.parts(form) for u in toxicity.units(p)])) >= m.threshold, form
     clean = [word() for _ in range(300)]
     assert (m.scores(clean) < m.threshold).mean() > 0.99
     assert np.allclose(m.linear(clean), toxicity.normalised(clean, m.marks, m.own) @ m.weights + m.bias, atol=1e-4)
@@ -319,7 +319,7 @@ def test_toxicity_held_out_accuracy():
     rows = duckdb.sql("select text, toxic from '/root/testdata/sf0.1/documents.parquet' d join '/root/testdata/sf0.1/labels.parquet' l using (doc_id) where lang = 'en' order by hash(doc_id)").fetchall()
     cut = len(rows) // 2
     m = toxicity.Model([r[0] for r in rows[:cut]], [r[1] for r in rows[:cut]])
-    hit = np.array([max(m.scores([u for p in set(toxicity.parts(t)) for u in toxicity.units(p)]), default=-9) >= m.threshold for t, _ in rows[cut:]])
+    hit = np.array([max(m.scores([u for p in set(m.parts(t)) for u in toxicity.units(p)]), default=-9) >= m.threshold for t, _ in rows[cut:]])
     y = np.array([bool(r[1]) for r in rows[cut:]])
     assert (hit & y).sum() / y.sum() > 0.85 and (hit & ~y).sum() / (~y).sum() < 0.05
 
