@@ -69,14 +69,15 @@ def custom(name: str, body: Callable[[Context], str]) -> Audit:
 
 
 def assert_contiguous(column: str) -> Audit:
-    """Whole numbers without holes. The window is over distinct values, which Spark combines before the one task that orders them."""
+    """Whole numbers without holes. Distinct values are compared within ranges of 65,536, side by side; only the ranges' first and last values are ordered in one task."""
     c = quote(column)
     return Audit(
         f"contiguous({column})",
         parse(
-            f"SELECT before AS covered_through, value AS resumes_at, value - before - 1 AS missing FROM ("
-            f"SELECT value, lag(value) OVER (ORDER BY value) AS before FROM (SELECT DISTINCT {c} AS value FROM {_OWN} WHERE {c} IS NOT NULL)) "
-            f"WHERE value > before + 1 ORDER BY resumes_at"
+            f"WITH __values AS (SELECT DISTINCT {c} AS value, floor({c} / 65536) AS part FROM {_OWN} WHERE {c} IS NOT NULL), "
+            f"__parts AS (SELECT part, min(value) AS first, lag(max(value)) OVER (ORDER BY part) AS last FROM __values GROUP BY part), "
+            f"__pairs AS (SELECT value, lag(value) OVER (PARTITION BY part ORDER BY value) AS before FROM __values UNION ALL SELECT first, last FROM __parts) "
+            f"SELECT before AS covered_through, value AS resumes_at, value - before - 1 AS missing FROM __pairs WHERE value > before + 1 ORDER BY resumes_at"
         ),
         columns=(column,),
         gaps=True,

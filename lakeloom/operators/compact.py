@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -68,6 +69,8 @@ def compact(engine: Engine, graph: Graph, root_of, *, now: int | None = None, dr
     report, todo = Report(dry_run), []
     for model, root, key, ours in targets(graph, root_of):
         policy = model.compaction
+        if not dry_run:
+            recover(engine, root)
         by: dict[str, list[tuple[str, int, int]]] = {}
         for f in engine.files(root):
             if f[0].endswith(".parquet"):
@@ -103,6 +106,39 @@ def compact(engine: Engine, graph: Graph, root_of, *, now: int | None = None, dr
     return report
 
 
+#: Says, in a partition's directory, which files are replaced by which: all new ones are there under names that scans skip.
+INTENT = "_compaction.json"
+
+
+def _finish(engine: Engine, place: str) -> None:
+    """Carry out an intent, from wherever it was left."""
+    intent = json.loads(engine.read_text(f"{place}/{INTENT}"))
+    waiting = [name for name in intent["new"] if engine.exists(f"{place}/_{name}")]
+    arrived = {f"{place}/{name}" for name in intent["new"] if name not in waiting}
+    for f in intent["old"]:
+        if f not in arrived:  # a new file that has arrived may have an old one's name
+            engine.delete(f)
+    for name in waiting:
+        engine.move(f"{place}/_{name}", f"{place}/{name}")
+    engine.delete(f"{place}/{INTENT}")
+
+
+def recover(engine: Engine, root: str) -> list[str]:
+    """Finish what a run that died had begun: intents are carried out, and files of runs that died before theirs go."""
+    done = []
+    hidden = [f for f in engine.files(root, hidden=True) if f[0].rpartition("/")[2].startswith("_")]
+    for f, _, _ in hidden:
+        place, _, name = f.rpartition("/")
+        if name == INTENT:
+            _finish(engine, place)
+            done.append(place)
+    for f, _, _ in hidden:
+        place, _, name = f.rpartition("/")
+        if name.endswith(".parquet") and place not in done and engine.exists(f):
+            engine.delete(f)
+    return done
+
+
 def _parts(files: list[tuple[str, int, int]]) -> int:
     return max(1, -(-sum(n for _, n, _ in files) // FILE_BYTES))
 
@@ -128,9 +164,7 @@ def _merge(engine: Engine, model: Model, place: str, listed: list[tuple[str, int
     # under names that scans skip until the old files are gone, as an old file may have a new one's name
     for f, name in zip(made, names):
         engine.move(f, f"{place}/_{name}")
-    for f in files:
-        engine.delete(f)
-    for name in names:
-        engine.move(f"{place}/_{name}", f"{place}/{name}")
+    engine.write_text(f"{place}/{INTENT}", json.dumps({"old": files, "new": names}))  # from here on a run that dies is finished by the next
+    _finish(engine, place)
     engine.delete(staged)
     return {"rows": rows, "published": names[0] if len(names) == 1 else f"{names[0]} and {len(names) - 1} more"}

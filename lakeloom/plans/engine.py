@@ -53,6 +53,7 @@ class Engine:
         self.spark, self.secrets = spark, secrets
         self._parser = spark._jsparkSession.sessionState().sqlParser()
         self._lock = threading.Lock()
+        self._databases: set[str] = set()
         for k, v in SETTINGS.items():
             spark.conf.set(k, v)
         for statement in prepare:
@@ -71,6 +72,11 @@ class Engine:
         """The columns of a query, by analysis alone."""
         return self.query(sql).schema
 
+    @staticmethod
+    def bytes_of(rows: DataFrame) -> int:
+        """What Catalyst takes the rows' size to be."""
+        return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
     @property
     def dialect(self) -> str:
         return f"spark-{self.spark.version}"
@@ -88,8 +94,13 @@ class Engine:
     def has_table(self, name: str) -> bool:
         return self.spark.catalog.tableExists(name)
 
+    def is_view(self, name: str) -> bool:
+        return self.has_table(name) and self.spark.catalog.getTable(name).tableType == "VIEW"
+
     def create_database(self, name: str) -> None:
-        self.execute(f"CREATE DATABASE IF NOT EXISTS {quote(name)}")
+        if name not in self._databases:
+            self.execute(f"CREATE DATABASE IF NOT EXISTS {quote(name)}")
+            self._databases.add(name)
 
     def table_over(self, name: str, schema: StructType, location: str) -> None:
         """A table of Parquet files anywhere under ``location``, with just these columns; made anew or pointed there."""
@@ -99,26 +110,53 @@ class Engine:
         self.execute(f"DROP TABLE IF EXISTS {name}")
         self.execute(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (recursiveFileLookup 'true', pathGlobFilter '*.parquet') LOCATION '{location}'")
 
-    def interval_table(self, name: str, schema: StructType, location: str) -> None:
-        """A view over a table of the directories below ``location``, each a partition by a hidden column of its interval, so that a range of intervals opens only theirs."""
+    def interval_table(self, name: str, schema: StructType, location: str, places: dict[str, str] | None = None) -> None:
+        """A view over a table of directories, each a partition by a hidden column of its interval, so that a range of intervals opens only theirs. ``places``: the directories by interval; without,
+        those below ``location``."""
         self.create_database(name.partition(".")[0].strip("`"))
         columns = ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
         files = files_of(name)
         self.execute(f"DROP TABLE IF EXISTS {files}")
         self.execute(f"CREATE TABLE {files} ({columns}, {quote(HIDDEN)} STRING) USING parquet OPTIONS (pathGlobFilter '*.parquet') PARTITIONED BY ({quote(HIDDEN)}) LOCATION '{location}/_table'")
-        fs, path = self._fs(location)
-        found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
-        keys = [(d.partition("=")[2].replace("%3A", ":"), d) for d in sorted(found) if d.startswith("interval=")]
-        if "outside" in found:
-            keys += [(f"outside-{s.getPath().getName()}", f"outside/{s.getPath().getName()}") for s in fs.listStatus(self._fs(f"{location}/outside")[1])]
-        self.add_intervals(name, [(k, f"{location}/{d}") for k, d in keys])
         self.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT {', '.join(quote(c) for c in schema.names)} FROM {files}")
+        if places:
+            self.add_intervals(name, list(places.items()))
+            return
+        keys = [(d.partition("=")[2], d) for d in self.directories(location) if d.startswith("interval=")]
+        keys += [(f"outside-{d}", f"outside/{d}") for d in self.directories(f"{location}/outside")]
+        self.add_intervals(name, [(k, f"{location}/{d}") for k, d in keys])
 
     def add_intervals(self, name: str, places: list[tuple[str, str]]) -> None:
         for i in range(0, len(places), 500):
             parts = " ".join(f"PARTITION ({quote(HIDDEN)} = {literal(k)}) LOCATION {literal(place)}" for k, place in places[i : i + 500])
             self.execute(f"ALTER TABLE {files_of(name)} ADD IF NOT EXISTS {parts}")
 
+    def catalog_table(self, name: str, place: str, rows: DataFrame) -> None:
+        """Rows as a table of a catalog, ``catalog.database.table``, made anew, under a view ``name``. In the session's own catalog it is a managed table."""
+        catalog, database, table = place.split(".")
+        if catalog == "spark_catalog":
+            self.create_database(database)
+            rows.write.mode("overwrite").saveAsTable(f"{database}.{table}")
+        else:
+            self.execute(f"CREATE NAMESPACE IF NOT EXISTS {quote(catalog)}.{quote(database)}")
+            rows.writeTo(place).createOrReplace()
+        self.create_database(name.partition(".")[0].strip("`"))
+        self.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT {', '.join(quote(c) for c in rows.columns)} FROM {place}")
+
+    def has_driver(self, url: str) -> bool:
+        try:
+            return self.spark._jvm.java.sql.DriverManager.getDriver(url) is not None
+        except Exception:  # noqa: BLE001 - that is how JDBC says no
+            return False
+
+    def move_interval(self, name: str, key: str, place: str) -> None:
+        """Readers see the interval's rows of before or those of the new directory."""
+        self.execute(f"ALTER TABLE {files_of(name)} PARTITION ({quote(HIDDEN)} = {literal(key)}) SET LOCATION {literal(place)}")
+
+    def directories(self, place: str) -> list[str]:
+        fs, path = self._fs(place)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
+
     def drop_intervals(self, name: str, keys: list[str]) -> None:
         for i in range(0, len(keys), 500):
             parts = ", ".join(f"PARTITION ({quote(HIDDEN)} = {literal(k)})" for k in keys[i : i + 500])
@@ -151,8 +189,8 @@ class Engine:
         if not fs.rename(src, dst):
             raise OSError(f"can't move {a} to {b}")
 
-    def files(self, place: str) -> list[tuple[str, int, int]]:
-        """Path, bytes and time of change of each data file below ``place``, in order."""
+    def files(self, place: str, hidden: bool = False) -> list[tuple[str, int, int]]:
+        """Path, bytes and time of change of each data file below ``place``, in order; with ``hidden`` also of those whose own names scans skip."""
         fs, path = self._fs(place)
         if not fs.exists(path):
             return []
@@ -161,12 +199,17 @@ class Engine:
             f = walk.next()
             name = f.getPath().toString().removeprefix("file:")
             parts = name[len(place.removeprefix("file:").rstrip("/")) :].strip("/").split("/")
-            if not any(p.startswith(("_", ".")) for p in parts):
+            if not any(p.startswith(("_", ".")) for p in (parts[:-1] if hidden else parts)):
                 out.append((name, f.getLen(), f.getModificationTime()))
         return sorted(out)
 
     def read_text(self, place: str) -> str:
-        return self.spark.read.text(place, wholetext=True).first()[0]
+        fs, path = self._fs(place)
+        source = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
 
     def write_text(self, place: str, text: str) -> None:
         """Write beside and rename, so that no reader sees a part."""

@@ -1,6 +1,6 @@
 """Applying a plan: build and fill what changed, check it, swap views, move pointers.
 
-Files are staged in a directory that scans skip and renamed in, so a table's readers see whole generations and whole intervals. A crash between a rename and its ledger mark
+A generation, and an interval of a table, is a new directory that readers see once the table is pointed there, so they see whole generations and whole intervals. A crash before the ledger's mark
 leaves an interval unmarked, and the next plan fills it again. Models whose parents are ready run side by side on one session; a model has one writer.
 """
 
@@ -34,6 +34,8 @@ from .planner import Action, Plan
 from .state import Snapshot, StateStore
 
 log = logging.getLogger("lakeloom")
+#: Bytes, by Catalyst's estimate, below which a generation is one file.
+SMALL = 4 << 20
 
 
 @dataclass
@@ -63,7 +65,7 @@ def open_catalog(engine: Engine, store: StateStore) -> None:
             continue
         engine.create_database("_phys")
         if s.kind == TimeRange.tag:
-            engine.interval_table(name, StructType.fromJson(_json(s.columns)), s.location)
+            engine.interval_table(name, StructType.fromJson(_json(s.columns)), s.location, store.places(s.name, s.physical))
         elif s.kind != "view":
             engine.table_over(name, StructType.fromJson(_json(s.columns)), s.location)
     for s in store.snapshots():
@@ -73,7 +75,7 @@ def open_catalog(engine: Engine, store: StateStore) -> None:
     for env in store.environments():
         for model, fp in store.pointers(env).items():
             s = store.snapshot(model, fp)
-            if s and s.kind not in ("external", "embedded"):
+            if s and s.kind not in ("external", "embedded") and not engine.has_table(view_name(env, model)):
                 _swap_view(engine, env, model, s.physical, StructType.fromJson(_json(s.columns)))
 
 
@@ -83,6 +85,11 @@ def _json(text: str) -> dict:
     return json.loads(text)
 
 
+def catalog_name(engine: Engine, name: str, physical: str) -> str:
+    """The table of a version in the catalog that the session names."""
+    return f"{engine.spark.conf.get('spark.lakeloom.catalog')}.{name.replace('.', '__')}__{physical[:8]}"
+
+
 def window_rows(name: str, model: Model, part: Interval) -> str:
     """SQL of a model's rows in ``part``. A lake of files keeps rows by the interval that produced them, so there only the rows' own times can tell."""
     k: TimeRange = model.kind
@@ -102,11 +109,12 @@ def _swap_view(engine: Engine, env: str, model: str, physical: str, schema: Stru
 
 
 class Executor:
-    def __init__(self, engine: Engine, store: StateStore, lake: str, *, workers: int = 4, retries: int = 3, stop: threading.Event | None = None, metrics: Metrics | None = None, sleep: Callable[[float], None] = time.sleep) -> None:
+    def __init__(self, engine: Engine, store: StateStore, lake: str, *, workers: int = 4, retries: int = 3, stop: threading.Event | None = None, metrics: Metrics | None = None, sleep: Callable[[float], None] = time.sleep, export_options: dict[str, str] | None = None) -> None:
         self.engine, self.store, self.lake = engine, store, lake
         self.workers, self.retries, self.stop, self.sleep = workers, retries, stop or threading.Event(), sleep
         self.metrics = metrics or Metrics()
         self.models: dict[str, Model] = {}
+        self.export_options = export_options or {}
 
     # names and text
     def _names(self, graph: Graph, plan: Plan) -> Callable[[str], str]:
@@ -173,7 +181,10 @@ class Executor:
         staged = f"{root}/_staging/{uuid.uuid4().hex}"
 
         def write() -> None:
-            self._cast(model, rows).write.mode("overwrite").parquet(staged)
+            out = self._cast(model, rows)
+            if self.engine.bytes_of(out) < SMALL:  # else as many files and tasks as the sources had
+                out = out.coalesce(1)
+            out.write.mode("overwrite").parquet(staged)
             self.engine.move(staged, place)
 
         self._retry(write)
@@ -184,7 +195,10 @@ class Executor:
 
     def _point(self, model: Model, action: Action, place: str) -> str:
         name = physical_name(model.name, action.physical)
-        self.engine.table_over(name, model.schema, place)
+        if model.target == "catalog":
+            self.engine.catalog_table(name, catalog_name(self.engine, model.name, action.physical), self.engine.spark.read.schema(model.schema).parquet(place))
+        else:
+            self.engine.table_over(name, model.schema, place)
         return name
 
     def _one_shot(self, model: Model, action: Action, rows: DataFrame) -> str:
@@ -279,36 +293,56 @@ class Executor:
                 if lost:
                     raise ContractError(model.name, [f"a forward-only change can't take columns away: {', '.join(sorted(lost))}"])
             # files of before lack new columns, which read as null
-            self.engine.interval_table(physical_name(model.name, action.physical), model.schema, root)
+            self.engine.interval_table(physical_name(model.name, action.physical), model.schema, root, self.store.places(model.name, action.physical))
             self._save(model, action, root)
             if action.reused_from:
                 self.store.mark(model.name, action.fingerprint, self.store.intervals(model.name, action.reused_from), "done")
         elif action.backfill and not self.engine.has_table(physical_name(model.name, action.physical)):
-            self.engine.interval_table(physical_name(model.name, action.physical), model.schema, root)
-        for whole in action.backfill:
-            size = 1 if model.target == "parquet" else k.batch_size
-            for part in split_into_batches(k.interval, whole, size):
-                if self.stop.is_set():
-                    raise LoomError("stopped: the lock was lost")
+            self.engine.interval_table(physical_name(model.name, action.physical), model.schema, root, self.store.places(model.name, action.physical))
+        size = 1 if model.target == "parquet" else k.batch_size
+        batches = [part for whole in action.backfill for part in split_into_batches(k.interval, whole, size)]
+        failed = threading.Event()
+
+        def fill(part: Interval) -> None:
+            if failed.is_set():
+                return
+            if self.stop.is_set():
+                raise LoomError("stopped: the lock was lost")
+            try:
                 self._batch(model, action, ref, root, part)
+            except BaseException:
+                failed.set()
+                raise
+
+        if model.target == "parquet":  # a job an interval, whose directories have nothing in common
+            with ThreadPoolExecutor(self.workers) as pool:
+                list(pool.map(fill, batches))
+        else:
+            for part in batches:
+                fill(part)
         if model.target == "parquet" and action.works:
             self._manifest(model, action, root)
 
     def _batch(self, model: Model, action: Action, ref, root: str, part: Interval) -> None:
-        """Replace the rows of ``part``. Rows that the query gives outside it are added beside, as an INSERT would."""
+        """Replace the rows of ``part``. Rows that the query gives outside it are added beside, as an INSERT would.
+
+        A table's batch is one new directory. The table's partitions are pointed at its intervals and the store notes them in one transaction; only then the directories of before go. So a reader sees
+        an interval as it was or as it is, and a run that dies leaves a directory that nothing points at. A lake has one fixed directory an interval, which is replaced by renaming.
+        """
         k: TimeRange = model.kind
         parts = intervals_within(k.interval, part)
-        staged = f"{root}/_staging/{uuid.uuid4().hex}"
+        lake = model.target == "parquet"
+        run = f"{root}/{'_staging' if lake else 'runs'}/{uuid.uuid4().hex}"
         rows = self._cast(model, self.engine.query(self._body(model, ref, part)))
         table, there, gone = physical_name(model.name, action.physical), [], []
         try:
-            if model.target == "parquet":
+            if lake:
 
                 def write() -> None:
                     key = partition_key(k.interval, part.start)
-                    rows.write.mode("overwrite").parquet(staged)
-                    self.engine.move(staged, f"{root}/interval={key}")
-                    there.append((key, f"{root}/interval={key}"))
+                    rows.write.mode("overwrite").parquet(run)
+                    self.engine.move(run, f"{root}/interval={key}")
+                    there[:] = [(key, f"{root}/interval={key}")]
 
             else:
                 t = F.col(quote(k.time_column)).cast("timestamp_ntz")
@@ -318,23 +352,17 @@ class Executor:
 
                 def write() -> None:
                     # AQE evens out the files of each interval, splitting large ones and joining small ones
-                    keyed.hint("rebalance", "__part").write.mode("overwrite").partitionBy("__part").parquet(staged)
-                    for p in parts:
-                        key = partition_key(k.interval, p.start)
-                        if self.engine.exists(f"{staged}/__part={_escaped(key)}"):
-                            self.engine.move(f"{staged}/__part={_escaped(key)}", f"{root}/interval={key}")
-                            there.append((key, f"{root}/interval={key}"))
-                        else:
-                            self.engine.delete(f"{root}/interval={key}")
-                            gone.append(key)
-                    if self.engine.exists(f"{staged}/__part=outside"):
-                        beside = uuid.uuid4().hex
-                        self.engine.move(f"{staged}/__part=outside", f"{root}/outside/{beside}")
-                        there.append((f"outside-{beside}", f"{root}/outside/{beside}"))
+                    keyed.hint("rebalance", "__part").write.mode("overwrite").partitionBy("__part").parquet(run)
+                    made = {d.partition("=")[2].replace("%3A", ":"): f"{run}/{d}" for d in self.engine.directories(run) if d.startswith("__part=")}
+                    beside = made.pop("outside", None)
+                    there[:] = [*made.items(), *([(f"outside-{uuid.uuid4().hex}", beside)] if beside else [])]
+                    gone[:] = [key for p in parts if (key := partition_key(k.interval, p.start)) not in made]
 
             self._retry(write)
-            self.engine.drop_intervals(table, gone)
-            self.engine.add_intervals(table, there)
+            if lake:
+                self.engine.add_intervals(table, there)
+            else:
+                self._publish(model, action, table, there, gone)
             self.engine.execute(f"REFRESH TABLE {files_of(table)}")
             if model.audits:
                 if model.target == "parquet":
@@ -348,10 +376,21 @@ class Executor:
             self.metrics.add("lakeloom_intervals_failed_total", len(parts))
             raise
         finally:
-            self.engine.delete(staged)
+            if lake:
+                self.engine.delete(run)
         self.store.mark(model.name, action.fingerprint, parts, "done")
         self.metrics.add("lakeloom_intervals_done_total", len(parts))
 
+    def _publish(self, model: Model, action: Action, table: str, there: list[tuple[str, str]], gone: list[str]) -> None:
+        held = self.store.places(model.name, action.physical)
+        for key, place in there:
+            if key in held:
+                self.engine.move_interval(table, key, place)
+        self.engine.add_intervals(table, [(key, place) for key, place in there if key not in held])
+        self.engine.drop_intervals(table, [key for key in gone if key in held])
+        for old in self.store.set_places(model.name, action.physical, there, gone):
+            self.engine.delete(old)
+
     def _manifest(self, model: Model, action: Action, root: str) -> None:
         try:
             fresh = freshness(self.store.intervals(model.name, action.fingerprint), len(self.store.intervals(model.name, action.fingerprint, "failed")))
@@ -363,10 +402,13 @@ class Executor:
     def _preflight(self, graph: Graph, plan: Plan) -> None:
         for a in plan.actions:
             m = graph.models.get(a.name)
-            if m and m.export and m.export.startswith("jdbc:") and a.works:
+            if m and m.export and m.export.startswith("jdbc:") and a.works and not self.engine.has_driver(m.export.partition("#")[0]):
                 raise UnavailableError(f"{m.name}: there is no JDBC driver for {m.export.split(':')[1]}")
-            if m and m.target == "catalog" and "." not in self.engine.spark.conf.get("spark.lakeloom.catalog", ""):
-                raise UnavailableError(f"{m.name}: the catalog target needs spark.lakeloom.catalog, a catalog.database of a table format")
+            if m and m.target == "catalog":
+                if self.engine.spark.conf.get("spark.lakeloom.catalog", "").count(".") != 1:
+                    raise UnavailableError(f"{m.name}: the catalog target needs spark.lakeloom.catalog, as catalog.database")
+                if isinstance(m.kind, TimeRange):
+                    raise UnavailableError(f"{m.name}: what is filled by interval is kept as a table or a lake; the catalog target takes models that are built as a whole")
 
     def apply(self, graph: Graph, plan: Plan, now: int) -> Result:
         """Everything or, where a model fails, what didn't depend on it - and then nothing is promoted."""
@@ -400,16 +442,13 @@ class Executor:
             if isinstance(m.kind, TimeRange) and a.works and any(x.scope == "whole" for x in m.audits):
                 self.audit(m, physical_name(name, a.physical), "whole")
         changed = [a for a in plan.actions if a.change != "unchanged" and a.name in graph.models]
-        for a in changed:
-            m = graph.models[a.name]
-            if not isinstance(m.kind, (External, Embedded)):
-                _swap_view(self.engine, plan.env, a.name, a.physical, m.schema)
+        with ThreadPoolExecutor(self.workers) as pool:
+            served = [a for a in changed if not isinstance(graph.models[a.name].kind, (External, Embedded))]
+            list(pool.map(lambda a: _swap_view(self.engine, plan.env, a.name, a.physical, graph.models[a.name].schema), served))
         for name in graph.order:
             m, a = graph.models[name], todo[name]
             if m.export and a.works:
-                place = m.export if "." in m.export else f"{m.export}.{m.table}"
-                self.engine.create_database(place.partition(".")[0])
-                self.engine.spark.table(physical_name(name, a.physical)).write.mode("overwrite").saveAsTable(place)
+                self._export(m, self.engine.spark.table(physical_name(name, a.physical)))
         for a in plan.actions:
             if a.change == "removed":
                 self.engine.execute(f"DROP VIEW IF EXISTS {view_name(plan.env, a.name)}")
@@ -422,6 +461,16 @@ class Executor:
             self.metrics.add("lakeloom_planned_models_total", 1, category=a.change)
         return result
 
+    def _export(self, model: Model, rows: DataFrame) -> None:
+        """To ``database.table`` or ``database`` of this session's catalog, or over JDBC to ``url#schema.table`` or ``url``; a table that isn't named is the model's."""
+        if model.export.startswith("jdbc:"):
+            url, _, place = model.export.partition("#")
+            rows.write.mode("overwrite").option("truncate", "true").jdbc(url, place or model.table, properties=self.export_options)
+            return
+        place = model.export if "." in model.export else f"{model.export}.{model.table}"
+        self.engine.create_database(place.partition(".")[0])
+        rows.write.mode("overwrite").saveAsTable(place)
+
     def _timed(self, model: Model, action: Action, ref, now: int) -> None:
         began = time.time()
         self.build(model, action, ref, now)
@@ -429,7 +478,3 @@ class Executor:
             self.metrics.add("lakeloom_snapshots_built_total")
             self.metrics.set("lakeloom_model_build_duration_seconds", time.time() - began, model=model.name)
             log.info("model=%s change=%s seconds=%.2f", model.name, action.change, time.time() - began)
-
-
-def _escaped(key: str) -> str:
-    return key.replace(":", "%3A")

@@ -103,7 +103,9 @@ def janitor(engine: Engine, store: StateStore, lake: str, *, ttl: int = WEEK, no
             try:
                 if (s.name, s.physical) not in live and s.kind not in ("external", "embedded"):
                     name = physical_name(s.name, s.physical)
-                    engine.execute(f"DROP {'VIEW' if s.kind in ('view', TimeRange.tag) else 'TABLE'} IF EXISTS {name}")
+                    engine.execute(f"DROP {'VIEW' if engine.is_view(name) else 'TABLE'} IF EXISTS {name}")
+                    if engine.spark.conf.get("spark.lakeloom.catalog", "").count(".") == 1:
+                        engine.execute(f"DROP TABLE IF EXISTS {engine.spark.conf.get('spark.lakeloom.catalog')}.{s.name.replace('.', '__')}__{s.physical[:8]}")
                     if s.kind == TimeRange.tag:
                         engine.execute(f"DROP TABLE IF EXISTS {files_of(name)}")
                     if s.kind != "view":

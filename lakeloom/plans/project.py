@@ -32,12 +32,12 @@ from .state import StateStore
 class Project:
     """``redacted``: environments that must not show the columns which models mark."""
 
-    def __init__(self, spark: SparkSession, models: Iterable[Model], lake: str, state: str | Path = ":memory:", *, redacted: Sequence[str] = (), workers: int = 4, lock_ttl: float = TTL, secrets: Sequence[str] = (), prepare: Sequence[str] = ()) -> None:
+    def __init__(self, spark: SparkSession, models: Iterable[Model], lake: str, state: str | Path = ":memory:", *, redacted: Sequence[str] = (), workers: int = 4, lock_ttl: float = TTL, secrets: Sequence[str] = (), prepare: Sequence[str] = (), export_options: dict[str, str] | None = None) -> None:
         self.engine = Engine(spark, tuple(secrets), tuple(prepare))
         self.graph, self.lake = build_graph(models), lake
         self.store = state if isinstance(state, StateStore) else StateStore(state)
         self.redacted, self.workers, self.lock_ttl = tuple(redacted), workers, lock_ttl
-        self.metrics = Metrics()
+        self.metrics, self.export_options = Metrics(), export_options or {}
         open_catalog(self.engine, self.store)
 
     def graph_for(self, env: str) -> Graph:
@@ -50,7 +50,7 @@ class Project:
         at, began = round(time.time() * 1000) if now is None else millis(now), time.time()
         outcome = "error"
         try:
-            out = Executor(self.engine, self.store, self.lake, workers=self.workers, stop=stop, metrics=self.metrics).apply(self.graph_for(plan.env), plan, at)
+            out = Executor(self.engine, self.store, self.lake, workers=self.workers, stop=stop, metrics=self.metrics, export_options=self.export_options).apply(self.graph_for(plan.env), plan, at)
             outcome = "ok"
             return out
         finally:

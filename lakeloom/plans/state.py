@@ -30,6 +30,7 @@ create table if not exists plans (id integer primary key, env text, applied inte
 create table if not exists runs (id integer primary key, env text, started integer, finished integer, outcome text, detail text);
 create table if not exists locks (key text primary key, owner text, expires real);
 create table if not exists canon (key text primary key, ast text);
+create table if not exists places (name text, physical text, key text, place text, primary key (name, physical, key));
 """
 
 
@@ -124,6 +125,18 @@ class StateStore:
             db.execute("delete from intervals where name = ? and fingerprint = ? and start >= ? and end <= ?", (name, fingerprint, *within))
             return [Interval(r["start"], r["end"]) for r in rows]
 
+    def places(self, name: str, physical: str) -> dict[str, str]:
+        """Where the directory of each interval of a version's files is."""
+        return {r["key"]: r["place"] for r in self._rows("select key, place from places where name = ? and physical = ? order by key", name, physical)}
+
+    def set_places(self, name: str, physical: str, there: list[tuple[str, str]], gone: list[str]) -> list[str]:
+        """Switch intervals to new directories, all at once; returns the directories that are no longer in use."""
+        with self.change() as db:
+            old = {r["key"]: r["place"] for r in db.execute("select key, place from places where name = ? and physical = ?", (name, physical))}
+            db.executemany("insert or replace into places values (?,?,?,?)", [(name, physical, k, p) for k, p in there])
+            db.executemany("delete from places where name = ? and physical = ? and key = ?", [(name, physical, k) for k in gone])
+        return [old[k] for k in [*(k for k, _ in there), *gone] if k in old]
+
     # environments
     def pointers(self, env: str) -> dict[str, str]:
         return {r["name"]: r["fingerprint"] for r in self._rows("select name, fingerprint from pointers where env = ? order by name", env)}
@@ -162,6 +175,7 @@ class StateStore:
 
     def forget(self, s: Snapshot) -> None:
         with self.change() as db:
+            db.execute("delete from places where name = ? and physical = ? and not exists (select 1 from snapshots s where s.name = places.name and s.physical = places.physical and s.claimed is null)", (s.name, s.physical))
             db.execute("delete from snapshots where name = ? and fingerprint = ? and claimed is not null", (s.name, s.fingerprint))
             db.execute("delete from intervals where name = ? and fingerprint = ? and not exists (select 1 from snapshots s where s.name = intervals.name and s.fingerprint = intervals.fingerprint)", (s.name, s.fingerprint))
 

@@ -146,6 +146,82 @@ def export_default_name(spark, sf_dir):
     return spark.table(f"{own}.nations").withColumn("place", F.lit("nations"))
 
 
+@query("select c_custkey, c_name, c_acctbal from customer where c_acctbal > 0")
+def export_over_jdbc(spark, sf_dir):
+    """An export to another database over JDBC, written anew by a second apply; here one that runs inside Spark."""
+    url = f"jdbc:derby:memory:x{uuid.uuid4().hex};create=true"
+    raw = _raw(sf_dir, "customer")
+    m = lambda least: model("mart.creditors", Full(), "c_custkey bigint, c_name string, c_acctbal double", lambda c: f"SELECT c_custkey, c_name, c_acctbal FROM {c.ref(raw)} WHERE c_acctbal > {least}", export=f"{url}#creditors")
+    p = _project(spark, raw, m(1000), export_options={"batchsize": "500"})
+    p.apply("prod", now=NOW)
+    _with(p, raw, m(0)).apply("prod", now=NOW)
+    back = spark.read.jdbc(url, "creditors")
+    return back.select(*[F.col(c).alias(c.lower()) for c in back.columns])
+
+
+@query("select n_name, n_regionkey, true as managed from nation where n_regionkey > 1")
+def catalog_target(spark, sf_dir):
+    """A model kept as a table of a catalog that the session names, under the versions' own names."""
+    own, before = f"cat_{uuid.uuid4().hex[:8]}", spark.conf.get("spark.lakeloom.catalog", None)
+    raw = _raw(sf_dir, "nation")
+    m = model("mart.kept", Full(), "n_name string, n_regionkey int", lambda c: f"SELECT n_name, n_regionkey FROM {c.ref(raw)} WHERE n_regionkey > 1", target="catalog")
+    p = _project(spark, raw, m)
+    assert "needs spark.lakeloom.catalog" in _said(LoomError, lambda: p.apply("dev", now=NOW))
+    spark.conf.set("spark.lakeloom.catalog", f"spark_catalog.{own}")
+    try:
+        p.apply("dev", now=NOW)
+    finally:
+        spark.conf.set("spark.lakeloom.catalog", before) if before else spark.conf.unset("spark.lakeloom.catalog")
+    tables = [t.name for t in spark.catalog.listTables(own) if not t.isTemporary]
+    kept = len(tables) == 1 and tables[0].startswith("mart__kept__") and spark.table(f"{own}.{tables[0]}").count() == p.table("dev", "mart.kept").count()
+    return p.table("dev", "mart.kept").withColumn("managed", F.lit(kept))
+
+
+@query("""with v as (select distinct event_id * 70000 as value from events where event_id % 7 <> 0 union select distinct event_id from events where event_id % 5 <> 0), l as (select value, lag(value) over (order by value) as before from v)
+select before as covered_through, value as resumes_at, value - before - 1 as missing from l where value > before + 1""")
+def audit_contiguous_ranges(spark, sf_dir):
+    """Holes within and between ranges of values that are looked at side by side."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e.where("event_id % 7 <> 0").selectExpr("event_id * 70000L AS event_id").union(e.where("event_id % 5 <> 0").selectExpr("CAST(event_id AS BIGINT)")).createOrReplaceTempView("audited_ranges")
+    return spark.sql(assert_contiguous("event_id").sql("audited_ranges"))
+
+
+@query(_values("died, rows, files", ("after the intent", 12, 1), ("before any file moved", 12, 2), ("between deletions", 12, 1)))
+def compaction_after_a_crash(spark, sf_dir):
+    """A compaction that dies loses and repeats no row: the next run finishes it, or takes back what wasn't decided."""
+    rows = []
+    for died in ("before any file moved", "after the intent", "between deletions"):
+        place = _place(spark, "crash")
+        spark.range(12).repartition(2).write.parquet(f"{place}/day=2024-01-02")
+        raw = external("raw.days", parquet(f"{place}/*/*.parquet"), "id bigint", compaction=Compaction(2, 0, partition="day"))
+        p = _project(spark, raw)
+        write_text, delete, seen = p.engine.write_text, p.engine.delete, []
+
+        def halt(*args, then=None) -> None:
+            seen.append(args)
+            if then and len(seen) < 2:
+                then(*args)
+                return
+            raise OSError("killed")
+
+        if died == "before any file moved":
+            p.engine.write_text = halt
+        elif died == "after the intent":
+            p.engine.delete = lambda x: halt(x) if x.endswith(".parquet") else delete(x)
+        else:
+            p.engine.delete = lambda x: halt(x, then=delete) if x.endswith(".parquet") else delete(x)
+        assert compact(p.engine, p.graph, lambda m: None, now=4_000_000_000_000).warnings
+        p.engine.write_text, p.engine.delete = write_text, delete
+        if died == "before any file moved":
+            from .operators.compact import recover
+
+            recover(p.engine, place)
+        else:
+            compact(p.engine, p.graph, lambda m: None, now=4_000_000_000_000)
+        rows.append((died, spark.read.parquet(place).select("id").distinct().count() if spark.read.parquet(place).count() == 12 else -1, sum(f.endswith(".parquet") for f, _, _ in p.engine.files(place))))
+    return _frame(spark, rows, "died string, rows int, files int")
+
+
 @query(_values("step, files, there", ("written", 1, True), ("moved", 1, True), ("replaced", 2, True), ("deleted", 0, False)))
 def file_store(spark, sf_dir):
     """Listing, moving, replacing and deleting through Hadoop's file systems; what scans skip isn't listed."""
