@@ -1,6 +1,11 @@
 """The corpus pipeline: documents through five stages, each written as Parquet before the next reads it.
 
 Every stage works on all that the stage before it kept; all but the last return the columns of ``documents``.
+
+Defined cases, each by its stage's operator. Null, empty and blank texts, and texts without a letter, are rejected by the first two stages. A null id, language or source is a value like any
+other; rows with a null id are no one's near duplicates. Rows that repeat an id stay or go alike, so they also are drawn and encoded alike; ties between near duplicates go to the smallest id. Very long texts
+are read to their end by every stage. Extra columns, whatever their names, pass all stages but the last. Empty tables, of documents or labels, give no rows or no rules. Each stage's table is deleted once the next is written; the last one stays,
+as it is what :func:`run` returns.
 """
 
 from __future__ import annotations
