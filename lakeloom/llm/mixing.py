@@ -1,7 +1,7 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
-A document may count for several *mixture parts*: here its ``source`` and its ``lang``. Documents are aggregated by membership pattern, so the flow network has a node
-for each pattern, whatever the corpus. Tokens flow from the patterns to the parts' quotas. A pattern's supply is split in copies: the first costs nothing, each further one
+A document may count for several *mixture parts*: its ``source`` and its ``lang``, or whatever an array of part names says, as of a document that several sources hold. Documents are aggregated by membership
+pattern, the set of a document's parts, so the flow network has a node for each pattern, whatever the corpus. Tokens flow from the patterns to the parts' quotas. A pattern's supply is split in copies: the first costs nothing, each further one
 costs more (convex, so copies are used in order), up to ``COPIES``. Every part has a quota of ``weight * budget`` tokens; what can't be filled flows from a dummy supply at a cost above any
 repetition, so the flow is as full as it can be and, of the fullest, repeats least; what a part misses is logged. Capacities are whole tokens and flows exact: successive shortest paths with potentials.
 
@@ -9,7 +9,7 @@ The flow gives each pattern a number of tokens: whole passes over the pattern an
 is used. The cut in that order is found from sums over hash ranges, and then only the documents of one range are sorted, so nothing sorts a whole pattern.
 
 Tokens are words: runs of characters other than white space (space, tab, newline, return, form feed, vertical tab). Defined cases. A null or blank text has no tokens and isn't drawn. Null ``source`` and ``lang`` are values of their own, ``""``; parts without a
-weight get none. Repeated rows are drawn alike; with equal hashes the id decides, and rows of one id are drawn together. A null id hashes as such. Extra columns pass through.
+weight get none; a document without parts isn't drawn. An empty table stays empty, and texts of any length are counted to their end. Repeated rows are drawn alike; with equal hashes the id decides, and rows of one id are drawn together. A null id hashes as such. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -117,49 +117,55 @@ def quotas(total: int, sources: list[str], langs: dict[str, float] = LANG_WEIGHT
     return out
 
 
-def plan(stats: DataFrame, copies: int = COPIES, **weights) -> list[tuple[str, str, int, int, int]]:
-    """``source, lang, passes, remainder, supply`` for each pattern, from ``source, lang, tokens`` sums."""
-    rows = [r for r in stats.collect() if r["tokens"]]
-    supply = {(f"source:{r['source']}", f"lang:{r['lang']}"): int(r["tokens"]) for r in rows}
-    want = quotas(sum(supply.values()), sorted({p[0][7:] for p in supply}), **weights)
+def plan(stats: DataFrame, copies: int = COPIES, shares: dict[str, float] | None = None, **weights) -> list[tuple[list[str], int, int, int]]:
+    """``pattern, passes, remainder, supply`` from ``pattern, tokens`` sums. ``shares``: of the tokens there are, how many to draw for each part; else by :func:`quotas`."""
+    supply = {tuple(r["pattern"]): int(r["tokens"]) for r in stats.collect() if r["tokens"]}
+    total = sum(supply.values())
+    sources = sorted({x[7:] for p in supply for x in p if x.startswith("source:")})
+    want = {k: int(total * v) for k, v in shares.items()} if shares is not None else quotas(total, sources, **weights)
     unfilled: dict[str, int] = {}
     takes = routed(supply, want, copies, unfilled)
     for part, n in unfilled.items():
         _LOG.warning("%s misses %d of its %d tokens: a document is drawn at most %d times", part, n, want[part], copies)
-    return [(p[0][7:], p[1][5:], take // supply[p], take % supply[p], supply[p]) for p, take in sorted(takes.items())]
+    return [(list(p), take // supply[p], take % supply[p], supply[p]) for p, take in sorted(takes.items())]
 
 
-def drawn(docs: DataFrame, seed: int = SEED, **params) -> tuple[DataFrame, str]:
-    """``docs`` with the number of copies of each row, and that column's name."""
+def by_source_and_language() -> Column:
+    """A document's parts by its two columns."""
+    return F.array(*[F.concat(F.lit(f"{c}:"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("source", "lang")])
+
+
+def drawn(docs: DataFrame, seed: int = SEED, parts: Column | None = None, **params) -> tuple[DataFrame, str]:
+    """``docs`` with the number of copies of each row, and that column's name. ``parts``: an array of the names of a document's parts."""
     spark = docs.sparkSession
     names = {k: fresh(docs, k) for k in ("tokens", "u", "range", "p", "copies")}
-    source, lang = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    pattern = by_source_and_language() if parts is None else F.coalesce(F.array_sort(F.array_distinct(F.array_compact(parts))), F.array().cast("array<string>"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40))
-    slim = docs.select(F.col("doc_id"), source.alias("source"), lang.alias("lang"), tokens(F.col("text")).alias("tokens"), u.alias("u")).where("tokens > 0")
+    slim = docs.select(F.col("doc_id"), pattern.alias("pattern"), tokens(F.col("text")).alias("tokens"), u.alias("u")).where("tokens > 0")
     # sums over hash ranges serve both the patterns' supply and the cuts
-    ranges = stored(slim.groupBy("source", "lang", F.expr(f"u div {(1 << 40) // RANGES}").alias("range")).agg(F.sum("tokens").alias("tokens")), "ranges")
-    planned = plan(ranges.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")), **params)
-    rest = spark.createDataFrame([(s, k, n) for s, k, _, n, _ in planned], "source string, lang string, rest bigint")
-    before = F.sum("tokens").over(Window.partitionBy("source", "lang").orderBy("range")) - F.col("tokens")
-    edge = ranges.join(F.broadcast(rest), ["source", "lang"]).withColumn("before", before).where("before <= rest and before + tokens > rest").select("source", "lang", "range", "before", "rest")
+    ranges = stored(slim.groupBy("pattern", F.expr(f"u div {(1 << 40) // RANGES}").alias("range")).agg(F.sum("tokens").alias("tokens")), "ranges")
+    planned = plan(ranges.groupBy("pattern").agg(F.sum("tokens").alias("tokens")), **params)
+    rest = spark.createDataFrame([(p, n) for p, _, n, _ in planned], "pattern array<string>, rest bigint")
+    before = F.sum("tokens").over(Window.partitionBy("pattern").orderBy("range")) - F.col("tokens")
+    edge = ranges.join(F.broadcast(rest), "pattern").withColumn("before", before).where("before <= rest and before + tokens > rest").select("pattern", "range", "before", "rest")
     edges = edge.collect()
     dropped(ranges)
     # within the one range of each pattern, documents in order until the remainder is used
-    marks = spark.createDataFrame([tuple(r) for r in edges], "source string, lang string, range bigint, before bigint, rest bigint")
-    inside = slim.withColumn("range", F.expr(f"u div {(1 << 40) // RANGES}")).join(F.broadcast(marks), ["source", "lang", "range"])
-    by_doc = inside.groupBy("source", "lang", "before", "rest", "u", "doc_id").agg(F.sum("tokens").alias("tokens"))
-    used = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "lang").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    cuts = by_doc.withColumn("used", used).where("used <= rest").groupBy("source", "lang").agg(F.max(F.struct("u", "doc_id")).alias("last"))
-    last = {(r["source"], r["lang"]): (r["last"]["u"], r["last"]["doc_id"]) for r in cuts.collect()}
-    start = {(r["source"], r["lang"]): r["range"] * ((1 << 40) // RANGES) for r in edges}
+    marks = spark.createDataFrame([tuple(r) for r in edges], "pattern array<string>, range bigint, before bigint, rest bigint")
+    inside = slim.withColumn("range", F.expr(f"u div {(1 << 40) // RANGES}")).join(F.broadcast(marks), ["pattern", "range"])
+    by_doc = inside.groupBy("pattern", "before", "rest", "u", "doc_id").agg(F.sum("tokens").alias("tokens"))
+    used = F.col("before") + F.sum("tokens").over(Window.partitionBy("pattern").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    cuts = by_doc.withColumn("used", used).where("used <= rest").groupBy("pattern").agg(F.max(F.struct("u", "doc_id")).alias("last"))
+    last = {tuple(r["pattern"]): (r["last"]["u"], r["last"]["doc_id"]) for r in cuts.collect()}
+    start = {tuple(r["pattern"]): r["range"] * ((1 << 40) // RANGES) for r in edges}
     table = []
-    for s, k, passes, _, _ in planned:
-        at, doc = last.get((s, k), (start.get((s, k), 1 << 40) - 1, None))
-        table.append((s, k, passes, at, doc))
-    table = spark.createDataFrame(table, "s string, k string, passes int, cut bigint, doc bigint")
-    held = F.broadcast(table.select(F.struct("s", "k").alias(names["p"]), "passes", "cut", F.col("doc").alias("cut_doc")))
+    for p, passes, _, _ in planned:
+        at, doc = last.get(tuple(p), (start.get(tuple(p), 1 << 40) - 1, None))
+        table.append((p, passes, at, doc))
+    table = spark.createDataFrame(table, "p array<string>, passes int, cut bigint, doc bigint")
+    held = F.broadcast(table.select(F.col("p").alias(names["p"]), "passes", "cut", F.col("doc").alias("cut_doc")))
     held = held.select(names["p"], F.struct("passes", "cut", "cut_doc").alias(names["range"]))
-    out = docs.withColumns({names["p"]: F.struct(source.alias("s"), lang.alias("k")), names["u"]: u, names["tokens"]: tokens(F.col("text"))}).join(held, names["p"], "left")
+    out = docs.withColumns({names["p"]: pattern, names["u"]: u, names["tokens"]: tokens(F.col("text"))}).join(held, names["p"], "left")
     c, x = F.col(names["range"]), F.col(names["u"])
     more = (x < c["cut"]) | ((x == c["cut"]) & (c["cut_doc"].isNull() | F.coalesce(F.col("doc_id") <= c["cut_doc"], F.lit(True))))
     count = F.when((F.col(names["tokens"]) > 0) & c.isNotNull(), c["passes"] + more.cast("int")).otherwise(0)

@@ -125,6 +125,32 @@ def test_layouts_become_turns(spark):
     assert None in shown and "conversations" in shown
 
 
+def test_layouts_of_lists_and_parts(spark, monkeypatch):
+    long = "x y " * 100_000
+    records = [
+        (1, json.dumps([{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}])), (2, json.dumps([{"from": "human", "value": "q"}])),
+        (3, json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "one "}, {"type": "image", "url": "u"}, "two"]}, {"role": "assistant", "content": "plain"}]})),
+        (4, json.dumps({"prompt": long, "completion": "c"})), (None, json.dumps({"prompt": "p", "completion": "c"})),
+    ]
+    df = spark.createDataFrame(records, "conv_id bigint, record string")
+    want = sorted([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (3, 0, "user", "one two"), (3, 1, "assistant", "plain"), (4, 0, "user", long), (4, 1, "assistant", "c"), (None, 0, "user", "p"), (None, 1, "assistant", "c")], key=str)
+    for limit in (100_000, 2):  # through the driver, and by a join
+        monkeypatch.setattr(chat_format, "RESOLVE", limit)
+        assert sorted(((r.conv_id, r.turn, r.role, r.text) for r in chat_format.turns(df).collect()), key=str) == want
+    plan = chat_format.turns(df)._jdf.queryExecution().toString()
+    assert "BatchEvalPython" not in plan and "PythonUDF" not in plan
+
+
+def test_arrow_settings_in_any_unit(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    try:
+        for setting in ("64m", "1g", "1048576", "67108864b"):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", setting)
+            assert token_counts.token_counts(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")).first().n_words == 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before) if before else spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_fingerprint_is_of_fields_not_values(spark):
     df = spark.createDataFrame([(1, '{"b": 1, "a": "x"}'), (2, '{"a": "y", "b": 2.5}'), (3, '{"a": "y", "c": 2.5}')], "conv_id bigint, record string")
     f = {r.conv_id: r.f for r in chat_format.fingerprinted(df).selectExpr("conv_id", "__fingerprint AS f").collect()}
@@ -324,6 +350,64 @@ def test_toxicity_held_out_accuracy():
     assert (hit & y).sum() / y.sum() > 0.85 and (hit & ~y).sum() / (~y).sum() < 0.05
 
 
+def test_two_models_in_one_session(spark, toxic_model):
+    """Workers outlive models; each scores by its own."""
+    m, word = toxic_model
+    rng = random.Random(31)
+    texts = [(" ".join(word() for _ in range(10)) + (" plimbok" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    other = toxicity.Model([t for t, _ in texts], [y for _, y in texts])
+    docs = spark.createDataFrame([(1, "a vrakzon here"), (2, "a plimbok here")], "doc_id bigint, text string")
+    for _ in range(2):
+        assert {r.doc_id for r in toxicity.scored(docs, m, True).collect()} == {1}
+        assert {r.doc_id for r in toxicity.scored(docs, other, True).collect()} == {2}
+    assert m.name != other.name and rng
+
+
+def test_broken_insults_are_found(toxic_model, spark):
+    m, word = toxic_model
+    forms = ["vra kzon", "vr akz on", "glu ffit", "gl uff it", "zyx xer", "zy xx er"]
+    docs = spark.createDataFrame([(k, f"{word()} {word()} {f} {word()}") for k, f in enumerate(forms)] + [(100, " ".join(word() for _ in range(30))), (101, "to be or not to be")], "doc_id bigint, text string")
+    found = {r.doc_id for r in toxicity.scored(docs, m, True).collect()}
+    assert found >= set(range(len(forms))) and not found & {100, 101}
+
+
+def test_verdicts_equal_a_slow_scorer(toxic_model, spark):
+    """Each document by the definition of the kernel over all its units, and the table of weights against the landmarks."""
+    m, word = toxic_model
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice([word(), "vrakzon", "vra-kzon", "no", "g l u f f i t", "zyxqxer", ""]) for _ in range(12)) for _ in range(25)]
+    marks = ["".join(chr(c) for c in r if c > 1) for r in m.marks]
+
+    def score(u):
+        if u in m.clean:
+            return -9.0
+        same = subsequence_kernel(u, u, toxicity.LENGTH, toxicity.DECAY)
+        return m.bias + sum(float(w) * subsequence_kernel(u, k, toxicity.LENGTH, toxicity.DECAY) / max(same * subsequence_kernel(k, k, toxicity.LENGTH, toxicity.DECAY), 1e-12) ** 0.5 for w, k in zip(m.weights, marks))
+
+    want = {}
+    for i, t in enumerate(texts):
+        us = {u for p in m.parts(t) for u in toxicity.units(p)}
+        want[i] = max((score(u) for u in us if all(c.isalnum() for c in u)), default=-9.0)
+    got = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), m).collect()}
+    assert all(got[i] >= want[i] - 1e-3 for i in want) and sum(abs(got[i] - want[i]) < 1e-3 for i in want) > 10
+
+
+def test_svm_is_the_minimum():
+    """No small step from the fitted weights makes the loss less."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(200, 5)), np.where(rng.random(200) < 0.4, 1.0, -1.0)
+    weight = rng.random(200)
+    beta, bias = toxicity._svm(x, y, weight)
+
+    def loss(b, c):
+        return (weight / weight.sum() * np.maximum(0, 1 - y * (x @ b + c)) ** 2).sum() + 1e-5 * (b**2).sum() + 1e-9 * c**2
+
+    best = loss(beta, bias)
+    for _ in range(200):
+        step = rng.normal(size=6) * 10.0 ** -rng.integers(1, 6)
+        assert loss(beta + step[:5], bias + step[5]) >= best - 1e-12
+
+
 # 6 sentence pieces
 @pytest.fixture(scope="module")
 def machine():
@@ -589,6 +673,44 @@ def test_language_held_out(spark, odd, none):
     assert language_id.identify(none, empty).count() == 0 and language_id.identify(odd, empty, keep_all=False).count() == 6
 
 
+def test_language_scores_equal_slow_ridge_regression():
+    """Kernel by sets of n-grams, Nyström features and ridge by their formulas."""
+    rng = random.Random(15)
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["қазақ", "тілі", "сөз"], "cc": ["ñandú", "über", "çà"]}
+    texts = [(" ".join(rng.choice(words[k]) for _ in range(6)), k) for k in words for _ in range(20)]
+    m = language_id.Model([t for t, _ in texts], [k for _, k in texts])
+
+    def grams(t):
+        t = "".join(c.lower() if c.isalpha() else " " for c in t)
+        t = " " + " ".join(t.split()) + " "
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} - {" "}
+
+    def kernel(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    order = np.random.default_rng(7).permutation(len(texts))
+    shuffled = [texts[i] for i in order]
+    y = np.array([m.langs.index(k) for _, k in shuffled])
+    per = max(language_id.FEWEST, language_id.LANDMARKS // 3)
+    marks = [grams(shuffled[i][0]) for k in range(3) for i in np.flatnonzero(y == k)[:per]]
+    square = np.array([[kernel(a, b) for b in marks] for a in marks])
+    w, v = np.linalg.eigh(square)
+    root = v[:, w > 1e-6] / np.sqrt(w[w > 1e-6])
+    phi = np.array([[kernel(grams(t), b) for b in marks] for t, _ in shuffled]) @ root
+    target = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    beta = np.linalg.solve(phi.T @ phi + language_id.RIDGE * len(y) * np.eye(phi.shape[1]), phi.T @ target)
+    new = [t for t, _ in texts[::5]] + ["lorem сөз", "über tilі"]
+    want = np.array([[kernel(grams(t), b) for b in marks] for t in new]) @ root @ beta
+    assert np.allclose(m.classify(new)[0], want, atol=5e-3)
+
+
+def test_every_language_is_fitted(spark):
+    """Very many languages, and one whose texts are mostly null."""
+    rows = [(i, "".join(chr(97 + (i * 7 + k) % 26) for k in range(30)), f"l{i % 80}") for i in range(400)] + [(1000 + i, None if i % 50 else f"rare words {i} here", "nulls") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(language_id.fit(docs, 3).langs) == 81
+
+
 # 9 n-gram join
 def brute_pairs(rows, t=near_duplicates.T):
     sets = near_duplicates.shingles([r[1] for r in rows])
@@ -802,14 +924,35 @@ def test_tokens_are_words_whatever_parts_them(spark):
 def test_unfilled_quotas_are_told(caplog):
     class Stats:
         def collect(self):
-            return [{"source": "hot", "lang": "en", "tokens": 10_000}, {"source": "tiny", "lang": "en", "tokens": 10}]
+            return [{"pattern": ["source:hot", "lang:en"], "tokens": 10_000}, {"pattern": ["source:tiny", "lang:en"], "tokens": 10}]
 
     planned = mixing.plan(Stats(), langs={"en": 1.0}, share=0.0)
     want = mixing.quotas(10_010, ["hot", "tiny"], {"en": 1.0}, 0.0)["source:tiny"]
-    assert {s: p * n + r for s, _, p, r, n in planned}["tiny"] == mixing.COPIES * 10
+    assert {p[0]: k * n + r for p, k, r, n in planned}["source:tiny"] == mixing.COPIES * 10
     assert f"source:tiny misses {want - mixing.COPIES * 10} of its {want} tokens" in caplog.text and "source:hot" not in caplog.text
 
 
+def test_documents_that_several_sources_hold(spark):
+    """Patterns of none to three parts; what is drawn is what the flow says, to the document."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(1, 9), rng.sample(["web", "books", "code"], rng.randrange(4)) + [None] * (i % 2)) for i in range(400)] + [(900, "a b", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, held array<string>")
+    shares = {"web": 0.2, "books": 0.5, "code": 0.1, "nowhere": 0.1}
+    out, copies = mixing.drawn(docs, parts=F.col("held"), shares=shares)
+    got = {r.doc_id: r[copies] for r in out.collect()}
+    supply: dict = {}
+    for _, t, held in rows:
+        p = tuple(sorted({x for x in held or [] if x}))
+        supply[p] = supply.get(p, 0) + len(t.split())
+    total = sum(supply.values())
+    take = mixing.routed(supply, {k: int(total * v) for k, v in shares.items()})
+    for p, amount in take.items():
+        own = [(i, len(t.split())) for i, t, held in rows if tuple(sorted({x for x in held or [] if x})) == p]
+        drawn = sum(got[i] * n for i, n in own)
+        assert amount - 9 < drawn <= amount if p else drawn == amount == 0
+    assert sum(sum(1 for q in p if q in shares) > 1 for p in supply) >= 4
+
+
 def test_drawing_is_exact_and_seeded(spark, real, odd, none):
     out, copies = mixing.drawn(real)
     rows = out.select("doc_id", "source", "lang", F.col("__tokens").alias("tokens"), F.col(copies).alias("n"), F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(1 << 40)).alias("u")).collect()

@@ -47,6 +47,23 @@ def test_stages_follow_each_other_and_equal_brute_force(spark):
     assert sorted(r.doc_id for r in whole.collect()) == sorted(r.doc_id for r in got)
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty, long and repeated texts, clashing names, and empty tables: defined and without a crash."""
+    long = "a very long text that goes on and on " * 20_000
+    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (None, "a row without an id", "en", "a", 1), (3, long, "en", "b", 9), (4, long, "en", "b", 9), (5, "\n", "de", None, 2), (6, "twice the very same row", "en", "a", 3), (6, "twice the very same row", "en", "a", 3), (7, "日本語 🙂 x", "xx", "c", 4)]
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (4, None, None)], "doc_id bigint, quality int, toxic int")
+    docs.withColumns({c: F.lit("mine") for c in ("rep", "tile", "score", "keep", "__copies", "size")}).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/odd/labels.parquet")
+    got = {r.doc_id: r.exact for r in P.run(spark, f"{tmp_path}/odd").collect()}
+    assert got.keys() <= {3, 6, 7, None} and all(got.values())
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def F_eq(name):
     from pyspark.sql import functions as F
 
