@@ -41,6 +41,14 @@ def scd2(held: DataFrame, rows: DataFrame, valid_from: str, valid_to: str, now:
     return closed.unionByName(stay.select(*held.columns)).unionByName(end.select(*held.columns)).unionByName(new.select(*held.columns))
 
 
+def scd2_changes(held: DataFrame, rows: DataFrame, valid_from: str, valid_to: str) -> DataFrame:
+    """The data columns of rows that :func:`scd2` would close or open: those that one side alone has. Nulls are equal."""
+    data = [c for c in held.columns if c not in (valid_from, valid_to)]
+    sides = held.where(_c(valid_to).isNull()).select(*[_c(c) for c in data], F.lit(1).alias("__side")).unionByName(rows.select(*[_c(c) for c in data], F.lit(2).alias("__side")))
+    one = sides.groupBy(*[_c(c) for c in data]).agg(F.bit_or("__side").alias("__side"))
+    return one.where("__side <> 3").select(*[_c(c) for c in data])
+
+
 def range_replaced(held: DataFrame, rows: DataFrame, time_column: str, start: Column, end: Column) -> DataFrame:
     """``held`` outside ``[start, end)`` and rows without a time, with ``rows``."""
     t = _c(time_column)

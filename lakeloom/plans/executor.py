@@ -15,16 +15,16 @@ from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import AuditError, ContractError, EngineError, LoomError, UnavailableError
-from ..functions.types import family, quote
+from ..functions.types import family, literal, quote
 from ..operators.audits import gap_sentence
-from ..operators.materialize import conformed, scd2, upsert
+from ..operators.materialize import conformed, scd2, scd2_changes, upsert
 from ..sources.lake import freshness, physical_name, version_root, view_name, write_manifest
 from ..sources.readers import external_table, seed_rows
-from .engine import Engine, files_of, interval_rows
+from .engine import HIDDEN, Engine, files_of, interval_rows
 from .fingerprint import FINGERPRINT_VERSION
 from .graph import Graph
 from .interval import GRAINS, Interval, floor_to, intervals_within, partition_key, split_into_batches, stamp
@@ -36,6 +36,8 @@ from .state import Snapshot, StateStore
 log = logging.getLogger("lakeloom")
 #: Bytes, by Catalyst's estimate, below which a generation is one file.
 SMALL = 4 << 20
+#: Bytes of a bucket of a keyed table at its first build, about.
+BUCKET_BYTES = 128 << 20
 
 
 @dataclass
@@ -64,7 +66,7 @@ def open_catalog(engine: Engine, store: StateStore) -> None:
         if s.kind in ("external", "embedded") or engine.has_table(name):
             continue
         engine.create_database("_phys")
-        if s.kind == TimeRange.tag:
+        if s.kind == TimeRange.tag or store.places(s.name, s.physical):
             engine.interval_table(name, StructType.fromJson(_json(s.columns)), s.location, store.places(s.name, s.physical))
         elif s.kind != "view":
             engine.table_over(name, StructType.fromJson(_json(s.columns)), s.location)
@@ -265,16 +267,82 @@ class Executor:
                 self._one_shot(model, action, self.engine.query(sql))
         elif isinstance(k, UniqueKey):
             self._checked(model, sql)
-            self._one_shot(model, action, upsert(self._held(model, action), self._cast(model, self.engine.query(sql)), k.key))
+            rows = self._cast(model, self.engine.query(sql))
+            if model.target == "catalog":
+                self._one_shot(model, action, upsert(self._held(model, action), rows, k.key))
+            else:
+                self._keyed(model, action, k.key, rows, lambda held, given: upsert(held, given, k.key))
         elif isinstance(k, ScdType2):
             self._checked_scd(model, sql)
             rows = self.engine.query(sql)
             data = [f for f in model.schema.fields if f.name not in (k.valid_from, k.valid_to)]
             rows = rows.select(*[F.col(quote(f.name)).cast(f.dataType).alias(f.name) for f in data])
-            self._one_shot(model, action, scd2(self._held(model, action), rows, k.valid_from, k.valid_to, F.expr(stamp(now))))
+            reconciled = lambda held, given: scd2(held, given, k.valid_from, k.valid_to, F.expr(stamp(now)))
+            if model.target == "catalog":
+                self._one_shot(model, action, reconciled(self._held(model, action), rows))
+            else:
+                changed = lambda held, given: scd2_changes(held, given, k.valid_from, k.valid_to)
+                self._keyed(model, action, k.key, rows, reconciled, changed)
         elif isinstance(k, TimeRange):
             self._time_range(model, action, ref)
 
+    def _keyed(self, model: Model, action: Action, key: tuple[str, ...], rows: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], DataFrame] = lambda held, rows: rows) -> None:
+        """Merge rows into a table of buckets by the key's hash: only buckets with keys that ``changed`` gives are read whole and written anew, as one new directory that partitions are then pointed at.
+
+        The number of buckets is set by the size at the first build. The driver gets bucket numbers alone.
+        """
+        name, root = physical_name(model.name, action.physical), version_root(self.lake, model.name, action.physical)
+        places = self.store.places(model.name, action.physical)
+        new = not places
+        held = self._held(model, action)
+        count = int(next(iter(places)).partition("of")[2]) if places else max(1, min(4096, -(-self.engine.bytes_of(rows) // BUCKET_BYTES)))
+
+        def bucket(df: DataFrame) -> Column:
+            at = F.pmod(F.xxhash64(*[df[quote(c)] for c in key]), F.lit(count))
+            return F.concat(F.lpad(at.cast("string"), 5, "0"), F.lit(f"of{count:05d}"))
+
+        if new:
+            touched = [f"{i:05d}of{count:05d}" for i in range(count)]
+            old, given = held, rows
+        else:
+            moved = changed(held, rows)
+            touched = sorted(r[0] for r in moved.select(bucket(moved)).distinct().collect())
+            columns = ", ".join(map(quote, model.columns))
+            among = ", ".join(literal(b) for b in touched) or "''"
+            old = self.engine.query(f"SELECT {columns} FROM {files_of(name)} WHERE {quote(HIDDEN)} IN ({among})")
+            given = rows.where(bucket(rows).isin(touched)) if touched else rows.limit(0)
+        run, there = f"{root}/runs/{uuid.uuid4().hex}", []
+
+        def write() -> None:
+            out = self._cast(model, merged(old, given))
+            out.withColumn("__part", bucket(out)).hint("rebalance", "__part").write.mode("overwrite").partitionBy("__part").parquet(run)
+            there[:] = [(d.partition("=")[2], f"{run}/{d}") for d in self.engine.directories(run) if d.startswith("__part=")]
+
+        if touched:
+            self._retry(write)
+        gone = [b for b in touched if b not in dict(there)]
+        if model.audits:
+            view = f"_audit_{uuid.uuid4().hex}"
+            after = {**places, **dict(there)}
+            paths = [p for b, p in after.items() if b not in gone]
+            seen = self.engine.spark.read.schema(model.schema).parquet(*paths) if paths else self.engine.spark.createDataFrame([], model.schema)
+            seen.createOrReplaceTempView(view)
+            try:
+                self.audit(model, view, "any")
+            except AuditError:
+                self.engine.delete(run)
+                raise
+            finally:
+                self.engine.spark.catalog.dropTempView(view)
+        if new:
+            self.store.set_places(model.name, action.physical, there, [])
+            self.engine.execute(f"DROP {'VIEW' if self.engine.is_view(name) else 'TABLE'} IF EXISTS {name}")
+            self.engine.interval_table(name, model.schema, root, dict(there))
+        elif touched:
+            self._publish(model, action, name, there, gone)
+            self.engine.execute(f"REFRESH TABLE {files_of(name)}")
+        self._save(model, action, root)
+
     def _checked_scd(self, model: Model, sql: str) -> None:
         k = model.kind
         data = StructType([f for f in model.schema.fields if f.name not in (k.valid_from, k.valid_to)])

@@ -12,7 +12,7 @@ from .engine import Engine, files_of
 from .graph import Graph
 from .interval import GRAINS, Interval, enumerate_intervals, floor_to, iso, millis
 from .lock import held
-from .model import TimeRange
+from .model import ScdType2, TimeRange, UniqueKey
 from .state import StateStore
 
 WEEK = 7 * 86_400_000
@@ -106,7 +106,7 @@ def janitor(engine: Engine, store: StateStore, lake: str, *, ttl: int = WEEK, no
                     engine.execute(f"DROP {'VIEW' if engine.is_view(name) else 'TABLE'} IF EXISTS {name}")
                     if engine.spark.conf.get("spark.lakeloom.catalog", "").count(".") == 1:
                         engine.execute(f"DROP TABLE IF EXISTS {engine.spark.conf.get('spark.lakeloom.catalog')}.{s.name.replace('.', '__')}__{s.physical[:8]}")
-                    if s.kind == TimeRange.tag:
+                    if s.kind in (TimeRange.tag, UniqueKey.tag, ScdType2.tag):
                         engine.execute(f"DROP TABLE IF EXISTS {files_of(name)}")
                     if s.kind != "view":
                         engine.delete(version_root(lake, s.name, s.physical))
