@@ -70,3 +70,10 @@ def test_the_entry_works_without_the_training_data_package():
         if attr is not None:
             lakeloom.llm = attr
         importlib.reload(entry)
+
+
+def test_a_day_of_an_interval_table_opens_one_directory(spark):
+    df = QUERIES["pruned_interval_scan"](spark, SF)
+    assert df.count() and len({f.rpartition("/")[0] for f in df.inputFiles()}) == 1
+    whole = QUERIES["incremental_backfill"](spark, SF)
+    assert len({f.rpartition("/")[0] for f in whole.inputFiles()}) > 20 and "__interval" not in whole.columns
