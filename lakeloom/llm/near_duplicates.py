@@ -3,6 +3,9 @@
 A text's set holds the 64-bit hashes of its runs of ``N`` words (all its words, if fewer). All pairs of documents with
 Jaccard similarity of at least ``T`` are found, every document being a query. Nothing is sampled, capped or estimated.
 
+The query gives one row for each document (:func:`linked`): its class, which is what links connect, and its number of links, so its result grows with the documents. All pairs
+(:func:`similar_pairs`), whose number is quadratic in the copies, are there for small tables.
+
 1. *Classes*. One pass over the texts gives each set's size and two order-free digests. Documents with equal digests are one set from here on.
 2. *Rarity*. Each set's hashes go to buckets of about ``BUCKET`` tokens, packed in six bytes each. A bucket finds which tokens several sets hold and tells
    those sets, in like packed form, about how many hold each; tokens of one set are told by their absence.
@@ -14,16 +17,21 @@ Jaccard similarity of at least ``T`` are found, every document being a query. No
    is cut into square tiles, each a task's work, so that a group of any size is spread out. Only for sets that are in a group n-grams are computed again and shuffled.
 5. *Answers*. In a tile, a set's overlaps with all others come from inverted lists. The next set's overlaps are derived from those of an already
    answered, highly similar set: minus the lists of n-grams that only that set has, plus those that only this one has. Overlaps are exact.
+6. *Links*. Two sets may meet in several groups. Each set brings the earlier ones of its groups along, and a pair counts in the first that it shares, so links are added up where they are found, as
+   many for each set as documents hold the other, and no pair leaves a tile; what does are sums, and links that connect the tile's sets.
 
 Words are runs of ``[a-z0-9_]`` and non-ASCII characters of the lower-cased text.
 
 Defined cases. Null, empty and wordless texts and null ids have no pairs; an empty table has none. Rows that repeat an id are one document if their texts have the
 same n-grams; otherwise each of its texts counts, and a pair is given once for each pair of texts. Very long texts are read to their end. Ties don't arise: pairs are sets. Extra columns are ignored.
+In :func:`linked` each id has one row: documents without pairs are classes of their own without links, rows with a null id are left out, and of an id with several texts, which are one class, links are counted once for
+each pair of its texts and those of other ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -363,9 +371,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.nda
         yield known[1]
 
 
-def tile_pairs(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of a tile, some at a time: within it where ``side`` is all 0, else between sides 1 and 2."""
+def tile_pairs(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], t: float, before: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a tile, some at a time: within it where ``side`` is all 0, else between sides 1 and 2. ``before``: for each set its earlier groups; sets that share one of them are no pair here."""
     if len(ids) == 2 and (side == 0).all():
+        if before is not None and len(np.intersect1d(*before, True)):
+            return
         both = len(np.intersect1d(sets[0], sets[1], True))
         j = both / (len(sets[0]) + len(sets[1]) - both)
         if j >= t:
@@ -380,11 +390,18 @@ def tile_pairs(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], t: flo
     if not len(rows) or not len(cols):
         return
     size = np.array([len(sets[k]) for k in cols])
+    met: Iterator[np.ndarray | None] = repeat(None)
+    if before is not None:
+        left, right = ([before[order[k]] for k in part] for part in (rows, cols))
+        if any(map(len, left)) and any(map(len, right)):
+            met = overlaps(left, right)
     out: list[list[np.ndarray]] = [[], [], []]
     n = 0
-    for k, both in zip(rows, overlaps([sets[k] for k in rows], [sets[k] for k in cols])):
+    for k, both, earlier in zip(rows, overlaps([sets[k] for k in rows], [sets[k] for k in cols]), met):
         j = both / (len(sets[k]) + size - both)
         hit = j >= t
+        if earlier is not None:
+            hit &= earlier == 0
         if within:
             hit[: k + 1] = False
         some = int(hit.sum())
@@ -416,23 +433,40 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for x, _ in links], np.int64), np.array([y for _, y in links], np.int64)
 
 
+def tile_links(side: np.ndarray, sets: list[np.ndarray], before: list[np.ndarray], copies: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of a tile how many documents hold those that are pairs with it, and the number of the first set that pairs connect it with."""
+    links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    for x, y, _ in tile_pairs(np.arange(len(sets)), side, sets, t, before):
+        np.add.at(links, x, copies[y])
+        np.add.at(links, y, copies[x])
+        new = root[x] != root[y]
+        if new.any():  # few: near copies are soon connected
+            to = np.arange(len(sets))
+            member, first = _forest(root[x[new]], root[y[new]])
+            to[member] = first
+            root = to[root]
+    return links, root
+
+
 def placed(member: DataFrame) -> DataFrame:
-    """``rep, tile, side`` from ``block, rep, size``. A list of few sets is one tile; of more, sets are dealt to parts and each two parts are a tile."""
+    """``rep, tile, side`` and what else ``member`` has, from ``block, rep, size``. A list of few sets is one tile; of more, sets are dealt to parts and each two parts are a tile."""
     tiles = member.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TOKENS)).cast("int").alias("tiles"))
     dealt = member.join(tiles, "block").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    dealt = dealt.select("block", "rep", "c", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("d"))
+    more = [c for c in member.columns if c not in ("block", "rep", "size")]
+    dealt = dealt.select("block", "rep", "c", *more, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("d"))
     side = F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2)
-    return dealt.select("rep", F.xxhash64("block", F.least("c", "d"), F.greatest("c", "d")).alias("tile"), side.alias("side"))
+    return dealt.select("rep", F.xxhash64("block", F.least("c", "d"), F.greatest("c", "d")).alias("tile"), side.alias("side"), *more)
 
 
 class _Joined:
     """What both uses of the join start from: tables in the shared folder, deleted by :meth:`end`."""
 
-    def __init__(self, docs: DataFrame, n: int, t: float) -> None:
-        self.docs, self.n, self.t = docs, n, t
+    def __init__(self, docs: DataFrame, n: int, t: float, counted: bool = False) -> None:
+        """``counted``: links are to be counted, so ``copies`` must be the number of ids."""
+        self.docs, self.n, self.t, self.counted = docs, n, t, counted
         self.sig = stored(signatures(docs, n), "signatures")
         held = F.min("doc_id").alias("rep"), F.count("*").alias("copies")
-        self.classes = stored(self.sig.groupBy(*KEY).agg(*held), "classes")
+        self.classes = stored((self.sig.distinct() if counted else self.sig).groupBy(*KEY).agg(*held), "classes")
         firsts = self.classes.where("copies > 1").select(*KEY, "rep")
         # row by row: a set may have very many copies
         self.copies = stored(self.sig.select("doc_id", *KEY).join(firsts, list(KEY)).where("rep <> doc_id").select("doc_id").distinct(), "copies")
@@ -456,7 +490,7 @@ class _Joined:
         return self.sig.select("doc_id", *KEY).distinct().groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("rep"))
 
     def sets(self) -> DataFrame:
-        """``tile, rep, k, side, set``, where ``k`` is 0 or, of an id that stands for several sets, tells them apart."""
+        """``tile, rep, k, side, set``, where ``k`` is 0 or, of an id that stands for several sets, tells them apart; if links are counted also ``copies`` and ``before``, the set's earlier blocks."""
         n, member = self.n, self.near()
         needed = member.select("rep").distinct()
         source = _texts(self.docs).withColumnRenamed("doc_id", "rep")
@@ -469,13 +503,19 @@ class _Joined:
                 yield pa.RecordBatch.from_arrays([b.column(0), *_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", *KEY, "set"])
 
         sets = mapped(source.join(needed, "rep", "left_semi"), shipped, "rep bigint, size int, sum bigint, xor bigint, set binary", 256).where("size > 0")
-        odd = self.odd()
+        odd, more = self.odd(), []
+        if self.counted:
+            blocks = member.groupBy("rep").agg(F.collect_list("block").alias("blocks"))
+            member = member.join(blocks, "rep").select("block", "rep", "size", F.filter("blocks", lambda x: x < F.col("block")).alias("before"))
+            more = ["before", "copies"]
         if odd.isEmpty():
             sets = sets.select("rep", F.lit(0).cast("long").alias("k"), "set")
+            if self.counted:
+                member = member.join(self.classes.select("rep", "copies"), "rep")
         else:  # of a set that several ids have, one row stands for it
-            sets = sets.join(self.classes.select("rep", *KEY), ["rep", *KEY], "left_semi").dropDuplicates(["rep", *KEY])
-            sets = sets.join(odd.withColumn("odd", F.lit(True)), "rep", "left").select("rep", F.when(F.col("odd"), F.xxhash64(*KEY)).otherwise(0).alias("k"), "set")
-        return sets.join(placed(member), "rep").select("tile", "rep", "k", "side", "set")
+            sets = sets.join(self.classes.select("rep", *KEY, *more[1:]), ["rep", *KEY], "inner" if self.counted else "left_semi").dropDuplicates(["rep", *KEY])
+            sets = sets.join(odd.withColumn("odd", F.lit(True)), "rep", "left").select("rep", F.when(F.col("odd"), F.xxhash64(*KEY)).otherwise(0).alias("k"), "set", *more[1:])
+        return sets.join(placed(member), "rep").select("tile", "rep", "k", "side", "set", *more)
 
     def found(self, forest: bool) -> DataFrame:
         """``a, ka, b, kb, jaccard`` of sets; for ``forest`` only links that connect them."""
@@ -497,6 +537,35 @@ class _Joined:
         pairs = _grouped(self.sets(), answer, "a bigint, ka bigint, b bigint, kb bigint, jaccard double").where("a <> b")
         return pairs.distinct() if forest else pairs.groupBy("a", "ka", "b", "kb").agg(F.max("jaccard").alias("jaccard"))
 
+    def sums(self) -> DataFrame:
+        """``rep, k, to, links`` of sets: for each tile that has pairs of one, how many documents hold those that it is a pair with, and the id of a set that they connect it with."""
+        t = self.t
+
+        def answer(tile: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
+            # rows that repeat an id and its text are one set
+            once = np.unique([np.asarray(held.column(c).combine_chunks()) for c in ("rep", "k")], axis=1, return_index=True)[1]
+            if len(once) < 2:
+                return
+            held = held.take(once) if len(once) < len(held) else held
+            ids, k, side, copies = (np.asarray(held.column(c).combine_chunks()) for c in ("rep", "k", "side", "copies"))
+            before = [np.array(x, np.int64) for x in held.column("before").to_pylist()]
+            links, root = tile_links(side, [np.frombuffer(h, np.uint64) for h in held.column("set").to_pylist()], before, copies, t)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[some], k[some], ids[root[some]], links[some])], names=["rep", "k", "to", "links"])
+
+        return _grouped(self.sets(), answer, "rep bigint, k bigint, to bigint, links bigint")
+
+    def own(self, odd: DataFrame) -> DataFrame:
+        """``doc_id, links`` that sets of one id, of those that have several, have among themselves."""
+        n, t = self.n, self.t
+
+        def answer(doc: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            sets = [*{s.tobytes(): s for s in shingles(rows.column("text").to_pylist(), n) if len(s)}.values()]
+            pairs = sum(len(x) for x, _, _ in tile_pairs(np.arange(len(sets)), np.zeros(len(sets)), sets, t)) if len(sets) > 1 else 0
+            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([2 * pairs], pa.int64())], names=["doc_id", "links"])
+
+        return _grouped(_texts(self.docs).join(odd.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), answer, "doc_id bigint, links bigint")
+
     def end(self) -> None:
         dropped(*self.tables)
 
@@ -520,6 +589,31 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     return same.unionByName(near)
 
 
+def linked(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """``doc_id, class_id, links``, a row for each document: the smallest id that links lead to, its own at most, and to how many documents it is at least ``t`` alike; a table in the shared folder."""
+    joined = _Joined(docs, n, t, True)
+    sums, odd = stored(joined.sums(), "sums"), stored(joined.odd(), "odd")
+    links, k = sums.select(F.col("rep").alias("a"), F.col("to").alias("b")), F.lit(0).cast("long")
+    held = joined.sig.distinct()
+    several = not odd.isEmpty()
+    if several:  # an id's texts are one document
+        links = links.union(held.join(odd.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").join(joined.classes, list(KEY)).select("doc_id", "rep"))
+        k = F.when(F.col("odd"), F.xxhash64(*KEY)).otherwise(0)
+    roots = components(links)
+    classes = joined.classes.join(odd.withColumn("odd", F.lit(True)), "rep", "left").withColumn("k", k)
+    classes = classes.join(sums.groupBy("rep", "k").agg(F.sum("links").alias("links")), ["rep", "k"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.select(*KEY, F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    rows = held.join(classes, list(KEY)).select("doc_id", "class_id", "links")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    rows = rows.union(ids.select("doc_id", "doc_id", F.lit(0)))  # those without words too
+    if several:
+        rows = rows.union(joined.own(odd).select("doc_id", "doc_id", -F.col("links")))
+    out = stored(rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links")), "linked")
+    joined.end()
+    dropped(sums, odd, roots)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` from links ``a, b``: each node with the smallest of its connected component.
 
@@ -565,14 +659,17 @@ def deduplicated(docs: DataFrame, **params) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = f"""
-with words as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') as w from documents where doc_id is not null),
+with recursive words as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') as w from documents where doc_id is not null),
 grams as (select distinct doc_id, case when len(w) < {N} then w else w[i:i + {N - 1}] end as g
   from (select doc_id, w, unnest(range(1, greatest(len(w) - {N - 2}, 2))) as i from words where len(w) > 0)),
 sizes as (select doc_id, count(*) as n from grams group by doc_id),
 shared as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as k from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
-js as (select doc_a, doc_b, cast(k as double) / (x.n + y.n - k) as jaccard from shared join sizes x on x.doc_id = doc_a join sizes y on y.doc_id = doc_b)
-select doc_a, doc_b, jaccard from js where jaccard >= {T}"""
+js as (select doc_a, doc_b, cast(k as double) / (x.n + y.n - k) as jaccard from shared join sizes x on x.doc_id = doc_a join sizes y on y.doc_id = doc_b),
+links as materialized (select unnest([doc_a, doc_b]) as a, unnest([doc_b, doc_a]) as b from js where jaccard >= {T}),
+reach as (select distinct a, a as root from links union select l.b, r.root from reach r join links l on l.a = r.a where r.root < l.b)
+select doc_id, coalesce((select min(root) from reach where a = doc_id), doc_id) as class_id, (select count(*) from links where a = doc_id) as links
+from (select distinct doc_id from documents where doc_id is not null)"""

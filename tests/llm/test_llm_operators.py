@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -782,6 +783,62 @@ def test_ids_of_several_texts(spark):
     assert {(r.doc_a, r.doc_b): r.jaccard for r in found} == pytest.approx(brute_pairs(rows)) and len(found) == len(brute_pairs(rows))
 
 
+def brute_links(rows, t=near_duplicates.T):
+    """Class and links of each id; distinct texts of an id count apart."""
+    sets = near_duplicates.shingles([r[1] for r in rows])
+    ids = {r[0] for r in rows} - {None}
+    texts = {(r[0], tuple(s.tolist())) for r, s in zip(rows, sets) if len(s) and r[0] is not None}
+    links, top = Counter(), {i: i for i in ids}
+    for (a, x), (b, y) in itertools.combinations([(i, set(s)) for i, s in texts], 2):
+        if a != b and len(x & y) / len(x | y) >= t:
+            links.update((a, b))
+            old, new = max(top[a], top[b]), min(top[a], top[b])
+            top = {i: new if r == old else r for i, r in top.items()}
+    return sorted((i, top[i], links[i]) for i in ids)
+
+
+def test_query_has_a_row_for_each_document(spark, tmp_path):
+    """Copies and near copies don't multiply rows; their links and class are those of all pairs."""
+    rng = random.Random(4)
+    w = [f"t{rng.randrange(10**6)}" for _ in range(40)]
+    rows = [(2 * k, " ".join(w)) for k in range(150)] + [(2 * k + 1, " ".join(x if rng.random() > 0.05 else f"e{rng.randrange(10**6)}" for x in w)) for k in range(50)] + [(1000, None), (1001, "?!"), (1002, "alone here"), (None, " ".join(w))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = near_duplicates.query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "class_id", "links"] and sorted(map(tuple, got.collect())) == brute_links(rows)
+
+
+def test_links_equal_the_sql(spark):
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = duck.execute(near_duplicates.ORACLE)
+    assert [d[0] for d in want.description] == ["doc_id", "class_id", "links"]
+    assert sorted(map(tuple, near_duplicates.query(spark, SF).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_links_of_random_sets_are_exact(spark, monkeypatch, several):
+    """Sets that meet in several groups and tiles count once; copies count each; also of ids with several texts, some of them alike."""
+    for name, value in (("BUCKET", 200), ("PACK", 300), ("BROADCAST_IDS", 0), ("TILE", 8)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    rng = random.Random(19)
+    rows = []
+    for k in range(90):
+        a = [f"v{rng.randrange(12)}" for _ in range(rng.randint(3, 40))]
+        rows += [(3 * k + i, " ".join(a[rng.randrange(len(a) // 2 + 1) :] + [f"v{rng.randrange(12)}" for _ in range(rng.randrange(20))])) for i in range(3)]
+    rows += [(500 + k, rng.choice(rows)[1]) for k in range(60)] + rows[:20]
+    if several:
+        rows += [(rng.randrange(0, 270), rng.choice(rows)[1]) for _ in range(40)] + [(i, t + " v1") for i, t in rows[:9]] + [(900, rows[0][1]), (900, rows[80][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = brute_links(rows)
+    assert sum(n for _, _, n in want) > 200
+    assert sorted(map(tuple, near_duplicates.linked(df).collect())) == want
+
+
+def test_links_of_odd_rows(odd, none):
+    assert sorted(map(tuple, near_duplicates.linked(odd).collect())) == [(1, 1, 0), (2, 2, 0), (3, 3, 1), (4, 3, 1), (5, 5, 0), (6, 6, 0), (7, 7, 0)]
+    assert near_duplicates.linked(none).count() == 0
+
+
 def test_large_groups_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "TILE", 8)
     rng = random.Random(9)
