@@ -807,6 +807,15 @@ def test_query_has_a_row_for_each_document(spark, tmp_path):
     assert got.columns == ["doc_id", "class_id", "links"] and sorted(map(tuple, got.collect())) == brute_links(rows)
 
 
+def test_pairs_stay_in_their_tile(spark):
+    """What tiles give is at most a row for each of their sets, however many pairs and copies there are."""
+    w = [f"t{i}" for i in range(60)]
+    rows = [(k, " ".join([*w, f"e{k // 4}"])) for k in range(240)]
+    joined = near_duplicates._Joined(spark.createDataFrame(rows, "doc_id bigint, text string"), near_duplicates.N, near_duplicates.T, True)
+    sums = joined.sums().collect()
+    assert len(sums) <= joined.sets().count() < 240 and sum(4 * r.links for r in sums) == 240 * 236
+
+
 def test_links_equal_the_sql(spark):
     duck = duckdb.connect()
     duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
