@@ -22,6 +22,7 @@ from ..errors import AuditError, ContractError, EngineError, LoomError, Unavaila
 from ..functions.types import family, literal, quote
 from ..operators.audits import gap_sentence
 from ..operators.materialize import conformed, scd2, scd2_changes, upsert
+from ..sources import embedded
 from ..sources.lake import freshness, physical_name, version_root, view_name, write_manifest
 from ..sources.readers import external_table, seed_rows
 from .engine import HIDDEN, Engine, files_of, interval_rows
@@ -533,6 +534,9 @@ class Executor:
         """To ``database.table`` or ``database`` of this session's catalog, or over JDBC to ``url#schema.table`` or ``url``; a table that isn't named is the model's."""
         if model.export.startswith("jdbc:"):
             url, _, place = model.export.partition("#")
+            if embedded.in_process(url) and not rows.sparkSession.sparkContext._jsc.isLocal():
+                embedded.write(rows, url, place or model.table, self.export_options)
+                return
             rows.write.mode("overwrite").option("truncate", "true").jdbc(url, place or model.table, properties=self.export_options)
             return
         place = model.export if "." in model.export else f"{model.export}.{model.table}"
